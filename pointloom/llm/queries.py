@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and their SQL where SQL can say it."""
 
-from . import sharding
+from . import secret_scan, sharding
 
-QUERIES = {"op1_shard": sharding.op1_shard}
-ORACLES = {"op1_shard": sharding.ORACLE}
+QUERIES = {"op1_shard": sharding.op1_shard, "op2_secrets": secret_scan.op2_secrets}
+ORACLES = {"op1_shard": sharding.ORACLE, "op2_secrets": secret_scan.ORACLE}
