@@ -1,14 +1,16 @@
 """The registered queries of the corpus operators, and their SQL where SQL can say it."""
 
-from . import secret_scan, sharding, substring_dedup
+from . import exact_dedup, secret_scan, sharding, substring_dedup
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op2_secrets": secret_scan.op2_secrets,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
 }
 ORACLES = {
     "op1_shard": sharding.ORACLE,
     "op2_secrets": secret_scan.ORACLE,
+    "op3_exact_dedup": exact_dedup.ORACLE,
     "op4_substring_dedup": substring_dedup.ORACLE,
 }
