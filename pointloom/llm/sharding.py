@@ -37,12 +37,12 @@ def assign_shards(df: DataFrame, key: Column, weights: Sequence[float], grown_we
     return out.drop("__costs", "__least")
 
 
-def number_slots(df: DataFrame, group: str, key: Column, tie: Sequence[str], slot: str = "slot") -> DataFrame:
+def number_slots(df: DataFrame, group: str, key: Column, tie: Sequence[str], slot: str = "slot", digits: int = 3) -> DataFrame:
     """Gapless numbers from 0 within each group, without bringing a group to one task: the rows of a group are dealt
-    over 4,096 parts by a hash of the key, numbered within the part, and shifted by the count of the parts before.
+    over 16**digits parts by a hash of the key, numbered within the part, and shifted by the count of the parts before.
 
     df is read twice, so pass a materialized table. Rows equal in key and tie columns get adjacent slots in any order."""
-    parts = df.withColumn("__part", F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 3))
+    parts = df.withColumn("__part", F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, digits))
     before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = parts.groupBy(group, "__part").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     own = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*tie)) - 1
