@@ -76,10 +76,9 @@ def unpack(row: dict) -> tuple[np.ndarray, ...]:
     return np.repeat(ids, counts), place.astype(np.uint32), again, np.frombuffer(row["hashes"], np.uint64)
 
 
-def repeats(table: pa.Table) -> pa.Table:
-    """All windows of one bucket: those that repeat an earlier one, as (doc_id, places of windows)."""
-    parts = [unpack(row) for row in table.to_pylist()]
-    doc, place, again, value = (np.concatenate(c) for c in zip(*parts, strict=True))
+def repeats(table: pa.Table, parts: int) -> pa.Table:
+    """All windows of one bucket: those that repeat an earlier one, dealt over parts of the documents."""
+    doc, place, again, value = (np.concatenate(c) for c in zip(*[unpack(row) for row in table.to_pylist()], strict=True))
     one_doc, one_place = doc[~again], place[~again]
     sort = np.argsort(value)
     value = value[sort]
@@ -92,12 +91,39 @@ def repeats(table: pa.Table) -> pa.Table:
     later = sort[(one_doc[sort] != one_doc[sort[start]]) | (one_place[sort] != one_place[sort[start]])]
     doc, place = np.concatenate([doc[again], one_doc[later]]), np.concatenate([place[again], one_place[later]])
     sort = np.lexsort((place, doc))
+    return by_document(doc[sort], place[sort], parts)
+
+
+def runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins, and the end."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1, [len(x)]]) if len(x) else np.zeros(1, int)
+
+
+def by_document(doc: np.ndarray, place: np.ndarray, parts: int) -> pa.Table:
+    """Sorted (doc, place) as one row for each part of the documents: part, ids, counts, places."""
+    part = (words.mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    sort = np.argsort(part, kind="stable")
+    doc, place, part = doc[sort], place[sort], part[sort]
+    out = []
+    edges = runs(part)
+    for a, b in zip(edges, edges[1:], strict=False):
+        new = runs(doc[a:b])
+        out.append((int(part[a]), doc[a:b][new[:-1]].tobytes(), planes(np.diff(new)), place[a:b].astype("<u4").tobytes()))
+    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    columns = zip(*out, strict=True) if out else [[]] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "ids", "counts", "places"])
+
+
+def gather(table: pa.Table) -> pa.Table:
+    """What all buckets say of one part of the documents: one row per document."""
+    rows = table.to_pylist()
+    doc = np.concatenate([np.repeat(np.frombuffer(r["ids"], np.int64), unplanes(r["counts"])) for r in rows])
+    place = np.concatenate([np.frombuffer(r["places"], "<u4") for r in rows])
+    sort = np.lexsort((place, doc))
     doc, place = doc[sort], place[sort]
-    new = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)) if len(doc) else np.zeros(0, int)
-    offsets = 4 * np.append(new, len(doc)).astype(np.int32)
-    places = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(place.astype("<u4").tobytes())])
-    ids = pa.array(doc[new], pa.int64(), mask=doc[new] == NULL_ID)
-    return pa.table({"doc_id": ids, "places": places})
+    new = runs(doc)
+    places = pa.Array.from_buffers(pa.large_binary(), len(new) - 1, [None, pa.py_buffer((4 * new).astype(np.int64).tobytes()), pa.py_buffer(place.tobytes())])
+    return pa.table({"doc_id": pa.array(doc[new[:-1]], pa.int64(), mask=doc[new[:-1]] == NULL_ID), "places": places.cast(pa.binary())})
 
 
 def intervals(places: np.ndarray, window: int, n_words: int) -> np.ndarray:
@@ -112,7 +138,7 @@ def intervals(places: np.ndarray, window: int, n_words: int) -> np.ndarray:
 
 
 def find_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, places: array of binary): the word numbers, as little-endian 32-bit numbers, at which a window begins
+    """(doc_id, places): the word numbers, as little-endian 32-bit numbers, at which a window begins
     that also begins earlier, in a smaller doc_id or before in the same document. Documents without any are left out.
 
     Each bucket is one group of about BUCKET_BYTES of text; their number grows with the texts."""
@@ -120,8 +146,8 @@ def find_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(bucket_windows(window, buckets), BUCKET_ROWS)
-    found = dealt.groupBy("bucket").applyInArrow(lambda _, t: repeats(t.drop_columns("bucket")), "doc_id long, places binary")
-    return found.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    found = dealt.groupBy("bucket").applyInArrow(lambda _, t: repeats(t, buckets), "part int, ids binary, counts binary, places binary")
+    return found.groupBy("part").applyInArrow(lambda _, t: gather(t), "doc_id long, places binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -152,7 +178,7 @@ def digest_cuts(found: DataFrame, window: int) -> DataFrame:
                 n.append(len(parts))
                 if places:
                     keep = np.ones(len(parts), bool)
-                    for a, b in intervals(np.frombuffer(b"".join(places), "<u4").astype(np.int64), window, len(parts)):
+                    for a, b in intervals(np.frombuffer(places, "<u4").astype(np.int64), window, len(parts)):
                         keep[a:b] = False
                     parts = list(itertools.compress(parts, keep.tolist()))
                 cut.append(n[-1] - len(parts))
