@@ -1,12 +1,13 @@
 """The registered queries of the corpus operators, and their SQL where SQL can say it."""
 
-from . import exact_dedup, packing, secret_scan, sharding, substring_dedup
+from . import exact_dedup, ngram_join, packing, secret_scan, sharding, substring_dedup
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op2_secrets": secret_scan.op2_secrets,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op10_pack": packing.op10_pack,
 }
 ORACLES = {
