@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and their SQL where SQL can say it."""
 
-from . import exact_dedup, ngram_join, packing, secret_scan, sharding, substring_dedup
+from . import decontamination, exact_dedup, ngram_join, packing, secret_scan, sharding, substring_dedup
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op7_decontaminate": decontamination.op7_decontaminate,
     "op10_pack": packing.op10_pack,
 }
 ORACLES = {
@@ -15,4 +16,5 @@ ORACLES = {
     "op2_secrets": secret_scan.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op4_substring_dedup": substring_dedup.ORACLE,
+    "op7_decontaminate": decontamination.ORACLE,
 }
