@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and their SQL where SQL can say it."""
 
-from . import decontamination, exact_dedup, ngram_join, packing, secret_scan, sharding, substring_dedup
+from . import decontamination, exact_dedup, lm_scoring, ngram_join, packing, secret_scan, sharding, substring_dedup
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_decontaminate": decontamination.op7_decontaminate,
+    "op8_lm_score": lm_scoring.op8_lm_score,
     "op10_pack": packing.op10_pack,
 }
 ORACLES = {

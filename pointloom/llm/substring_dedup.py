@@ -12,22 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .words import planes, runs, unplanes
 
-#: Bytes of text whose windows go to one bucket: about four million windows, some 200 MB while they are sorted.
-BUCKET_BYTES = 24 << 20
 #: What stands for a null doc_id: before all others.
 NULL_ID = -(2**63)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """32-bit numbers with their lowest bytes first and then the higher ones, which are mostly zero and compress away."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
 BUCKET_ROWS = "bucket int, ids binary, counts binary, places binary, again binary, hashes binary"
 
 
@@ -94,11 +84,6 @@ def repeats(table: pa.Table, parts: int) -> pa.Table:
     return by_document(doc[sort], place[sort], parts)
 
 
-def runs(x: np.ndarray) -> np.ndarray:
-    """Where each run of equal numbers begins, and the end."""
-    return np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1, [len(x)]]) if len(x) else np.zeros(1, int)
-
-
 def by_document(doc: np.ndarray, place: np.ndarray, parts: int) -> pa.Table:
     """Sorted (doc, place) as one row for each part of the documents: part, ids, counts, places."""
     part = (words.mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
@@ -141,10 +126,8 @@ def find_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, places): the word numbers, as little-endian 32-bit numbers, at which a window begins
     that also begins earlier, in a smaller doc_id or before in the same document. Documents without any are left out.
 
-    Each bucket is one group of about BUCKET_BYTES of text; their number grows with the texts."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    Each bucket is one group of about 24 MB of text, some four million windows; their number grows with the texts."""
+    buckets = words.bucket_count(docs)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(bucket_windows(window, buckets), BUCKET_ROWS)
     found = dealt.groupBy("bucket").applyInArrow(lambda _, t: repeats(t, buckets), "part int, ids binary, counts binary, places binary")
     return found.groupBy("part").applyInArrow(lambda _, t: gather(t), "doc_id long, places binary")

@@ -93,3 +93,25 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(column)] if len(column) else []
         for a, b in zip(edges, edges[1:], strict=False):
             yield batch.slice(a, b - a), [t or b"" for t in column.slice(a, b - a).to_pylist()]
+
+
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers with their lowest bytes first and then the higher ones, which are mostly zero and compress away."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins, and the end."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1, [len(x)]]) if len(x) else np.zeros(1, int)
+
+
+def bucket_count(docs, text: str = "text", each: int = 24 << 20) -> int:
+    """Buckets for what is gathered from the texts: one for each so many bytes, and the shuffle partitions at least."""
+    from pyspark.sql import functions as F
+
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
