@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import os
 import re
 import zlib
@@ -17,18 +18,53 @@ from . import words
 from .common import materialize
 from .sharding import number_slots
 
-#: Words that a Python worker remembers the ids of, some 150 MB; then it starts anew.
-MOST_WORDS = 600_000
+#: Words of one generation that a Python worker remembers the ids of; two generations are kept, some 200 MB.
+MOST_WORDS = 500_000
 
-# The tokenizer cuts at white space and between ASCII letters or digits and other ASCII signs, and lowers case; doing so
-# first leaves fewer different words to look up. Signs beside an apostrophe stay, as "'s" is one piece.
-_SIGNS = re.compile(rb"(?<=[0-9A-Za-z])[!-&(-/:-@\[-`{-~]+(?=[\s0-9A-Za-z]|$)")
+# The signs after an ASCII letter or digit and before another, or the end, that the tokenizer cuts off.
+# Signs beside an apostrophe stay, as "'s" is one piece.
+_SIGNS = re.compile(rb"(?<=[0-9A-Za-z])[!-&(-/:-@\[-`{-~]+(?=[0-9A-Za-z]|$)")
+
+# Byte-level models read bytes as letters: printable ones stand for themselves, the others follow from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = dict(zip(_PRINTED, map(chr, _PRINTED), strict=True)) | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 _loaded: dict = {}
 
 
-def _tokenizer(name: str, folder: str | None):
-    """The tokenizer and the ids of the words seen so far, once for each Python worker."""
+class WordIds(dict):
+    """The ids of lower-case words as little-endian unsigned 32-bit numbers, worked out when first asked for.
+
+    Words that come up again outlive those that don't: when a generation is full it becomes the old one, which is
+    looked at once more before a word is worked out."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.old = tokenizer, tokenizer.model, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.work_out(word)
+        if len(self) >= MOST_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def work_out(self, word: bytes) -> bytes:
+        if b"<|" not in word:  # else it may hold a special token
+            parts = _SIGNS.sub(rb" \g<0> ", word).lower().split()
+            if parts != [word]:
+                return b"".join([self[p] for p in parts])
+            text = word.decode(errors="replace").lower()
+            if text.isalpha() and max(text) < "\u0250":  # one run of letters that normalization leaves alone
+                letters = text if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS)
+                return array.array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return array.array("I", self.tokenizer.encode(word.decode(errors="replace"), add_special_tokens=False).ids).tobytes()
+
+
+def _word_ids(name: str, folder: str | None) -> WordIds:
+    """One for each Python worker."""
     if (name, folder) not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -39,26 +75,16 @@ def _tokenizer(name: str, folder: str | None):
             path = public_tokenizers.path(name)
         else:
             path = f"{folder}/{name}"
-        _loaded[name, folder] = (Tokenizer.from_file(path), {})
+        _loaded[name, folder] = WordIds(Tokenizer.from_file(path))
     return _loaded[name, folder]
 
 
 def token_ids(texts: list[bytes], name: str, folder: str | None) -> Iterator[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers, from ids remembered by word."""
-    tokenizer, known = _tokenizer(name, folder)
-    # a text that may hold a special token's string is only cut at white space
-    cut = [(t if b"<|" in t else _SIGNS.sub(rb" \g<0> ", t).lower()).split() for t in texts]
-    new = set().union(*cut) - known.keys()
-    if len(known) + len(new) > MOST_WORDS:
-        known.clear()
-        new = set().union(*cut)
-    new = list(new)
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for word, ids in zip(part, tokenizer.encode_batch_fast([w.decode(errors="replace") for w in part], add_special_tokens=False), strict=True):
-            known[word] = np.array(ids.ids, "<u4").tobytes()
-    for parts in cut:
-        yield b"".join(map(known.__getitem__, parts))
+    """The ids of each text, put together from those of its words: this tokenizer (lower case, words cut at white
+    space) never looks across a space."""
+    ids = _word_ids(name, folder)
+    for text in texts:
+        yield b"".join(map(ids.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 def tokenize_pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer: str, folder: str | None, with_ids: bool) -> DataFrame:
