@@ -1,12 +1,13 @@
 """The registered queries of the corpus operators, and their SQL where SQL can say it."""
 
-from . import decontamination, exact_dedup, lm_scoring, ngram_join, packing, secret_scan, sharding, substring_dedup
+from . import decontamination, exact_dedup, lm_scoring, ngram_join, packing, quality, secret_scan, sharding, substring_dedup
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
     "op2_secrets": secret_scan.op2_secrets,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_decontaminate": decontamination.op7_decontaminate,
     "op8_lm_score": lm_scoring.op8_lm_score,
