@@ -1,12 +1,48 @@
-"""A corpus pipeline over documents, stage by stage."""
+"""A corpus pipeline over documents: drop poor and toxic documents, then copies, near copies and documents that hold
+benchmark items, and pack the rest into training sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pointloom.llm import decontamination, exact_dedup, ngram_join, packing, quality
 from pointloom.llm.common import materialize
 
-STAGES: list = []
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.drop_rejected(docs, labels, F.col("source"), F.col("lang"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.exact_dedup(docs)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return ngram_join.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("exact dedup", dedup),
+    ("n-gram Jaccard join", dedup_near),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
+]
 #: No SQL: the trained classifier and the tokenizer can't be written in it; tests compare with brute force.
 ORACLE_SQL = None
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import join_counted, materialize, small
+from .common import KEY, join_counted, materialize, row_key, small
 from .components import connected_components
 
 #: Words of a shingle, and the least similarity.
@@ -72,7 +72,7 @@ def shingles(texts: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, sketch, bands) of each document: node names its sequence of words and is null without any,
+    """(doc_id, text_key, node, sketch, bands) of each document: node names its sequence of words and is null without any,
     sketch has the low byte of each MinHash value, bands the hashes of the bands."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +89,10 @@ def sketch(docs: DataFrame) -> DataFrame:
             pick = [rows.get(i) for i in range(len(texts))]
             node = pa.array(names.view(np.int64), pa.int64(), mask=np.array([p is None for p in pick], bool))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), node, pa.array([None if p is None else low[p].tobytes() for p in pick], pa.binary()), pa.array([None if p is None else bands[p].view(np.int64) for p in pick], pa.list_(pa.int64()))], names=["doc_id", "node", "sketch", "bands"]
+                [batch.column("doc_id"), batch.column("text_key"), node, pa.array([None if p is None else low[p].tobytes() for p in pick], pa.binary()), pa.array([None if p is None else bands[p].view(np.int64) for p in pick], pa.list_(pa.int64()))], names=["doc_id", "text_key", "node", "sketch", "bands"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, node long, sketch binary, bands array<bigint>")
+    return docs.select(*row_key(), "text").mapInArrow(task, "doc_id long, text_key long, node long, sketch binary, bands array<bigint>")
 
 
 def deal(rows: DataFrame, key: str, node: str) -> DataFrame:
@@ -252,7 +252,7 @@ def sets_of(rows: DataFrame) -> DataFrame:
 
 
 def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, n_texts, n_copies.
+    """One row per document: doc_id, text_key, class_id, n_links, n_texts, n_copies.
 
     Documents are linked when the Jaccard similarity of their sets of 5-word shingles is at least threshold (0.8 or
     more: the bands are made for that). class_id is the smallest doc_id that links lead to, n_links the number of other
@@ -263,7 +263,7 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     is a document like others; class_id is null where a class has none else. Other columns are ignored."""
     spark = docs.sparkSession
     sketches = materialize(sketch(docs), "sketches")
-    rows = sketches.where("node IS NOT NULL").select("doc_id", "node")
+    rows = sketches.where("node IS NOT NULL").select(*KEY, "node")
     nodes = materialize(rows.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")), "nodes")
 
     # 1. buckets of bands with at least two nodes
@@ -289,11 +289,20 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = nodes.join(links.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs")), "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_id = materialize(own, "own").groupBy("root").agg(F.min("first_id").alias("class_id"))
     own = materialize(materialize(own, "own").join(least_id, "root").select("node", "copies", "class_id", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_docs", F.lit(0)).alias("n_docs")), "own")
-    linked = join_counted(rows, own, ["node"], "copies", total).select("doc_id", "class_id", (F.col("n_docs") + F.col("copies") - 1).alias("n_links"), "n_texts", F.col("copies").alias("n_copies"))
+    linked = join_counted(rows, own, ["node"], "copies", total).select(*KEY, "class_id", (F.col("n_docs") + F.col("copies") - 1).alias("n_links"), "n_texts", F.col("copies").alias("n_copies"))
     zero = F.lit(0).cast("long")
-    blank = sketches.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_texts"), F.lit(1).cast("long").alias("n_copies"))
+    blank = sketches.where("node IS NULL").select(*KEY, F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_texts"), F.lit(1).cast("long").alias("n_copies"))
     return linked.unionByName(blank)
 
 
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with only the smallest doc_id of each class, all columns kept. Rows that share a class and its smallest
+    doc_id all stay; a class whose ids are all null stays whole."""
+    others = ngram_classes(docs, threshold).where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
+    bad = small(materialize(others.select(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key")).distinct(), "others"))
+    keyed = docs.withColumn("__key", row_key()[1])
+    return keyed.join(bad, F.col("doc_id").cast("long").eqNullSafe(bad["__doc_id"]) & (keyed["__key"] == bad["__text_key"]), "left_anti").select(*docs.columns)
+
+
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return ngram_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")

@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and their SQL where SQL can say it."""
 
-from . import decontamination, exact_dedup, lm_scoring, ngram_join, packing, quality, secret_scan, sharding, substring_dedup
+from . import decontamination, exact_dedup, lm_scoring, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_decontaminate": decontamination.op7_decontaminate,
     "op8_lm_score": lm_scoring.op8_lm_score,
+    "op9_pii": pii.op9_pii,
     "op10_pack": packing.op10_pack,
 }
 ORACLES = {
