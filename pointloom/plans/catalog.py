@@ -1,4 +1,315 @@
-"""Every registered query with its SQL."""
+"""Every registered query over point clouds, with the SQL that says the same.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The SQL goes its own way where it can: plain windows for ranks, and listed picks that are joined, where the queries
+count in parts and decide each point on its own."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import api
+from ..constants import DEFAULT_MAX_POINTS, RECORDS_OFFSET
+from ..functions.expressions import format_bytes, palette
+from ..operators import quality_metrics, quantization, sample, spectrum, view
+from ..scratch import scratch_path
+from . import clouds
+
+#: Points that the queries over events keep, and those over embeddings.
+EVENTS_LIMIT, EMBEDDINGS_LIMIT = 2000, 100
+#: Width of the drawn spectrum.
+PIXELS = 700
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _doubles(*names: str) -> list:
+    return [F.col(n).cast("double").alias(n) for n in names]
+
+
+def _sql(cloud: str, limit: int, last: str) -> str:
+    """Common tables over a cloud, up to decoded points, and the last statement."""
+    q = lambda v, low, high: f"least(greatest(floor(({v}::DOUBLE - {low}) / CASE WHEN {high} > {low} THEN {high} - {low} ELSE 1 END * 65535::DOUBLE + 0.5::DOUBLE), 0), 65535)::INTEGER"
+    d = lambda v, low, high: f"({low} + {v}::DOUBLE / 65535::DOUBLE * ({high} - {low}))::FLOAT::DOUBLE"
+    box = ", ".join(f"{f}({a})::DOUBLE AS {a}_{f}" for a in "xyz" for f in ("min", "max"))
+    return f"""WITH cloud AS ({cloud}),
+binned AS (SELECT *, least(greatest(floor(mass::DOUBLE / 0.05::DOUBLE), 0), 5999)::INTEGER AS bin FROM cloud),
+box AS (SELECT count(*) AS n, {box} FROM cloud),
+hist AS (SELECT bin, count(*) AS true_count FROM binned GROUP BY bin),
+shares AS (SELECT bin, true_count, CASE WHEN n > {limit} THEN true_count * {limit} // n ELSE 0 END AS quotient, CASE WHEN n > {limit} THEN true_count * {limit} % n ELSE 0 END AS remainder, n FROM hist, box),
+alloc AS (SELECT bin, true_count, quotient, remainder, CASE WHEN n <= {limit} THEN true_count ELSE quotient + (row_number() OVER (ORDER BY remainder DESC, bin) <= {limit} - (SELECT sum(quotient) FROM shares))::INTEGER END::BIGINT AS take FROM shares),
+offsets AS (SELECT *, (coalesce(sum(true_count) OVER b, 0))::BIGINT AS start, (coalesce(sum(take) OVER b, 0))::BIGINT AS "offset" FROM alloc WINDOW b AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY point_index) - 1 AS rank FROM binned),
+picks AS (SELECT bin, k, floor((k::DOUBLE + 0.5::DOUBLE) * true_count / take)::BIGINT AS rank, "offset" + k AS record_index FROM (SELECT *, unnest(range(take)) AS k FROM offsets WHERE take > 0)),
+picked AS (SELECT r.*, k, record_index FROM ranked r JOIN picks USING (bin, rank)),
+quantized AS (SELECT p.*, {q('x', 'x_min', 'x_max')} AS qx, {q('y', 'y_min', 'y_max')} AS qy, {q('z', 'z_min', 'z_max')} AS qz, {q('mass', '0::DOUBLE', '300::DOUBLE')} AS qm FROM picked p, box),
+decoded AS (SELECT p.*, {d('qx', 'x_min', 'x_max')} AS dx, {d('qy', 'y_min', 'y_max')} AS dy, {d('qz', 'z_min', 'z_max')} AS dz, {d('qm', '0::DOUBLE', '300::DOUBLE')} AS dmass FROM quantized p, box)
+{last}"""
+
+
+def _events(last: str, limit: int = EVENTS_LIMIT) -> str:
+    return _sql(clouds.EVENTS_SQL, limit, last)
+
+
+def _allocated(cloud: DataFrame, limit: int) -> DataFrame:
+    return sample.allocate(spectrum.histogram(cloud), limit)
+
+
+def _spectra(cloud: DataFrame, limit: int) -> DataFrame:
+    return _allocated(cloud, limit).select("bin", "true_count", F.col("take").alias("stored_count"))
+
+
+def _records(cloud: DataFrame, limit: int) -> DataFrame:
+    return quantization.quantize_points(sample.pick(cloud, _allocated(cloud, limit)), spectrum.bounds(cloud))
+
+
+def _decoded(cloud: DataFrame, limit: int) -> DataFrame:
+    return quantization.dequantize_records(_records(cloud, limit), spectrum.bounds(cloud))
+
+
+_POINT = "point_index, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, mass::DOUBLE AS mass"
+
+
+@query(_events(f"SELECT {_POINT} FROM cloud"))
+def scan_points(spark, sf_dir):
+    return clouds.events(spark, sf_dir).select("point_index", *_doubles("x", "y", "z", "mass"))
+
+
+@query(_sql(clouds.EMBEDDINGS_SQL, 100, f"SELECT {_POINT} FROM cloud"))
+def scan_embedding_points(spark, sf_dir):
+    return clouds.embeddings(spark, sf_dir).select("point_index", *_doubles("x", "y", "z", "mass"))
+
+
+@query(_events("SELECT * FROM box"))
+def bounds(spark, sf_dir):
+    return spectrum.bounds(clouds.events(spark, sf_dir))
+
+
+@query(_events("SELECT point_index, bin FROM binned"))
+def mass_bins(spark, sf_dir):
+    return spectrum.binned(clouds.events(spark, sf_dir)).select("point_index", "bin")
+
+
+@query(_sql(clouds.LINEITEM_SQL, 1, "SELECT * FROM hist"))
+def spectrum_true(spark, sf_dir):
+    return spectrum.histogram(clouds.lineitem(spark, sf_dir))
+
+
+@query(_events("SELECT b::INTEGER AS bin, coalesce(true_count, 0) AS true_count FROM range(6000) r(b) LEFT JOIN hist ON hist.bin = b"))
+def spectrum_dense(spark, sf_dir):
+    return spectrum.densify(spectrum.histogram(clouds.events(spark, sf_dir)))
+
+
+@query(_events("SELECT count(*) FILTER (mass < 0) AS below, count(*) FILTER (mass::DOUBLE >= 300) AS above, count(*) FILTER (bin = 0) AS first_bin, count(*) FILTER (bin = 5999) AS last_bin FROM binned"))
+def clip_report(spark, sf_dir):
+    rows = spectrum.binned(clouds.events(spark, sf_dir))
+    tests = {"below": F.col("mass") < 0, "above": F.col("mass") >= 300, "first_bin": F.col("bin") == 0, "last_bin": F.col("bin") == 5999}
+    return rows.agg(*[F.count(F.when(t, 1)).alias(n) for n, t in tests.items()])
+
+
+@query(_events("SELECT count(*) FILTER (bad) AS bad_points, min(point_index) FILTER (bad) AS first_bad FROM (SELECT point_index, NOT (coalesce(isfinite(x) AND isfinite(y) AND isfinite(z) AND isfinite(mass), false)) AS bad FROM cloud)"))
+def validate_finite(spark, sf_dir):
+    return spectrum.bad_points(clouds.events(spark, sf_dir))
+
+
+@query(_events("SELECT bin, true_count, quotient, remainder, take FROM alloc"))
+def allocation(spark, sf_dir):
+    return _allocated(clouds.events(spark, sf_dir), EVENTS_LIMIT)
+
+
+@query(_events("SELECT bin, true_count, take FROM alloc", DEFAULT_MAX_POINTS))
+def allocation_identity(spark, sf_dir):
+    return _allocated(clouds.events(spark, sf_dir), DEFAULT_MAX_POINTS).select("bin", "true_count", "take")
+
+
+@query(_events("SELECT bin, remainder FROM alloc WHERE take > quotient"))
+def allocation_topk(spark, sf_dir):
+    return _allocated(clouds.events(spark, sf_dir), EVENTS_LIMIT).where("take > quotient").select("bin", "remainder")
+
+
+@query(_events("SELECT bin, start FROM offsets"))
+def stratum_starts(spark, sf_dir):
+    return sample.with_offsets(_allocated(clouds.events(spark, sf_dir), EVENTS_LIMIT)).select("bin", "start")
+
+
+@query(_events('SELECT bin, take, "offset" FROM offsets'))
+def record_offsets(spark, sf_dir):
+    return sample.with_offsets(_allocated(clouds.events(spark, sf_dir), EVENTS_LIMIT)).select("bin", "take", "offset")
+
+
+@query(_events("SELECT point_index, bin, rank FROM ranked"))
+def in_bin_rank(spark, sf_dir):
+    return sample.rank_in_bin(clouds.events(spark, sf_dir)).select("point_index", "bin", "rank")
+
+
+@query(_events("SELECT bin, k, rank FROM picks"))
+def selected_positions(spark, sf_dir):
+    return sample.midpoints(_allocated(clouds.events(spark, sf_dir), EVENTS_LIMIT))
+
+
+@query(_events(f"SELECT record_index, bin, k, {_POINT} FROM picked"))
+def sampled_points(spark, sf_dir):
+    cloud = clouds.events(spark, sf_dir)
+    return sample.pick_by_spectrum(cloud, _spectra(cloud, EVENTS_LIMIT)).select("record_index", "bin", "k", "point_index", *_doubles("x", "y", "z", "mass"))
+
+
+@query(_events(f"SELECT i AS sample_index, {_POINT} FROM (SELECT i, floor((i::DOUBLE + 0.5::DOUBLE) * n / least(n, {EVENTS_LIMIT}))::BIGINT AS point_index FROM box, range({EVENTS_LIMIT}) r(i) WHERE i < n) JOIN cloud USING (point_index)"))
+def uniform_sample(spark, sf_dir):
+    return sample.uniform_sample(clouds.events(spark, sf_dir), EVENTS_LIMIT).select("sample_index", "point_index", *_doubles("x", "y", "z", "mass"))
+
+
+@query(_events("SELECT record_index, bin, k, point_index, qx, qy, qz, qm FROM quantized"))
+def quantized_records(spark, sf_dir):
+    return _records(clouds.events(spark, sf_dir), EVENTS_LIMIT).select("record_index", "bin", "k", "point_index", "qx", "qy", "qz", "qm")
+
+
+@query(_sql(clouds.LINEITEM_SQL, DEFAULT_MAX_POINTS, "SELECT record_index, bin, k, point_index, qx, qy, qz, qm FROM quantized"))
+def quantized_lineitem(spark, sf_dir):
+    return _records(clouds.lineitem(spark, sf_dir), DEFAULT_MAX_POINTS).select("record_index", "bin", "k", "point_index", "qx", "qy", "qz", "qm")
+
+
+@query(_sql(clouds.EMBEDDINGS_SQL, EMBEDDINGS_LIMIT, "SELECT record_index, bin, k, point_index, qx, qy, qz, qm FROM quantized"))
+def quantized_embeddings(spark, sf_dir):
+    return _records(clouds.embeddings(spark, sf_dir), EMBEDDINGS_LIMIT).select("record_index", "bin", "k", "point_index", "qx", "qy", "qz", "qm")
+
+
+@query(_events("SELECT record_index, dx, dy, dz, dmass FROM decoded"))
+def decoded_points(spark, sf_dir):
+    return _decoded(clouds.events(spark, sf_dir), EVENTS_LIMIT).select("record_index", *_doubles("dx", "dy", "dz", "dmass"))
+
+
+@query(_events("SELECT count(*) AS n, max(abs(x::DOUBLE - dx)) AS x_error, max(abs(y::DOUBLE - dy)) AS y_error, max(abs(z::DOUBLE - dz)) AS z_error, max(abs(mass::DOUBLE - dmass)) FILTER (mass::DOUBLE BETWEEN 0 AND 300) AS mass_error FROM decoded"))
+def roundtrip_error(spark, sf_dir):
+    return quality_metrics.roundtrip_error(_decoded(clouds.events(spark, sf_dir), EVENTS_LIMIT))
+
+
+@query(_events("SELECT round(sum(abs(true_count / n - take / (SELECT sum(take) FROM alloc))) * 0.5, 9) AS total_variation FROM alloc, box"))
+def spectrum_tv(spark, sf_dir):
+    out = quality_metrics.total_variation(_spectra(clouds.events(spark, sf_dir), EVENTS_LIMIT))
+    return out.select(F.round("total_variation", 9).alias("total_variation"))
+
+
+@query(_events("SELECT sum(true_count)::BIGINT AS original_point_count, sum(take)::BIGINT AS stored_point_count, bool_or(take > true_count) AS exceeds FROM alloc"))
+def spectrum_integrity(spark, sf_dir):
+    return quality_metrics.integrity(_spectra(clouds.events(spark, sf_dir), EVENTS_LIMIT))
+
+
+_SIZE = f"{RECORDS_OFFSET} + 8 * (SELECT sum(take) FROM alloc)::BIGINT"
+
+
+@query(_events(f"SELECT n AS original_point_count, (SELECT sum(take)::BIGINT FROM alloc) AS stored_point_count, {_SIZE} AS file_size, x_min, x_max, y_min, y_max, z_min, z_max FROM box"))
+def header_summary(spark, sf_dir):
+    cloud = clouds.events(spark, sf_dir)
+    stored = _allocated(cloud, EVENTS_LIMIT).agg(F.sum("take").alias("stored_point_count"))
+    rows = spectrum.bounds(cloud).withColumnRenamed("n", "original_point_count").crossJoin(stored)
+    return rows.withColumn("file_size", F.lit(RECORDS_OFFSET) + F.col("stored_point_count") * 8)
+
+
+@query(_events(f"SELECT n * 16 AS original_bytes, {_SIZE} AS preview_bytes, round(n * 16 / ({_SIZE}), 3) AS compression_ratio FROM box"))
+def compression_ratio(spark, sf_dir):
+    rows = header_summary(spark, sf_dir).select((F.col("original_point_count") * 16).alias("original_bytes"), F.col("file_size").alias("preview_bytes"))
+    return rows.withColumn("compression_ratio", F.round(F.col("original_bytes") / F.col("preview_bytes"), 3))
+
+
+@query(_events(f"""SELECT p::INTEGER AS pixel, coalesce(max(true_count), 0)::BIGINT AS true_peak, coalesce(max(take), 0)::BIGINT AS stored_peak, round(ln(1 + coalesce(max(true_count), 0)) / ln(1 + any_value(peak)), 9) AS true_height, round(ln(1 + coalesce(max(take), 0) * any_value(scale)) / ln(1 + any_value(peak)), 9) AS stored_height
+FROM range({PIXELS}) r(p) CROSS JOIN (SELECT scale, greatest(1::DOUBLE, tm, sm * scale) AS peak FROM (SELECT sum(true_count) / sum(take) AS scale, max(true_count) AS tm, max(take) AS sm FROM alloc WHERE bin < 2400)) LEFT JOIN (SELECT * FROM alloc WHERE bin < 2400) a ON bin >= floor(p * (2400::DOUBLE / {PIXELS})) AND bin < ceil((p + 1) * (2400::DOUBLE / {PIXELS})) GROUP BY p"""))
+def spectrum_view(spark, sf_dir):
+    out = view.spectrum_view(_spectra(clouds.events(spark, sf_dir), EVENTS_LIMIT), PIXELS)
+    return out.withColumns({c: F.round(c, 9) for c in ("true_height", "stored_height")})
+
+
+_VIEW = "(x_min + x_max) * 0.5::DOUBLE AS center_x, (y_min + y_max) * 0.5::DOUBLE AS center_y, (z_min + z_max) * 0.5::DOUBLE AS center_z, 1::DOUBLE / greatest(x_max - x_min, y_max - y_min, z_max - z_min, 1e-9::DOUBLE) AS scale"
+
+
+@query(_events(f"SELECT n, {_VIEW} FROM box"))
+def view_normalization(spark, sf_dir):
+    return view.normalization(clouds.events(spark, sf_dir))
+
+
+@query(_events(f"""SELECT point_index, round((cos(-0.72::DOUBLE) * px - sin(-0.72::DOUBLE) * py) * 0.72::DOUBLE, 9) AS screen_x, round((cos(0.34::DOUBLE) * pz - sin(0.34::DOUBLE) * (sin(-0.72::DOUBLE) * px + cos(-0.72::DOUBLE) * py)) * 0.72::DOUBLE, 9) AS screen_y
+FROM (SELECT point_index, (x::DOUBLE - center_x) * scale AS px, (y::DOUBLE - center_y) * scale AS py, (z::DOUBLE - center_z) * scale AS pz FROM cloud, (SELECT {_VIEW} FROM box))"""))
+def view_projection(spark, sf_dir):
+    out = view.project(clouds.events(spark, sf_dir))
+    return out.select("point_index", F.round("screen_x", 9).alias("screen_x"), F.round("screen_y", 9).alias("screen_y"))
+
+
+def _mix(channel: int) -> str:
+    from ..functions.expressions import PALETTE
+
+    parts = [f"WHEN t < {(i + 1) / 4} THEN {PALETTE[i][channel]}::DOUBLE * (1 - (t * 4 - {i})) + {PALETTE[i + 1][channel]}::DOUBLE * (t * 4 - {i})" for i in range(3)]
+    return f"round(CASE {' '.join(parts)} ELSE {PALETTE[3][channel]}::DOUBLE * (1 - (t * 4 - 3)) + {PALETTE[4][channel]}::DOUBLE * (t * 4 - 3) END, 9)"
+
+
+@query(_events(f"SELECT point_index, {_mix(0)} AS red, {_mix(1)} AS green, {_mix(2)} AS blue FROM (SELECT point_index, least(greatest(mass::DOUBLE / 120::DOUBLE, 0), 1) AS t FROM cloud)"))
+def palette_colours(spark, sf_dir):
+    out = clouds.events(spark, sf_dir).select("point_index", *palette(F.col("mass")))
+    return out.withColumns({c: F.round(c, 9) for c in ("red", "green", "blue")})
+
+
+@query(_events("SELECT n, greatest(0.035::DOUBLE, least(0.18::DOUBLE, 18000::DOUBLE / n)) AS opacity, 1.2::DOUBLE AS point_size FROM box"))
+def point_style(spark, sf_dir):
+    return clouds.events(spark, sf_dir).agg(F.count("*").alias("n")).select("n", *view.point_style(F.col("n")))
+
+
+def _rounded(unit: int, name: str) -> str:
+    """Halves up, which printf alone doesn't do."""
+    v = f"size / {unit}"
+    return f"CASE WHEN {v} >= 10 THEN printf('%.1f {name}', floor({v} * 10 + 0.5) / 10) ELSE printf('%.2f {name}', floor({v} * 100 + 0.5) / 100) END"
+
+
+@query(_events(f"""SELECT bin, size, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN {_rounded(1024, "KB")} ELSE {_rounded(1048576, "MB")} END AS text,
+format('{{:,}}', size) AS grouped FROM (SELECT bin, (true_count * bin * 16)::BIGINT AS size FROM hist)"""))
+def formatted_sizes(spark, sf_dir):
+    rows = spectrum.histogram(clouds.events(spark, sf_dir)).select("bin", (F.col("true_count") * F.col("bin") * 16).alias("size"))
+    return rows.withColumns({"text": format_bytes(F.col("size")), "grouped": F.format_number("size", 0)})
+
+
+@query(_events(f"SELECT {_POINT} FROM cloud"))
+def pos_file_roundtrip(spark, sf_dir):
+    """Written as a point file and read again; here event ids are the order."""
+    path = scratch_path(spark, "cloud") + ".pos"
+    api.write_pos(clouds.events(spark, sf_dir), path)
+    return api.read_pos(spark, path).select("point_index", *_doubles("x", "y", "z", "mass"))
+
+
+@query(_events("SELECT record_index, dx AS x, dy AS y, dz AS z, dmass AS mass FROM decoded"))
+def preview_file_roundtrip(spark, sf_dir):
+    """Written as a preview and restored."""
+    return api.decode(spark, _preview(spark, sf_dir)).select("record_index", *_doubles("x", "y", "z", "mass"))
+
+
+@query(_events("SELECT b::INTEGER AS bin, coalesce(true_count, 0) AS true_count, coalesce(take, 0) AS stored_count FROM range(6000) r(b) LEFT JOIN alloc ON alloc.bin = b"))
+def preview_spectrum(spark, sf_dir):
+    return api.spectrum_counts(spark, _preview(spark, sf_dir))
+
+
+@query(_events("SELECT record_index, qx, qy, qz, qm FROM quantized"))
+def preview_records(spark, sf_dir):
+    return api.records(spark, _preview(spark, sf_dir))
+
+
+@query()
+def preview_header(spark, sf_dir):
+    """The header with its CRC-32, and what JSON shows of it."""
+    head = api.headers(spark, _preview(spark, sf_dir))
+    shown = F.struct(F.concat_ws(".", "container_version").alias("container_version"), F.concat_ws(".", "algorithm_version").alias("algorithm_version"), *[c for c in head.columns if c not in ("container_version", "algorithm_version", "payload_crc32")], F.lower(F.lpad(F.hex("payload_crc32"), 8, "0")).alias("payload_crc32"))
+    return head.select("original_point_count", "stored_point_count", "file_size", "payload_crc32", "max_points", F.to_json(shown).alias("json"))
+
+
+def _preview(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "preview") + ".preview"
+    api.encode(clouds.events(spark, sf_dir), path, EVENTS_LIMIT)
+    return path
