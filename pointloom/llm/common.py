@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize, scratch_dir
+
 #: A side of a join is broadcast only when it has been counted and is no larger than this many narrow rows.
 BROADCAST_ROWS = 200_000
 #: Groups above 1/HOT_GROUPS of all rows are split off as hot; there are fewer than HOT_GROUPS of them by counting.
 HOT_GROUPS = 10_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    global _LOCAL
-    _LOCAL = _LOCAL or tempfile.mkdtemp(prefix="spark-")
-    return f"file://{_LOCAL}"
-
-
-_LOCAL = ""
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared scratch folder and read it again: this cuts the lineage, and a lost
-    executor costs no more than a reread. The table stays until the folder is cleared."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
     """Two columns that name a document: its id and a 64-bit hash of its text. Rows with equal id and text are one
     document in two places, and get equal results."""
@@ -60,6 +36,23 @@ def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= bound else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with so many underscores that df has no such column in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """docs without the rows whose id and text are in bad (doc_id, text_key), all columns as they were. bad is
+    broadcast when counted to be small."""
+    key = free_name(docs, "__key")
+    bad = small(materialize(bad.select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct(), "without"))
+    keyed = docs.withColumn(key, row_key()[1])
+    return keyed.join(bad, keyed["doc_id"].cast("long").eqNullSafe(bad["__bad_id"]) & (keyed[key] == bad["__bad_key"]), "left_anti").drop(key)
+
+
 def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """Join rows with one row per group, where groups has each group's row count in column count.
 
@@ -76,5 +69,4 @@ def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str
     return first.unionByName(marked.where(F.col("__hot").isNull()).drop("__hot").join(rest, keys, how))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+__all__ = ["BROADCAST_ROWS", "HOT_GROUPS", "KEY", "free_name", "join_counted", "materialize", "on_key", "row_key", "scratch_dir", "small", "without"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, KEY, materialize, on_key, row_key, small
+from .common import BROADCAST_ROWS, KEY, materialize, on_key, row_key, small, without
 
 #: Words of a shingle, and the share of an item's shingles that a document must hold.
 SHINGLE, THRESHOLD = 5, 0.8
@@ -74,10 +74,7 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that hold an item, all columns kept."""
-    bad = small(materialize(find_contained(docs, items, threshold).select(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key")).distinct(), "contaminated"))
-    doc_id, text_key = row_key()
-    keyed = docs.withColumn("__key", text_key)
-    return keyed.join(bad, F.col("doc_id").cast("long").eqNullSafe(bad["__doc_id"]) & (keyed["__key"] == bad["__text_key"]), "left_anti").select(*docs.columns)
+    return without(docs, find_contained(docs, items, threshold))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

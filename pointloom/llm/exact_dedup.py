@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, materialize, small
+from .common import free_name, join_counted, materialize, small
 from .words import mix
 
 #: Cells of the filter for each row, and the most there can be (2**30 cells, one bit each: 128 MB to each executor).
@@ -39,7 +39,7 @@ def repeat_filter(keys: DataFrame, rows: int) -> np.ndarray:
 
     Each task counts its own hits and sends them by segment; one task per segment adds them up. Only these bits, of
     bounded size, come to the driver."""
-    cells = 1 << max(20, min(MOST_CELLS.bit_length() - 1, (rows * CELLS_PER_ROW - 1).bit_length()))
+    cells = 1 << max(SEGMENT.bit_length() - 1, min(MOST_CELLS.bit_length() - 1, (rows * CELLS_PER_ROW - 1).bit_length()))
     name = keys.columns[0]
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +117,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct((-F.col("__length")).alias("l"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id")))
     stay = rows.groupBy("text_sha256").agg(first.alias("f")).select(F.col("text_sha256").alias("__s"), (-F.col("f.l")).alias("__l"), F.col("f.doc_id").alias("__d"))
     stay = small(materialize(stay, "stay"))
-    own = docs.withColumns({"__sha": text, "__flag": may_repeat(spark, bits, key)})
-    again = own.where("__flag")
-    again = again.join(stay, (again["__sha"] == stay["__s"]) & (F.coalesce(F.length("text"), F.lit(0)) == stay["__l"]) & F.col("doc_id").cast("long").eqNullSafe(stay["__d"]), "left_semi")
-    return own.where("NOT __flag").select(*docs.columns).unionByName(again.dropDuplicates(["__sha"]).select(*docs.columns))
+    sha, flag = free_name(docs, "__sha"), free_name(docs, "__flag")
+    own = docs.withColumns({sha: text, flag: may_repeat(spark, bits, key)})
+    again = own.where(F.col(flag))
+    again = again.join(stay, (again[sha] == stay["__s"]) & (F.coalesce(F.length(again["text"]), F.lit(0)) == stay["__l"]) & again["doc_id"].cast("long").eqNullSafe(stay["__d"]), "left_semi")
+    return own.where(~F.col(flag)).drop(sha, flag).unionByName(again.dropDuplicates([sha]).drop(sha, flag))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import KEY, join_counted, materialize, row_key, small
+from .common import KEY, join_counted, materialize, row_key, small, without
 from .components import connected_components
 
 #: Words of a shingle, and the least similarity.
@@ -298,10 +298,7 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with only the smallest doc_id of each class, all columns kept. Rows that share a class and its smallest
     doc_id all stay; a class whose ids are all null stays whole."""
-    others = ngram_classes(docs, threshold).where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    bad = small(materialize(others.select(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key")).distinct(), "others"))
-    keyed = docs.withColumn("__key", row_key()[1])
-    return keyed.join(bad, F.col("doc_id").cast("long").eqNullSafe(bad["__doc_id"]) & (keyed["__key"] == bad["__text_key"]), "left_anti").select(*docs.columns)
+    return without(docs, ngram_classes(docs, threshold).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))))
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import KEY, join_counted, materialize, row_key, small
+from .common import KEY, join_counted, materialize, row_key, small, without
 
 #: Labelled documents that the classifier is fitted on at most: those with the smallest hashes of their ids.
 TRAINING_ROWS = 20_000
@@ -90,7 +90,7 @@ def fit(found: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, roun
         telling |= np.abs(have[1] / max(with_, 1) - have[0] / max(without, 1)) >= LEAST_ERRORS * error
     rows = [b[telling[b]] for b, _ in found]
     word, flat, rng = np.zeros((BUCKETS, heads), np.float32), np.zeros((_SURFACE + 1, heads)), np.random.default_rng(seed)
-    rate = (labels.mean(axis=0) if n else np.full(heads, 0.5)).clip(1e-3, 1 - 1e-3)
+    rate = (labels.mean(axis=0) if n else np.zeros(heads)).clip(1e-3, 1 - 1e-3)
     flat[-1] = np.log(rate / (1 - rate))
     word_g, flat_g = np.full((BUCKETS, heads), 1.0, np.float32), np.full((_SURFACE + 1, heads), 1.0)
     for _ in range(rounds):
@@ -204,10 +204,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, reject
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """docs without those that judge rejects, all columns kept."""
-    judged = judge(docs, labels, host, path).where("NOT kept").select(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key")).distinct()
-    bad = small(materialize(judged, "rejected"))
-    keyed = docs.withColumn("__key", row_key()[1])
-    return keyed.join(bad, F.col("doc_id").cast("long").eqNullSafe(bad["__doc_id"]) & (keyed["__key"] == bad["__text_key"]), "left_anti").select(*docs.columns)
+    return without(docs, judge(docs, labels, host, path).where("NOT kept"))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

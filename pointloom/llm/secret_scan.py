@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, materialize, on_key, row_key, small
+from .common import KEY, materialize, row_key, small
 
 
 @dataclass(frozen=True)
