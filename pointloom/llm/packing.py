@@ -18,8 +18,8 @@ from . import words
 from .common import materialize
 from .sharding import number_slots
 
-#: Words of one generation that a Python worker remembers the ids of; two generations are kept, some 200 MB.
-MOST_WORDS = 500_000
+#: Words of one generation that a Python worker remembers the ids of; two generations are kept, some 90 MB.
+MOST_WORDS = 300_000
 
 # The signs after an ASCII letter or digit and before another, or the end, that the tokenizer cuts off.
 # Signs beside an apostrophe stay, as "'s" is one piece.

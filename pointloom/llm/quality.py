@@ -18,7 +18,7 @@ from .common import KEY, join_counted, materialize, row_key, small, without
 TRAINING_ROWS = 20_000
 #: Hash buckets of words. A word counts if the labelled documents with and without a label differ in how many have it by
 #: this many standard errors.
-BUCKETS, LEAST_ERRORS = 1 << 20, 6.0
+BUCKETS, LEAST_ERRORS = 1 << 19, 6.0
 #: A document is rejected when the chance that it is of low quality, or that it is toxic, is at least this.
 REJECT = 0.5
 
@@ -140,7 +140,7 @@ def evidence(docs: DataFrame, model: Classifier, host: Column, path: Column) ->
     named = lambda c: F.coalesce(c.cast("string"), F.lit(""))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in words.chunks(batches, limit=3 << 20):
+        for batch, texts in words.chunks(batches):
             chance = 1 / (1 + np.exp(-shared.value.logits(texts).clip(-30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, pa.array(chance[:, 0]), pa.array(chance[:, 1])], names=["doc_id", "text_key", "host", "path", "bad", "toxic"])
 

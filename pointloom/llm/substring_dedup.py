@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from . import words
 from .words import planes, runs, unplanes
 
+#: Bytes of text of one chunk; larger ones send less, as a chunk sends a window's hash once.
+CHUNK = 6 << 20
 #: What stands for a null doc_id: before all others.
 NULL_ID = -(2**63)
 
@@ -27,7 +29,7 @@ def bucket_windows(window: int, buckets: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "places", "again", "hashes"))])
-        for batch, texts in words.chunks(batches):
+        for batch, texts in words.chunks(batches, limit=CHUNK):
             ids = np.array([NULL_ID if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
             order = np.argsort(ids, kind="stable")
             ids = ids[order]

@@ -16,7 +16,7 @@ _MASK = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [0xFFFFFFFFFFFFFFFF],
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # odd multipliers, by seed
 
 #: Bytes of text that are worked on at once; one longer text is a chunk of its own.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,6 +93,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(column)] if len(column) else []
         for a, b in zip(edges, edges[1:], strict=False):
             yield batch.slice(a, b - a), [t or b"" for t in column.slice(a, b - a).to_pylist()]
+    pa.default_memory_pool().release_unused()  # the worker may long serve other stages
 
 
 def planes(x: np.ndarray) -> bytes:
