@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import zlib
 
@@ -81,6 +82,26 @@ def inspect_json(path: str) -> str:
     return json.dumps(inspect(path).to_dict(), indent=2)
 
 
+def sidecar(spark: SparkSession, source: str, preview: str, **more: str) -> dict:
+    """What to publish beside a preview: sizes, counts, ratio, versions and SHA-256, and whatever more says. The files
+    are read and digested in tasks."""
+    header = inspect(preview)
+    sizes = {r["path"].rsplit("/", 1)[-1]: r for r in spark.read.format("binaryFile").load([source, preview]).select("path", "length", F.sha2("content", 256).alias("sha256")).collect()}
+    original, packed = (sizes[p.rsplit("/", 1)[-1]] for p in (source, preview))
+    return more | {
+        "source_file": source.rsplit("/", 1)[-1],
+        "generated_at": datetime.datetime.now(datetime.UTC).isoformat(),
+        "original_size_bytes": original["length"],
+        "preview_size_bytes": packed["length"],
+        "original_point_count": header.original_point_count,
+        "stored_point_count": header.stored_point_count,
+        "compression_ratio": round(original["length"] / packed["length"], 3),
+        "container_version": header.to_dict()["container_version"],
+        "algorithm_version": header.to_dict()["algorithm_version"],
+        "sha256": packed["sha256"],
+    }
+
+
 def _section(spark: SparkSession, path: str, section: str, verify: bool) -> DataFrame:
     register(spark)
     return spark.read.format("preview").options(section=section, verify_checksum=str(verify).lower()).load(path)

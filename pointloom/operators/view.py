@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,11 @@ def spectrum_view(spectrum: DataFrame, width: int, max_mass: float = VIEW_MASS)
     return out.select("pixel", "true_peak", "stored_peak", height(F.col("true_peak").cast("double")).alias("true_height"), height(F.col("stored_peak") * F.col("scale")).alias("stored_height"))
 
 
+def moved_camera(pitch: float, zoom: float, tilt: float = 0.0, wheel: float = 0.0) -> tuple[float, float]:
+    """Pitch and zoom after a tilt and a turn of the wheel, within what the viewer allows."""
+    return max(-1.45, min(1.45, pitch + tilt)), max(0.15, min(8.0, zoom * math.exp(-wheel * 0.001)))
+
+
 def axis_ticks(spark, max_mass: float = VIEW_MASS, step: int = 20) -> DataFrame:
     """Where the labels of the mass axis stand, as shares of its length."""
     return spark.range(0, int(max_mass) + 1, step).select(F.col("id").cast("int").alias("mass"), (F.col("id") / F.lit(max_mass)).alias("place"))

@@ -273,3 +273,17 @@ def test_command_line(spark, tmp_path, capsys):
     with pytest.raises(SystemExit) as stopped:
         main(["encode", "only one"])
     assert stopped.value.code == 2
+
+
+def test_sidecar_and_view_helpers(spark, tmp_path):
+    import hashlib
+
+    from pointloom.operators import view
+
+    (tmp_path / "a.pos").write_bytes(np.array(TEN, ">f4").tobytes())
+    (tmp_path / "a.preview").write_bytes(model(TEN, 4))
+    got = api.sidecar(spark, str(tmp_path / "a.pos"), str(tmp_path / "a.preview"), title="ten points")
+    assert (got["title"], got["original_size_bytes"], got["preview_size_bytes"], got["stored_point_count"]) == ("ten points", 160, 48160, 4)
+    assert got["sha256"] == hashlib.sha256(model(TEN, 4)).hexdigest() and got["compression_ratio"] == round(160 / 48160, 3)
+    assert [tuple(r) for r in view.axis_ticks(spark).limit(2).collect()] == [(0, 0.0), (20, 20 / 120)]
+    assert view.moved_camera(1.4, 8.0, 0.5, -100) == (1.45, 8.0)
