@@ -155,7 +155,7 @@ def _oracle() -> str:
     for i, r in enumerate(RULES):
         regex = spelled(r.regex).replace("'", "''")
         parts.append(f"""SELECT id, {i} AS k, '{r.kind}' AS kind,
-      list_transform(range(1, len(hit) + 1), lambda i: {{'s': list_sum(list_transform(pre[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:i-1], lambda x: length(x))), 0), 'n': length(hit[i]), 'v': length(val[i])}}) AS m, {r.least} AS least
+      list_transform(list_filter(range(1, len(hit) + 1), lambda i: length(val[i]) >= {r.least}), lambda i: {{'s': list_sum(list_transform(pre[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:i-1], lambda x: length(x))), 0), 'n': length(hit[i]), 'v': length(val[i])}}) AS m, {r.least} AS least
     FROM (SELECT id, regexp_extract_all(text, '{regex}', 0) AS hit, regexp_extract_all(text, '{regex}', {r.group}) AS val, string_split_regex(text, '{regex}') AS pre FROM d WHERE regexp_matches(text, '{regex}')) WHERE len(hit) > 0""")
     return f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
   found AS ({" UNION ALL ".join(parts)}),
