@@ -96,13 +96,16 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
     pa.default_memory_pool().release_unused()  # the worker may long serve other stages
 
 
-def planes(x: np.ndarray) -> bytes:
-    """32-bit numbers with their lowest bytes first and then the higher ones, which are mostly zero and compress away."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def planes(x: np.ndarray, width: int = 4) -> bytes:
+    """Whole numbers of width bytes with their lowest bytes first and then the higher ones, which are mostly zero and
+    compress away."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def unplanes(data: bytes, width: int = 4) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel().astype(np.int64)
 
 
 def runs(x: np.ndarray) -> np.ndarray:

@@ -243,9 +243,9 @@ def test_score_is_a_probability():
     corpus = [b" ".join(vocabulary[min(int(rng.exponential(30)), 299)] for _ in range(200)) for _ in range(40)]
     token, _ = lm_scoring.tokens(corpus)
     distinct, count = np.unique(token, return_counts=True)
-    pair, first, pair_n = np.unique(lm_scoring.pairs_of(token), return_index=True, return_counts=True)
-    before = np.concatenate([[lm_scoring._END], token[:-1]])[first]
-    often = pair_n >= lm_scoring.LEAST_PAIR
+    before = np.concatenate([[lm_scoring._END], token[:-1]])
+    pair, first, pair_n = np.unique(lm_scoring.as_pair(before, lm_scoring.pairs_of(token)), return_index=True, return_counts=True)
+    before, often = before[first], pair_n >= lm_scoring.LEAST_PAIR
     context, code = np.unique(before[often], return_inverse=True)
     keys = np.concatenate([distinct, pair[often], lm_scoring.as_context(context)])
     counts = np.concatenate([count, pair_n[often], np.bincount(code, pair_n[often]).astype(int)])
@@ -255,10 +255,12 @@ def test_score_is_a_probability():
     assert (estimate >= 0.74 * count).all()  # nothing is missed
     assert (estimate <= 1.26 * count).mean() > 0.95  # but the filter errs upwards now and then
     for v in vocabulary[:5]:
-        pairs = lm_scoring.mix(lm_scoring.mix(lm_scoring.tokens([v])[0][:1] + np.uint64(1)) + distinct)
-        ctx = model.counts(lm_scoring.as_context(lm_scoring.tokens([v])[0][:1]), lm_scoring.tokens([v])[0][:1])[0]
+        first = lm_scoring.tokens([v])[0][:1]
+        after = np.array([lm_scoring.pairs_of(np.array([first[0], w]))[1] for w in distinct])
+        pairs = lm_scoring.as_pair(first, after)
+        ctx = model.counts(lm_scoring.as_context(first), first)[0]
         alone = (estimate + 0.5) / (model.tokens + 0.5 * (model.types + 1))
-        both = np.minimum(model.counts(pairs, np.repeat(lm_scoring.tokens([v])[0][:1], len(pairs))), ctx)
+        both = np.minimum(model.counts(pairs, np.repeat(first, len(pairs))), ctx)
         assert abs(((both + lm_scoring.PRIOR * alone) / (ctx + lm_scoring.PRIOR)).sum() - 1) < 0.15
 
 
