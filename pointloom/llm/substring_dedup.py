@@ -20,15 +20,23 @@ CHUNK = 6 << 20
 NULL_ID = -(2**63)
 
 
-BUCKET_ROWS = "bucket int, ids binary, counts binary, places binary, again binary, hashes binary"
+BUCKET_ROWS = "bucket int, ids binary, counts binary, places binary, hashes binary"
 
 
 def bucket_windows(window: int, buckets: int):
-    """Deal the windows of each chunk of texts over buckets by hash. Only a hash's first window in the chunk carries its
-    hash; the later ones are already known to be repeats, so one passage in all texts adds one hash a chunk."""
+    """Deal the first window of each hash in a chunk of texts over buckets by hash. The later ones are known to be repeats
+    already; they go in a row without hashes to a bucket that the chunk picks. So one passage in all texts adds one
+    window a chunk to its bucket."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "places", "again", "hashes"))])
+        schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "places", "hashes"))])
+
+        def packed(bucket: int, ids: np.ndarray, doc: np.ndarray, place: np.ndarray, hashes: bytes | None) -> tuple:
+            new = runs(doc)
+            step = np.diff(place, prepend=0)
+            step[new[:-1]] = place[new[:-1]]
+            return bucket, np.diff(ids[doc[new[:-1]]], prepend=0).tobytes(), planes(np.diff(new)), planes(step), hashes
+
         for batch, texts in words.chunks(batches, limit=CHUNK):
             ids = np.array([NULL_ID if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
             order = np.argsort(ids, kind="stable")
@@ -42,36 +50,39 @@ def bucket_windows(window: int, buckets: int):
             bucket = (words.window_hashes(found.hashes(1), window, 1)[at] % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
             place = at - found.first[doc]
             sort = np.argsort(value, kind="stable")
-            again = np.zeros(len(at), bool)
-            again[sort[1:]] = value[sort[1:]] == value[sort[:-1]]
-            sort = np.argsort(bucket, kind="stable")
-            doc, place, value, again, bucket = doc[sort], place[sort], value[sort], again[sort], bucket[sort]
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            edges = runs(value[sort])
+            first = np.repeat(sort[edges[:-1]], np.diff(edges))
+            again = np.zeros(len(at), bool)  # but the same place of a repeated row isn't a repeat
+            again[sort] = (ids[doc[sort]] != ids[doc[first]]) | (place[sort] != place[first])
             rows = []
+            if again.any():
+                rows.append(packed(int(value[0] % np.uint64(buckets)), ids, doc[again], place[again], None))
+            doc, place, value, bucket = doc[~again], place[~again], value[~again], bucket[~again]
+            sort = np.argsort(bucket, kind="stable")
+            doc, place, value, bucket = doc[sort], place[sort], value[sort], bucket[sort]
+            edges = runs(bucket)
             for a, b in zip(edges, edges[1:], strict=False):
-                new = np.concatenate([[0], np.flatnonzero(np.diff(doc[a:b])) + 1])
-                step = np.diff(place[a:b], prepend=0)
-                step[new] = place[a:b][new]
-                here = ids[doc[a:b][new]]
-                rows.append((int(bucket[a]), np.diff(here, prepend=0).tobytes(), planes(np.diff(np.append(new, b - a))), planes(step), np.packbits(again[a:b]).tobytes(), value[a:b][~again[a:b]].tobytes()))
+                rows.append(packed(int(bucket[a]), ids, doc[a:b], place[a:b], value[a:b].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return task
 
 
-def unpack(row: dict) -> tuple[np.ndarray, ...]:
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
     ids = np.cumsum(np.frombuffer(row["ids"], np.int64))
-    counts, step = unplanes(row["counts"]).astype(np.int64), unplanes(row["places"]).astype(np.int64)
-    again = np.unpackbits(np.frombuffer(row["again"], np.uint8), count=len(step)).astype(bool)
+    counts, step = unplanes(row["counts"]), unplanes(row["places"])
     sums, first = np.cumsum(step), np.cumsum(counts) - counts
     place = sums - np.repeat(sums[first] - step[first], counts)
-    return np.repeat(ids, counts), place.astype(np.uint32), again, np.frombuffer(row["hashes"], np.uint64)
+    return np.repeat(ids, counts), place.astype(np.uint32)
 
 
 def repeats(table: pa.Table, parts: int) -> pa.Table:
     """All windows of one bucket: those that repeat an earlier one, dealt over parts of the documents."""
-    doc, place, again, value = (np.concatenate(c) for c in zip(*[unpack(row) for row in table.to_pylist()], strict=True))
-    one_doc, one_place = doc[~again], place[~again]
+    rows = table.to_pylist()
+    none = [(np.zeros(0, np.int64), np.zeros(0, np.uint32))]
+    doc, place = (np.concatenate(c) for c in zip(*none, *[unpack(r) for r in rows if r["hashes"] is None], strict=True))
+    one_doc, one_place = (np.concatenate(c) for c in zip(*none, *[unpack(r) for r in rows if r["hashes"] is not None], strict=True))
+    value = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["hashes"], np.uint64) for r in rows if r["hashes"] is not None]])
     sort = np.argsort(value)
     value = value[sort]
     same = np.zeros(len(value) + 1, bool)
@@ -81,7 +92,7 @@ def repeats(table: pa.Table, parts: int) -> pa.Table:
     # the first of each hash stays, and so does the very same window of a repeated row
     start = np.maximum.accumulate(np.where(np.diff(value, prepend=value[:1] - np.uint64(1)) != 0, np.arange(len(value)), 0)) if len(value) else sort
     later = sort[(one_doc[sort] != one_doc[sort[start]]) | (one_place[sort] != one_place[sort[start]])]
-    doc, place = np.concatenate([doc[again], one_doc[later]]), np.concatenate([place[again], one_place[later]])
+    doc, place = np.concatenate([doc, one_doc[later]]), np.concatenate([place, one_place[later]])
     sort = np.lexsort((place, doc))
     return by_document(doc[sort], place[sort], parts)
 

@@ -151,6 +151,8 @@ def test_substring_of_repeated_rows(make):
     got = OPERATORS["substring"](make([(1, text), (1, text), (2, text), (None, text)])).collect()
     # the null id comes first, so it keeps its words, and the others lose theirs
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (1, 30), (1, 30), (2, 30)]
+    for parts in (1, 2):
+        assert [r["n_removed"] for r in OPERATORS["substring"](make([(1, text), (1, text)], parts)).collect()] == [0, 0]
 
 
 def test_ngram_of_odd_rows(make, odd_rows):
