@@ -264,14 +264,17 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     sketches = materialize(sketch(docs), "sketches")
     rows = sketches.where("node IS NOT NULL").select(*KEY, "node")
-    nodes = materialize(rows.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")), "nodes")
+    # one row for each different text, so that copies go no further
+    texts = sketches.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    texts = materialize(texts, "texts")
+    nodes = texts.select("node", "copies", "first_id")
 
     # 1. buckets of bands with at least two nodes
-    bands = sketches.where("node IS NOT NULL").select("node", F.explode("bands").alias("band"))
+    bands = texts.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("band")
-    members = materialize(bands.join(shared, "band").distinct(), "members")
+    members = materialize(bands.join(shared, "band"), "members")
     meant = small(materialize(members.select("node").distinct(), "meant"))
-    values = materialize(sketches.join(meant, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")), "values")
+    values = texts.select("node", "sketch").join(meant, "node", "left_semi")
     # 2. pairs of a bucket, pruned by the posterior
     least = least_matches(threshold)
     dealt = deal(members, "band", "node").join(values, "node").select("group", "band", "node", "sketch", "i", "j", "own")
@@ -279,8 +282,8 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     parts = materialize(connected_components(edges).withColumnRenamed("root", "component").join(nodes, "node"), "components")
     # 3. exact sets of what is left
     first = small(parts).withColumnRenamed("first_id", "__first")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(first, F.col("doc_id").eqNullSafe(F.col("__first")))
-    sets = materialize(sets_of(texts).dropDuplicates(["node"]), "sets")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(first, F.col("doc_id").eqNullSafe(F.col("__first")))
+    sets = materialize(sets_of(found).dropDuplicates(["node"]), "sets")
     dealt = deal(sets, "component", "node")
     links = materialize(dealt.groupBy("group").applyInArrow(lambda _, t: exact_links(t, threshold), "node long, n_texts long, n_docs long, root long"), "links")
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
