@@ -53,20 +53,15 @@ def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     return keyed.join(bad, keyed["doc_id"].cast("long").eqNullSafe(bad["__bad_id"]) & (keyed[key] == bad["__bad_key"]), "left_anti").drop(key)
 
 
-def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
-    """Join rows with one row per group, where groups has each group's row count in column count.
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of rows with one row per group, where groups has each group's row count in column count.
 
     Groups above total / HOT_GROUPS rows, of which there can't be more than HOT_GROUPS, are broadcast, so a key that
     holds a third of all rows isn't shuffled to one task; the others meet in a shuffle join."""
     hot = F.col(count) > F.lit(max(1, total // HOT_GROUPS))
     big, rest = groups.where(hot), groups.where(~hot)
-    names = [c for c in groups.columns if c not in keys]
-    if how == "inner":
-        big_rows = rows.join(F.broadcast(big), keys, "inner")
-        return big_rows.unionByName(rows.join(F.broadcast(big.select(keys)), keys, "left_anti").join(rest, keys, "inner"))
-    marked = rows.join(F.broadcast(big.select(*keys, F.struct(*names).alias("__hot"))), keys, "left")
-    first = marked.where(F.col("__hot").isNotNull()).select(*rows.columns, *[F.col(f"__hot.{n}").alias(n) for n in names])
-    return first.unionByName(marked.where(F.col("__hot").isNull()).drop("__hot").join(rest, keys, how))
+    cold_rows = rows.join(F.broadcast(big.select(keys)), keys, "left_anti")
+    return rows.join(F.broadcast(big), keys).unionByName(cold_rows.join(rest, keys))
 
 
 __all__ = ["BROADCAST_ROWS", "HOT_GROUPS", "KEY", "free_name", "join_counted", "materialize", "on_key", "row_key", "scratch_dir", "small", "without"]

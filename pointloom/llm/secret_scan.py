@@ -85,8 +85,10 @@ def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]]) -> Da
 
     Postings meet by document, each adding its bit to a mask for each alternative, so nothing is collected and equal
     postings do no harm."""
-    terms = [(rule, alternative, t, 1 << bit, (1 << len(have)) - 1) for rule, sets in queries.items() for alternative, have in enumerate(sets) for bit, t in enumerate(sorted(have))]
-    table = index.sparkSession.createDataFrame(terms, "rule int, alternative int, trigram string, bit long, whole long")
+    term = lambda **fields: F.struct(*[F.lit(v).alias(k) for k, v in fields.items()])
+    long = lambda v: F.lit(v).cast("long")
+    terms = [term(rule=rule, alternative=alternative, trigram=t, bit=long(1 << bit), whole=long((1 << len(have)) - 1)) for rule, sets in queries.items() for alternative, have in enumerate(sets) for bit, t in enumerate(sorted(have))]
+    table = index.sparkSession.range(1).select(F.inline(F.array(*terms)))
     met = index.join(F.broadcast(table), "trigram").groupBy(*KEY, "rule", "alternative", "whole").agg(F.bit_or("bit").alias("bits"))
     rules = met.where("bits = whole").select(*KEY, F.expr("shiftleft(1L, rule)").alias("bit"))
     return materialize(rules.groupBy(*KEY).agg(F.bit_or("bit").alias("rules")), "candidates")
@@ -117,10 +119,11 @@ def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     Rules with mandatory trigrams look only at the documents that the index offers; the others read every text. Null
     and empty texts have no spans. A null doc_id is kept. Repeated rows each come back. Other columns are ignored."""
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.regex))}
-    index = build_index(docs, sorted({t for q in queries.values() for s in q for t in s}))
-    offered = small(candidates(index, queries).withColumnsRenamed({k: f"__{k}" for k in KEY}))
     rows = docs.select(*row_key(), F.coalesce("text", F.lit("")).alias("__text"))
-    rows = rows.join(offered, rows["doc_id"].eqNullSafe(offered["__doc_id"]) & (rows["text_key"] == offered["__text_key"]), "left")
+    if queries:
+        index = build_index(docs, sorted({t for q in queries.values() for s in q for t in s}))
+        offered = small(candidates(index, queries).withColumnsRenamed({k: f"__{k}" for k in KEY}))
+        rows = rows.join(offered, rows["doc_id"].eqNullSafe(offered["__doc_id"]) & (rows["text_key"] == offered["__text_key"]), "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found = []
     for i, rule in enumerate(rules):

@@ -100,6 +100,12 @@ def test_secrets(make):
     assert [secret_scan.RULES[s[1]].kind for s in got[8, 3]] == ["slack", "github", "pem"]
 
 
+def test_rules_without_trigrams(make):
+    rules = [r for r in secret_scan.RULES if r.kind == "hex"]
+    got = secret_scan.scan_secrets(make([(1, "0123456789abcdef" * 2), (2, "none")]), rules).collect()
+    assert sorted((r["doc_id"], len(r["spans"])) for r in got) == [(1, 1), (2, 0)]
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query("[0-9a-f]+") is None
     assert secret_scan.trigram_query("AKIA[A-Z]+") == [{"aki", "kia"}]
