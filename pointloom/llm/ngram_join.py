@@ -173,6 +173,7 @@ def candidate_edges(table: pa.Table, least: dict[int, int]) -> pa.Table:
             moved = np.flatnonzero(root != np.arange(len(every)))
             out_a.append(node[every[moved]])
             out_b.append(node[every[root[moved]]])
+    words.give_back()
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return pa.table({"a": join(out_a), "b": join(out_b)})
 
@@ -232,6 +233,7 @@ def exact_links(table: pa.Table, threshold: float) -> pa.Table:
             texts[right] += linked.sum(axis=0)
             docs[right] += linked.T @ copies[left]
         out.append((node[every], texts[every], docs[every], node[root]))
+    words.give_back()
     columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
     return pa.table(dict(zip(("node", "n_texts", "n_docs", "root"), columns, strict=True)))
 

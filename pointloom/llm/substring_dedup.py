@@ -94,6 +94,7 @@ def repeats(table: pa.Table, parts: int) -> pa.Table:
     later = sort[(one_doc[sort] != one_doc[sort[start]]) | (one_place[sort] != one_place[sort[start]])]
     doc, place = np.concatenate([doc, one_doc[later]]), np.concatenate([place, one_place[later]])
     sort = np.lexsort((place, doc))
+    words.give_back()
     return by_document(doc[sort], place[sort], parts)
 
 

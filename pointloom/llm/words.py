@@ -4,6 +4,8 @@ A word is a run of bytes other than space and 0x09-0x0D in the UTF-8 text."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,6 +86,13 @@ def window_starts(first: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(ok[:-1]))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker may long serve, or idle beside, other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do without
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about limit bytes of text each, and their texts; null is empty."""
     for batch in batches:
@@ -93,7 +102,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(column)] if len(column) else []
         for a, b in zip(edges, edges[1:], strict=False):
             yield batch.slice(a, b - a), [t or b"" for t in column.slice(a, b - a).to_pylist()]
-    pa.default_memory_pool().release_unused()  # the worker may long serve other stages
+    give_back()
 
 
 def planes(x: np.ndarray, width: int = 4) -> bytes:
