@@ -15,7 +15,7 @@ from . import words
 from .common import KEY, join_counted, materialize, row_key, small, without
 
 #: Labelled documents that the classifier is fitted on at most: those with the smallest hashes of their ids.
-TRAINING_ROWS = 20_000
+TRAINING_ROWS = 12_000
 #: Hash buckets of words. A word counts if the labelled documents with and without a label differ in how many have it by
 #: this many standard errors.
 BUCKETS, LEAST_ERRORS = 1 << 19, 6.0
@@ -131,7 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Clas
     # copies of a text would make its words look telling, so each text counts once
     got = {(r["words"], r["surface"]): r for r in got.toLocalIterator()}.values()
     got = sorted(((r["doc_id"], r["bad"], r["toxic"], r["words"], r["surface"]) for r in got), key=lambda r: (r[0], r[3]))
-    return fit([(np.frombuffer(r[3], "<u4"), np.frombuffer(r[4])) for r in got], np.array([r[1:3] for r in got], float).reshape(-1, 2))
+    model = fit([(np.frombuffer(r[3], "<u4"), np.frombuffer(r[4])) for r in got], np.array([r[1:3] for r in got], float).reshape(-1, 2))
+    del got
+    words.give_back()
+    return model
 
 
 def evidence(docs: DataFrame, model: Classifier, host: Column, path: Column) -> DataFrame:
