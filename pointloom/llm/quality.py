@@ -129,10 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Clas
 
     got = rows.select("doc_id", F.col("bad").cast("int"), F.col("toxic").cast("int"), "text").mapInArrow(task, "doc_id long, bad int, toxic int, words binary, surface binary").limit(most)
     # copies of a text would make its words look telling, so each text counts once
-    got = {(r["words"], r["surface"]): r for r in got.toLocalIterator()}.values()
-    got = sorted(((r["doc_id"], r["bad"], r["toxic"], r["words"], r["surface"]) for r in got), key=lambda r: (r[0], r[3]))
+    every = sorted((tuple(r) for r in got.toLocalIterator()), key=lambda r: (r[0], r[3]))
+    got = list({r[3:]: r for r in reversed(every)}.values())[::-1]
     model = fit([(np.frombuffer(r[3], "<u4"), np.frombuffer(r[4])) for r in got], np.array([r[1:3] for r in got], float).reshape(-1, 2))
-    del got
+    del got, every
     words.give_back()
     return model
 
