@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import global_index
 from ..operators.spectrum import as_cloud
+from ..scratch import materialize
 
 _LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -25,9 +26,10 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantity, discount, tax and price of each line, numbered by all its columns, as no fewer tell lines apart."""
+    """Quantity, discount, tax and price of each line, numbered by all its columns, as no fewer tell lines apart. It is
+    read several times, so it is numbered once and written."""
     rows = global_index(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_LINE), _LINE)
-    return as_cloud(rows.select("point_index", F.col("l_quantity").alias("x"), (F.col("l_discount") + 0.0).alias("y"), (F.col("l_tax") + 0.0).alias("z"), (F.col("l_extendedprice") / 350).alias("mass")))
+    return materialize(as_cloud(rows.select("point_index", F.col("l_quantity").alias("x"), (F.col("l_discount") + 0.0).alias("y"), (F.col("l_tax") + 0.0).alias("z"), (F.col("l_extendedprice") / 350).alias("mass"))), "lineitem")
 
 
 EVENTS_SQL = "SELECT event_id AS point_index, user_id::FLOAT AS x, hour(ts)::FLOAT AS y, day(ts)::FLOAT AS z, value::FLOAT AS mass FROM events"
