@@ -18,8 +18,8 @@ from .words import mix, planes, unplanes
 BASE = 1.5
 #: Bits for each entry, probes of an entry, and the bits that the filter has at most: 256 MB. Past that it errs more.
 BITS, PROBES, MOST_BITS = 10, 4, 1 << 31
-#: Word pairs seen less often aren't kept in the model.
-LEAST_PAIR = 2
+#: Word pairs seen less often aren't kept in the model: all that training texts have are.
+LEAST_PAIR = 1
 #: Weight of the single-word model in that of a word after another, in counts.
 PRIOR = 30.0
 

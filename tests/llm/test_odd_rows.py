@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -244,6 +245,14 @@ def test_scores_of_odd_rows(make, odd_rows):
     assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_pairs_seen_once_count(make):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    train = [i for i in range(100) if i not in held and zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(make([(train[0], "red fox"), (train[1], "blue hen"), (held[0], "red fox"), (held[1], "red hen")])).collect()}
+    seen, new = got[held[0]], got[held[1]]
+    assert seen["base_score"] == new["base_score"] and seen["score"] > new["score"] + 0.05
+
+
 def test_score_is_a_probability():
     """Over all words after a word, probabilities add up to one but for rounding and errors of the filter."""
     rng = np.random.default_rng(0)
