@@ -52,21 +52,35 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(len(texts)), np.diff(found.first) + 1)
 
 
+def _after(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(mix(before + np.uint64(1)) + token)
+
+
 def pairs_of(token: np.ndarray) -> np.ndarray:
-    """40 bits that tell, after a given token, what came next; before a text's first is an end. Only these bits are sent."""
-    return mix(mix(np.concatenate([[_END], token[:-1]]) + np.uint64(1)) + token) >> np.uint64(24)
+    """What tells, after a given token, what came next; before a text's first is an end."""
+    return _after(np.concatenate([[_END], token[:-1]]), token)
 
 
 def as_pair(before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """What the filter knows a pair by: the token before and the pair's bits."""
+    """A 64-bit name of a pair, from the token before and what tells the next. It is dealt, counted and looked up by it."""
     return mix(before + mix(pair + np.uint64(3)))
 
 
 def as_context(token: np.ndarray) -> np.ndarray:
-    """What a token's count as the first of a pair that is kept goes by."""
+    """What a token's count as the first of a pair goes by in a model that leaves pairs out. With all pairs kept it is the
+    token's own count, as each token of a text is followed by one, and score() asks for that."""
     return mix(token ^ np.uint64(0x5851F42D4C957F2D))
 
 
+def pairs_in(distinct: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The names of a chunk's different pairs, ordered by the two tokens' places in distinct, and at each token the place
+    of the pair that it ends."""
+    before = np.concatenate([[np.searchsorted(distinct, _END)], code[:-1]])
+    both, at = np.unique((before.astype(np.uint64) << np.uint64(32)) | code.astype(np.uint64), return_inverse=True)
+    first = distinct[both >> np.uint64(32)]
+    return as_pair(first, _after(first, distinct[both & np.uint64(0xFFFFFFFF)])), at
+
+
 def bucket_of(ngram: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(ngram + np.uint64(77)) % np.uint64(buckets)).astype(np.int64)
 
@@ -79,10 +93,10 @@ def _by_bucket(ngram: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def gather_counts(buckets: int):
-    """Each chunk's different tokens and training pairs with their counts, dealt over buckets by token, or a pair's first
-    token; and a row of its own that says which of the chunk's tokens each text has. A token costs one number for each
-    chunk, however often it comes, so no bucket grows with a common one."""
-    names = {"chunk": pa.int64(), "bucket": pa.int32(), "tags": pa.binary(), "sizes": pa.binary(), "codes": pa.binary(), "token": pa.binary(), "token_n": pa.binary(), "pair": pa.binary(), "pair_n": pa.binary(), "before": pa.binary()}
+    """Each chunk's different tokens and training pairs with their counts, dealt over buckets by their own hashes; and a
+    row of its own that says which of the chunk's tokens each text has. A token or a pair costs one number for each
+    chunk, however often it comes, and the pairs that one token begins are dealt over all buckets."""
+    names = {"chunk": pa.int64(), "bucket": pa.int32(), "tags": pa.binary(), "sizes": pa.binary(), "codes": pa.binary(), "token": pa.binary(), "token_n": pa.binary(), "pair": pa.binary(), "pair_n": pa.binary()}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in words.chunks(batches, limit=CHUNK):
@@ -96,19 +110,18 @@ def gather_counts(buckets: int):
             order, start = _by_bucket(distinct, buckets)
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))  # of each different token in the order by bucket
-            rows = [(chunk, chunk % buckets, tags.tobytes(), planes(np.bincount(doc, minlength=len(texts))), planes(place[code]), None, None, None, None, None)]
-            end = np.searchsorted(distinct, _END)
-            before = place[np.concatenate([[end], code[:-1]])[train[doc]]]
-            both, pair_n = np.unique((before.astype(np.uint64) << np.uint64(40)) | pairs_of(token)[train[doc]], return_counts=True)
-            before = (both >> np.uint64(40)).astype(np.int64)  # in order, so by bucket too
-            pair_start = np.searchsorted(before, start)
+            rows = [(chunk, chunk % buckets, tags.tobytes(), planes(np.bincount(doc, minlength=len(texts))), planes(place[code]), None, None, None, None)]
+            pair, at = pairs_in(distinct, code)
+            pair_n = np.bincount(at, weights=train[doc], minlength=len(pair)).astype(np.int64)
+            pair, pair_n = pair[pair_n > 0], pair_n[pair_n > 0]
+            pair_order, pair_start = _by_bucket(pair, buckets)
             for b in range(buckets):
-                own, two = order[start[b] : start[b + 1]], slice(pair_start[b], pair_start[b + 1])
-                if len(own):
-                    rows.append((chunk, b, None, None, None, distinct[own].tobytes(), planes(count[own]), planes(both[two], 5), planes(pair_n[two]), planes(np.diff(before[two] - start[b], prepend=0))))
+                own, two = order[start[b] : start[b + 1]], pair_order[pair_start[b] : pair_start[b + 1]]
+                if len(own) or len(two):
+                    rows.append((chunk, b, None, None, None, distinct[own].tobytes(), planes(count[own]), pair[two].tobytes(), planes(pair_n[two])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), names.values(), strict=True)], names=list(names))
 
-    return task, "chunk long, bucket int, tags binary, sizes binary, codes binary, token binary, token_n binary, pair binary, pair_n binary, before binary"
+    return task, "chunk long, bucket int, tags binary, sizes binary, codes binary, token binary, token_n binary, pair binary, pair_n binary"
 
 
 def first_and_step(ngram: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +142,14 @@ def build_slice(ngram: np.ndarray, count: np.ndarray, most: int) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def add_up(rows: list[dict], ngram: str, n: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The different n-grams of all rows, their counts, and the places of each row's own."""
+    own = [np.frombuffer(r[ngram], np.uint64) for r in rows]
+    distinct, code = np.unique(np.concatenate(own), return_inverse=True)
+    count = np.bincount(code, weights=np.concatenate([unplanes(r[n]) for r in rows]), minlength=len(distinct)).astype(np.int64)
+    return distinct, count, np.split(code, np.cumsum([len(x) for x in own])[:-1])
+
+
 def count_bucket(table: pa.Table, buckets: int) -> pa.Table:
     """Of one bucket: the counts of its tokens and pairs over all chunks, as a slice of the filter, and back to each chunk
     the counts of the tokens that it sent. Rows that describe a chunk pass through."""
@@ -136,24 +157,11 @@ def count_bucket(table: pa.Table, buckets: int) -> pa.Table:
     out = [(r["chunk"], -1, r["tags"], r["sizes"], r["codes"], None, None, None) for r in every if r["tags"] is not None]
     rows = [r for r in every if r["tags"] is None]
     if rows:
-        token = [np.frombuffer(r["token"], np.uint64) for r in rows]
-        distinct, code = np.unique(np.concatenate(token), return_inverse=True)
-        count = np.bincount(code, weights=np.concatenate([unplanes(r["token_n"]) for r in rows]), minlength=len(distinct)).astype(np.int64)
-        before, at = [], 0
-        for r, own in zip(rows, token, strict=True):
-            mine = code[at : at + len(own)]
-            at += len(own)
-            before.append(mine[np.cumsum(unplanes(r["before"]))])
-            out.append((r["chunk"], r["bucket"], None, None, planes(count[mine], 8), None, None, None))
-        key = (np.concatenate(before).astype(np.uint64) << np.uint64(40)) | np.concatenate([unplanes(r["pair"], 5) for r in rows]).astype(np.uint64)
-        pair, code = np.unique(key, return_inverse=True)
-        pair_n = np.bincount(code, weights=np.concatenate([unplanes(r["pair_n"]) for r in rows]), minlength=len(pair)).astype(np.int64)
-        pair, pair_n = pair[pair_n >= LEAST_PAIR], pair_n[pair_n >= LEAST_PAIR]
-        first = (pair >> np.uint64(40)).astype(np.int64)
-        followed = np.bincount(first, weights=pair_n, minlength=len(distinct)).astype(np.int64)
-        known = count > 0
-        ngrams = np.concatenate([distinct[known], as_pair(distinct[first], pair & np.uint64((1 << 40) - 1)), as_context(distinct[followed > 0])])
-        bits = build_slice(ngrams, np.concatenate([count[known], pair_n, followed[followed > 0]]), MOST_BITS // buckets)
+        token, count, places = add_up(rows, "token", "token_n")
+        out += [(r["chunk"], r["bucket"], None, None, planes(count[mine], 8), None, None, None) for r, mine in zip(rows, places, strict=True)]
+        pair, pair_n, _ = add_up(rows, "pair", "pair_n")
+        known, often = count > 0, pair_n >= LEAST_PAIR
+        bits = build_slice(np.concatenate([token[known], pair[often]]), np.concatenate([count[known], pair_n[often]]), MOST_BITS // buckets)
         out.append((None, rows[0]["bucket"], None, None, None, bits, int(count.sum()), int(known.sum())))
     types = (pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64())
     names = ("chunk", "bucket", "tags", "sizes", "codes", "bits", "tokens", "types")
@@ -183,8 +191,8 @@ class Model:
     types: int
 
     def counts(self, ngram: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """The counts that repeated probes say: levels are tried upwards until one isn't there. token, or the pair's
-        first, tells the bucket."""
+        """The counts that repeated probes say: levels are tried upwards until one isn't there. token tells the bucket:
+        the token's or the pair's own name."""
         level, live = np.zeros(len(ngram), np.uint8), np.arange(len(ngram))
         bucket = bucket_of(token, len(self.start))
         start, mask = self.start[bucket], self.mask[bucket]
@@ -203,17 +211,15 @@ class Model:
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, log10 probability) of each text. P(w | v) = (c(v w) + PRIOR * P(w)) / (c(v) + PRIOR), where c(v)
-        counts the kept pairs that v begins, so that probabilities add up to 1 but for the filter's rounding."""
+        counts the pairs that v begins, so that probabilities add up to 1 but for the filter's rounding."""
         token, doc = tokens(texts)
         distinct, code = np.unique(token, return_inverse=True)
-        single, context = self.counts(distinct, distinct), self.counts(as_context(distinct), distinct)
-        before = np.concatenate([[np.searchsorted(distinct, _END)], code[:-1]])
-        live = np.flatnonzero(context[before] > 0)
-        both = np.zeros(len(token))
-        first = distinct[before[live]]
-        both[live] = np.minimum(self.counts(as_pair(first, pairs_of(token)[live]), first), context[before[live]])
+        single = self.counts(distinct, distinct)
+        pair, at = pairs_in(distinct, code)
+        context = single[np.concatenate([[np.searchsorted(distinct, _END)], code[:-1]])]
+        both = np.minimum(self.counts(pair, pair)[at], context)
         alone = (single + 0.5) / (self.tokens + 0.5 * (self.types + 1))
-        value = np.log10((both + PRIOR * alone[code]) / (context[before] + PRIOR))
+        value = np.log10((both + PRIOR * alone[code]) / (context + PRIOR))
         return np.bincount(doc, minlength=len(texts)), np.bincount(doc, value, len(texts))
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,6 +254,17 @@ def test_pairs_seen_once_count(make):
     assert seen["base_score"] == new["base_score"] and seen["score"] > new["score"] + 0.05
 
 
+def test_pairs_of_a_common_word_are_dealt_over_buckets():
+    words = np.arange(4000)
+    docs = pa.record_batch({"tag": pa.array([1, 2]), "train": pa.array([True, True]), "doc_id": pa.array([1, 2]), "held_out": pa.array([False, False]), "text": pa.array([" ".join(f"the w{i}" for i in half) for half in (words[::2], words[1::2])])})
+    task, _ = lm_scoring.gather_counts(16)
+    size = collections.Counter()
+    for batch in task(iter([docs])):
+        for r in batch.to_pylist():
+            size[r["bucket"]] += len(r["pair"] or b"")
+    assert len(size) == 16 and max(size.values()) < 1.5 * sum(size.values()) / 16
+
+
 def test_score_is_a_probability():
     """Over all words after a word, probabilities add up to one but for rounding and errors of the filter."""
     rng = np.random.default_rng(0)
