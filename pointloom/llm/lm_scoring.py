@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,14 +17,14 @@ from .words import mix, planes, unplanes
 
 #: A count c has level 1 + floor(log(c) / log(BASE)); the filter holds an n-gram once for each level up to its own.
 BASE = 1.5
-#: Bits for each entry, probes of an entry, and the bits that the filter has at most: 256 MB. Past that it errs more.
-BITS, PROBES, MOST_BITS = 10, 4, 1 << 31
+#: Bits for each entry at least, and probes of an entry. The filter grows with its entries, a slice in each bucket.
+BITS, PROBES = 10, 4
 #: Word pairs seen less often aren't kept in the model: all that training texts have are.
 LEAST_PAIR = 1
 #: Weight of the single-word model in that of a word after another, in counts.
 PRIOR = 30.0
 
-#: Bytes of text that are counted at once, and that a bucket counts the tokens and pairs of.
+#: Bytes of text that are counted at once, and that a bucket counts and looks up the tokens and pairs of.
 CHUNK, BUCKET = 4 << 20, 8 << 20
 
 _END = np.uint64(0xE703C61A5D2B4F99)  # stands for the end of a text
@@ -86,17 +87,33 @@ def bucket_of(ngram: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _by_bucket(ngram: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order by bucket, and where each bucket starts in it."""
+    """An order by bucket and then by name, and where each bucket starts in it."""
     bucket = bucket_of(ngram, buckets)
-    order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")
+    order = np.argsort((bucket.astype(np.uint64) << np.uint64(40)) | named(ngram), kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
+def named(pair: np.ndarray) -> np.ndarray:
+    """The 40 bits that tell a pair within its bucket. A bucket holds some 10^6 pairs at any size of the input, of which
+    about one in 10^6 shares its bits with another, far fewer than the filter takes for others."""
+    return pair >> np.uint64(24)
+
+
+def pack(x: np.ndarray, width: int = 4) -> bytes:
+    """Whole numbers with their entropy coded, as LZ4 wouldn't."""
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_RLE)
+    return coder.compress(planes(x, width)) + coder.flush()
+
+
+def unpack(data: bytes, width: int = 4) -> np.ndarray:
+    return unplanes(zlib.decompress(data, -15), width)
+
+
 def gather_counts(buckets: int):
-    """Each chunk's different tokens and training pairs with their counts, dealt over buckets by their own hashes; and a
+    """Each chunk's different tokens and pairs with their counts in training, dealt over buckets by their own hashes; and a
     row of its own that says which of the chunk's tokens each text has. A token or a pair costs one number for each
     chunk, however often it comes, and the pairs that one token begins are dealt over all buckets."""
-    names = {"chunk": pa.int64(), "bucket": pa.int32(), "tags": pa.binary(), "sizes": pa.binary(), "codes": pa.binary(), "token": pa.binary(), "token_n": pa.binary(), "pair": pa.binary(), "pair_n": pa.binary()}
+    names = {"chunk": pa.int64(), "bucket": pa.int32(), "ids": pa.binary(), "flags": pa.binary(), "sizes": pa.binary(), "codes": pa.binary(), "token": pa.binary(), "token_n": pa.binary(), "pair": pa.binary(), "pair_n": pa.binary()}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in words.chunks(batches, limit=CHUNK):
@@ -106,22 +123,25 @@ def gather_counts(buckets: int):
             chunk = int(mix(np.cumsum(mix(tags.view(np.uint64)), dtype=np.uint64)[-1:] + np.uint64(len(tags)))[0].view(np.int64))
             token, doc = tokens(texts)
             distinct, code = np.unique(token, return_inverse=True)
-            count = np.bincount(code, weights=train[doc], minlength=len(distinct)).astype(np.int64)
-            order, start = _by_bucket(distinct, buckets)
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))  # of each different token in the order by bucket
-            rows = [(chunk, chunk % buckets, tags.tobytes(), planes(np.bincount(doc, minlength=len(texts))), planes(place[code]), None, None, None, None)]
             pair, at = pairs_in(distinct, code)
-            pair_n = np.bincount(at, weights=train[doc], minlength=len(pair)).astype(np.int64)
-            pair, pair_n = pair[pair_n > 0], pair_n[pair_n > 0]
-            pair_order, pair_start = _by_bucket(pair, buckets)
+            often = np.argsort(-np.bincount(code), kind="stable")
+            rank = np.empty(len(often), np.int64)
+            rank[often] = np.arange(len(often))  # common tokens have small numbers, which pack well
+            ids = batch.column("doc_id")
+            flags = train + 2 * ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+            rows = [(chunk, chunk % buckets, ids.fill_null(0).to_numpy().tobytes(), flags.tobytes(), pack(np.bincount(doc, minlength=len(texts))), pack(rank[code]), distinct[often].tobytes(), None, None, None)]
+            sent = []
+            for ngram, place in ((distinct, code), (pair, at)):
+                order, start = _by_bucket(ngram, buckets)
+                sent.append((ngram[order], np.bincount(place, weights=train[doc], minlength=len(ngram)).astype(np.int64)[order], start))
             for b in range(buckets):
-                own, two = order[start[b] : start[b + 1]], pair_order[pair_start[b] : pair_start[b + 1]]
-                if len(own) or len(two):
-                    rows.append((chunk, b, None, None, None, distinct[own].tobytes(), planes(count[own]), pair[two].tobytes(), planes(pair_n[two])))
+                own = [(ngram[start[b] : start[b + 1]], n[start[b] : start[b + 1]]) for ngram, n, start in sent]
+                if len(own[0][0]) or len(own[1][0]):
+                    (token_b, token_n), (pair_b, pair_n) = own
+                    rows.append((chunk, b, None, None, None, None, token_b.tobytes(), pack(token_n), pack(np.diff(named(pair_b), prepend=np.uint64(0)), 5), pack(pair_n)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), names.values(), strict=True)], names=list(names))
 
-    return task, "chunk long, bucket int, tags binary, sizes binary, codes binary, token binary, token_n binary, pair binary, pair_n binary"
+    return task, "chunk long, bucket int, ids binary, flags binary, sizes binary, codes binary, token binary, token_n binary, pair binary, pair_n binary"
 
 
 def first_and_step(ngram: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,10 +150,11 @@ def first_and_step(ngram: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarra
     return first, (first >> np.uint64(32)) | np.uint64(1)
 
 
-def build_slice(ngram: np.ndarray, count: np.ndarray, most: int) -> bytes:
-    """One bucket's slice of the filter."""
+def build_slice(ngram: np.ndarray, count: np.ndarray, most: int | None = None) -> bytes:
+    """One bucket's slice of the filter, of BITS for each of its own entries; a caller may bound it, and then it errs more."""
     level = levels(count)
-    bits = 1 << max(10, min(most.bit_length() - 1, (BITS * int(level.sum())).bit_length()))
+    size = (BITS * int(level.sum())).bit_length()
+    bits = 1 << max(10, size if most is None else min(most.bit_length() - 1, size))
     out = np.zeros(bits, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
         at, step = first_and_step(ngram[level >= j], j)
@@ -142,47 +163,16 @@ def build_slice(ngram: np.ndarray, count: np.ndarray, most: int) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def add_up(rows: list[dict], ngram: str, n: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def add_up(own: list[np.ndarray], n: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """The different n-grams of all rows, their counts, and the places of each row's own."""
-    own = [np.frombuffer(r[ngram], np.uint64) for r in rows]
     distinct, code = np.unique(np.concatenate(own), return_inverse=True)
-    count = np.bincount(code, weights=np.concatenate([unplanes(r[n]) for r in rows]), minlength=len(distinct)).astype(np.int64)
+    count = np.bincount(code, weights=np.concatenate([unpack(x) for x in n]), minlength=len(distinct)).astype(np.int64)
     return distinct, count, np.split(code, np.cumsum([len(x) for x in own])[:-1])
 
 
-def count_bucket(table: pa.Table, buckets: int) -> pa.Table:
-    """Of one bucket: the counts of its tokens and pairs over all chunks, as a slice of the filter, and back to each chunk
-    the counts of the tokens that it sent. Rows that describe a chunk pass through."""
-    every = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    out = [(r["chunk"], -1, r["tags"], r["sizes"], r["codes"], None, None, None) for r in every if r["tags"] is not None]
-    rows = [r for r in every if r["tags"] is None]
-    if rows:
-        token, count, places = add_up(rows, "token", "token_n")
-        out += [(r["chunk"], r["bucket"], None, None, planes(count[mine], 8), None, None, None) for r, mine in zip(rows, places, strict=True)]
-        pair, pair_n, _ = add_up(rows, "pair", "pair_n")
-        known, often = count > 0, pair_n >= LEAST_PAIR
-        bits = build_slice(np.concatenate([token[known], pair[often]]), np.concatenate([count[known], pair_n[often]]), MOST_BITS // buckets)
-        out.append((None, rows[0]["bucket"], None, None, None, bits, int(count.sum()), int(known.sum())))
-    types = (pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64())
-    names = ("chunk", "bucket", "tags", "sizes", "codes", "bits", "tokens", "types")
-    words.give_back()
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-
-def score_chunk(table: pa.Table) -> pa.Table:
-    """Of each text of one chunk: the sum of log10(count + 0.5) over its tokens, known tokens and tokens."""
-    rows = {r["bucket"]: r for r in table.to_pylist()}  # the same chunk twice says the same twice
-    own = rows.pop(-1)
-    count = np.concatenate([unplanes(rows[b]["codes"], 8) for b in sorted(rows)])[unplanes(own["codes"])]
-    sizes = unplanes(own["sizes"])
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    sums = np.bincount(text, np.log10(count + 0.5), len(sizes))
-    return pa.table({"tag": np.frombuffer(own["tags"], np.int64), "sums": sums, "known": np.bincount(text, count > 0, len(sizes)).astype(np.int64), "sizes": sizes})
-
-
 @dataclass
 class Model:
-    """The filter with the totals that smoothing needs. Its size is bounded by MOST_BITS."""
+    """Slices of the filter with the totals that smoothing needs."""
 
     bits: np.ndarray
     start: np.ndarray  # of each bucket's slice, in bits
@@ -191,8 +181,11 @@ class Model:
     types: int
 
     def counts(self, ngram: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """The counts that repeated probes say: levels are tried upwards until one isn't there. token tells the bucket:
-        the token's or the pair's own name."""
+        """The counts that repeated probes say. token tells the bucket: the token's or the pair's own name."""
+        return _MEANT[self.levels(ngram, token)]
+
+    def levels(self, ngram: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The levels of those counts: they are tried upwards until one isn't there."""
         level, live = np.zeros(len(ngram), np.uint8), np.arange(len(ngram))
         bucket = bucket_of(token, len(self.start))
         start, mask = self.start[bucket], self.mask[bucket]
@@ -207,39 +200,68 @@ class Model:
             if not len(live):
                 break
             level[live] = j
-        return _MEANT[level]
-
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, log10 probability) of each text. P(w | v) = (c(v w) + PRIOR * P(w)) / (c(v) + PRIOR), where c(v)
-        counts the pairs that v begins, so that probabilities add up to 1 but for the filter's rounding."""
-        token, doc = tokens(texts)
-        distinct, code = np.unique(token, return_inverse=True)
-        single = self.counts(distinct, distinct)
+        return level
+
+
+def count_bucket(table: pa.Table) -> pa.Table:
+    """Of one bucket: builds its slice of the filter from the counts of its tokens and pairs over all chunks, looks up in it
+    what each chunk sent, and sends back the levels found, with the exact counts of tokens. Each n-gram is looked up where
+    it was counted, so no filter leaves its bucket. Rows that describe a chunk pass through."""
+    every = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+    out = [(r["chunk"], -1, r["ids"], r["flags"], r["sizes"], r["codes"], r["token"], None, None, None, None) for r in every if r["ids"] is not None]
+    rows = [r for r in every if r["ids"] is None]
+    if rows:
+        token, token_n, own_tokens = add_up([np.frombuffer(r["token"], np.uint64) for r in rows], [r["token_n"] for r in rows])
+        pair, pair_n, own_pairs = add_up([np.cumsum(unpack(r["pair"], 5)).astype(np.uint64) for r in rows], [r["pair_n"] for r in rows])
+        known, often = token_n > 0, pair_n >= LEAST_PAIR
+        bits = np.frombuffer(build_slice(np.concatenate([token[known], pair[often]]), np.concatenate([token_n[known], pair_n[often]])), np.uint8)
+        model = Model(bits, np.zeros(1, np.uint64), np.array([8 * len(bits) - 1], np.uint64), int(token_n.sum()), int(known.sum()))
+        single, both = model.levels(token, token), model.levels(pair, pair)
+        for r, t, p in zip(rows, own_tokens, own_pairs, strict=True):
+            out.append((r["chunk"], r["bucket"], None, None, None, pack(token_n[t], 8), pack(single[t], 1), pack(both[p], 1), None, None, None))
+        out.append((None, rows[0]["bucket"], *[None] * 6, model.tokens, model.types, len(bits)))
+    types = (pa.int64(), pa.int32(), *[pa.binary()] * 6, *[pa.int64()] * 3)
+    names = ("chunk", "bucket", "ids", "flags", "sizes", "codes", "token", "pair", "tokens", "types", "filter_bytes")
+    words.give_back()
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+
+def score_chunk(table: pa.Table, buckets: int, n_tokens: int, n_types: int) -> pa.Table:
+    """The texts of one chunk with their scores. P(w | v) = (c(v w) + PRIOR * P(w)) / (c(v) + PRIOR), where c(v) counts the
+    pairs that v begins, so that probabilities add up to 1 but for the filter's rounding."""
+    every = table.to_pylist()
+    back = [r for _, r in sorted({r["bucket"]: r for r in every if r["bucket"] >= 0}.items())]  # the same chunk twice says the same twice
+    out = []
+    for own in (r for r in every if r["bucket"] < 0):
+        distinct, rank = np.unique(np.frombuffer(own["token"], np.uint64), return_index=True)
+        place = np.empty(len(rank), np.int64)
+        place[rank] = np.arange(len(rank))
+        code, sizes = place[unpack(own["codes"])], unpack(own["sizes"])
         pair, at = pairs_in(distinct, code)
-        context = single[np.concatenate([[np.searchsorted(distinct, _END)], code[:-1]])]
-        both = np.minimum(self.counts(pair, pair)[at], context)
-        alone = (single + 0.5) / (self.tokens + 0.5 * (self.types + 1))
-        value = np.log10((both + PRIOR * alone[code]) / (context + PRIOR))
-        return np.bincount(doc, minlength=len(texts)), np.bincount(doc, value, len(texts))
 
+        def returned(ngram: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+            out = np.empty(len(ngram), values[0].dtype)
+            out[_by_bucket(ngram, buckets)[0]] = np.concatenate(values)
+            return out
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of docs (tag, train, text), and of each tag, its rows added up: sums of log10(count + 0.5), known
-    tokens and tokens."""
-    buckets = words.bucket_count(docs, each=BUCKET)
+        count = returned(distinct, [unpack(r["codes"], 8) for r in back])[code]
+        single = _MEANT[returned(distinct, [unpack(r["token"], 1) for r in back])]
+        context = single[np.concatenate([[np.searchsorted(distinct, _END)], code[:-1]])]
+        both = np.minimum(_MEANT[returned(pair, [unpack(r["pair"], 1) for r in back])][at], context)
+        alone = (single + 0.5) / (n_tokens + 0.5 * (n_types + 1))
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        base = np.bincount(text, np.log10(count + 0.5), len(sizes)) - sizes * np.log10(n_tokens + 0.5 * (n_types + 1))
+        score = np.bincount(text, np.log10((both + PRIOR * alone[code]) / (context + PRIOR)), len(sizes))
+        flags = np.frombuffer(own["flags"], np.uint8)
+        out.append(pa.table({"doc_id": pa.array(np.frombuffer(own["ids"], np.int64), mask=flags >= 2), "held_out": flags % 2 == 0, "n_tokens": sizes, "n_known": np.bincount(text, count > 0, len(sizes)).astype(np.int64), "train_tokens": np.full(len(sizes), n_tokens), "base_score": base, "score": score}))
+    return pa.concat_tables(out)
+
+
+def look_up(docs: DataFrame, buckets: int) -> DataFrame:
+    """What the buckets send back to each chunk of docs (doc_id, tag, train, text), and a row of each bucket's totals."""
     task, schema = gather_counts(buckets)
-    out = docs.mapInArrow(task, schema).groupBy("bucket").applyInArrow(lambda _, t: count_bucket(t, buckets), "chunk long, bucket int, tags binary, sizes binary, codes binary, bits binary, tokens long, types long")
-    out = materialize(out, "counts")
-    start, mask = np.zeros(buckets, np.uint64), np.full(buckets, 1023, np.uint64)
-    slices, n, v, at = [np.zeros(128, np.uint8)], 0, 0, 1024  # an empty slice for buckets without rows
-    for r in out.where("bits IS NOT NULL").select("bucket", "bits", "tokens", "types").toLocalIterator():
-        slices.append(np.frombuffer(r["bits"], np.uint8))
-        start[r["bucket"]], mask[r["bucket"]] = at, 8 * len(r["bits"]) - 1
-        n, v, at = n + r["tokens"], v + r["types"], at + 8 * len(r["bits"])
-    chunks = out.where("chunk IS NOT NULL").select("chunk", "bucket", "tags", "sizes", "codes")
-    base = chunks.groupBy("chunk").applyInArrow(lambda _, t: score_chunk(t.drop_columns("chunk")), "tag long, sums double, known long, sizes long")
-    base = base.groupBy("tag").agg(F.sum("sums").alias("sums"), F.sum("known").alias("known"), F.sum("sizes").alias("sizes"))
-    return Model(np.concatenate(slices), start, mask, n, v), base
+    sent = "chunk long, bucket int, ids binary, flags binary, sizes binary, codes binary, token binary, pair binary, tokens long, types long, filter_bytes long"
+    return materialize(docs.mapInArrow(task, schema).groupBy("bucket").applyInArrow(lambda _, t: count_bucket(t), sent), "counts")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -248,19 +270,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     base_score is the smoothed single-word log10 probability by exact training counts; score is the model's. A null or
     blank text is its end alone. A null doc_id trains. Repeated rows each count in training and get equal scores. Other
     columns are ignored. With no training text nothing is known, and the base score is 0."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("tag"), "text")
-    model, base = train(rows.select("tag", (~F.col("held_out")).alias("train"), "text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in words.chunks(batches, limit=CHUNK // 2):
-            n, score = shared.value.score(texts)
-            yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "held_out", "tag"]).columns, pa.array(n, pa.int64()), pa.array(score)], names=["doc_id", "held_out", "tag", "n_tokens", "score"])
-
-    scored = rows.mapInArrow(task, "doc_id long, held_out boolean, tag long, n_tokens long, score double").join(base, "tag")
-    same = F.col("sizes") / F.col("n_tokens")  # rows that share the tag
-    of_all = F.log10(F.lit(model.tokens + 0.5 * (model.types + 1)))
-    return scored.select("doc_id", "held_out", "n_tokens", (F.col("known") / same).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("sums") / same - F.col("n_tokens") * of_all).alias("base_score"), "score")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out(F.col("doc_id").cast("long"))).alias("train"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("tag"), "text")
+    buckets = words.bucket_count(rows, each=BUCKET)
+    out = look_up(rows, buckets)
+    n_tokens, n_types = out.where("chunk IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types")]).first()
+    chunks = out.where("chunk IS NOT NULL").drop("tokens", "types", "filter_bytes")
+    return chunks.groupBy("chunk").applyInArrow(lambda _, t: score_chunk(t, buckets, n_tokens, n_types), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from pointloom.llm import decontamination, exact_dedup, lm_scoring, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup
@@ -265,6 +266,29 @@ def test_pairs_of_a_common_word_are_dealt_over_buckets():
     assert len(size) == 16 and max(size.values()) < 1.5 * sum(size.values()) / 16
 
 
+def test_scores_equal_a_plain_model(make, monkeypatch):
+    """Of plain counts at the filter's levels. A bound on the whole filter, where there is one, must not show."""
+    monkeypatch.setattr(lm_scoring, "MOST_BITS", 1 << 12, raising=False)
+    rng = np.random.default_rng(8)
+    rows = [(d, " ".join(f"w{min(int(rng.pareto(1) * 5), 4000)}" for _ in range(120))) for d in range(300)]
+    lists = {d: [*t.split(), None] for d, t in rows}
+    single, both = collections.Counter(), collections.Counter()
+    for d, w in lists.items():
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            single.update(w)
+            both.update(zip([None, *w[:-1]], w, strict=True))
+    n, v = single.total(), len(single)
+    at = lambda c: lm_scoring._MEANT[lm_scoring.levels(np.array([c]))[0]] if c else 0.0
+    want = {d: sum(np.log10((min(at(both[a, b]), at(single[a])) + lm_scoring.PRIOR * (at(single[b]) + 0.5) / (n + 0.5 * (v + 1))) / (at(single[a]) + lm_scoring.PRIOR)) for a, b in zip([None, *w[:-1]], w, strict=True)) for d, w in lists.items()}
+    cloudpickle.register_pickle_by_value(lm_scoring)  # so the workers see the bound
+    try:
+        got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(make(rows)).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(lm_scoring)
+    assert got.keys() == want.keys()
+    assert all(abs(got[d] - want[d]) < 0.02 * abs(want[d]) for d in want)
+
+
 def test_score_is_a_probability():
     """Over all words after a word, probabilities add up to one but for rounding and errors of the filter."""
     rng = np.random.default_rng(0)
