@@ -19,16 +19,24 @@ _ROUNDS = 10
 
 # The shapes that are looked for. Each find is validated before it is replaced.
 _EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])")
-_NUMBER = re.compile(
+_BOUND = r"(?!\w|[.-][0-9])"
+#: Where a find may start: IBANs and cards by their head, as each of their lengths is tried.
+_START = re.compile(
     r"(?<![\w.])(?:"
-    r"(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
-    r"|(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?P<sep>[./])[0-9]{2}(?P=sep)[0-9]{4})"
-    r"|(?P<ip>(?:[0-9]{1,3}\.){3}[0-9]{1,3})"
-    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})"
-    r"|(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})"
-    r"|(?P<card>[0-9](?:[ -]?[0-9]){12,18})"
-    r")(?!\w|[.-][0-9])"
+    r"(?P<iban>[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4}))"
+    rf"|(?P<date>[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{_BOUND}|[0-9]{{2}}(?P<sep>[./])[0-9]{{2}}(?P=sep)[0-9]{{4}}{_BOUND})"
+    rf"|(?P<ip>(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}{_BOUND})"
+    rf"|(?P<ssn>[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_BOUND})"
+    rf"|(?P<phone>(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{3}}\)[ .-]?|[0-9]{{3}}[.-])[0-9]{{3}}[.-][0-9]{{4}}{_BOUND})"
+    r"|(?P<card>[0-9](?=(?:[ -]?[0-9]){12}))"
+    r")"
 )
+_CARD_END = re.compile(r"(?!\w|\.[0-9])")
+#: Lengths of IBANs by country; of others the longest that fits is tried.
+_IBAN_LENGTH = {c: n for n, cs in {15: "NO", 16: "BE", 18: "DK FI FO GL NL FK SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
+_IBAN_TRY = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + _BOUND) for n in range(15, 35)}
+#: Times that the values of finds which might be read otherwise are permuted on.
+_MOST_WALKS = 2000
 _DIGIT = re.compile("[0-9]")
 # The alphabets that stay within themselves.
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäçèéêëìíîïñòóôöùúûüß", "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ")
@@ -104,7 +112,10 @@ def _card(text: str, key: bytes, back: bool) -> str | None:
     if luhn_digit(digits[:-1]) != digits[-1]:
         return None
     n = len(digits) - 1
-    new = f"{permute(int(digits[:-1]), 10**n, key, 'card', back):0{n}d}"
+    # the sum of the other digits doubled stays, so whether the card with more digits passes stays too
+    other = luhn_digit(digits)
+    full = lambda v: (p := f"{v:0{n}d}") + luhn_digit(p)
+    new = f"{permute(int(digits[:-1]), 10**n, key, 'card', back, lambda v: luhn_digit(full(v)) == other):0{n}d}"
     return _fill(text, new + luhn_digit(new))
 
 
@@ -170,21 +181,82 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
     return _CHANGE[kind](text, key, back)
 
 
+def _ends(text: str, kind: str, start: int) -> list[int]:
+    """Where an IBAN or card that starts there may end, the longest first. An IBAN has one length."""
+    if kind == "iban":
+        n = _IBAN_LENGTH.get(text[start : start + 2])
+        return [m.end() for k in ([n] if n else range(34, 14, -1)) if (m := _IBAN_TRY[k].match(text, start))][:1]
+    out, digits = [], 0
+    for i in range(start, min(len(text), start + 37)):
+        if "0" <= text[i] <= "9":
+            digits += 1
+            if digits > 19:
+                break
+            if digits > 12 and _CARD_END.match(text, i + 1):
+                out.append(i + 1)
+        elif text[i] not in " -" or not "0" <= text[i - 1] <= "9":
+            break
+    return out[::-1]
+
+
+def scan(text: str, key: bytes, back: bool = False, at: int = 0) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
+    """The valid finds but e-mails (kind, start, end), and what was read in vain, from start to end. At each start the longest
+    that is valid is taken, and the next start is behind it; where none is, later starts are tried."""
+    finds, vain = [], []
+    while m := _START.search(text, at):
+        first = next(k for k in KINDS if k != "email" and m[k] is not None)
+        at = m.start()
+        tries = [(k, e) for k in dict.fromkeys([first] if first == "iban" else [first, "card"]) for e in (_ends(text, k, at) if k in ("iban", "card") else [m.end()])]
+        found = next(((k, e) for k, e in tries if pseudonym(k, text[at:e], key, back) is not None), None)
+        vain += [(at, e) for k, e in tries[: tries.index(found) if found else None]]
+        if found:
+            finds.append((found[0], at, found[1]))
+        at = found[1] if found else at + 1
+    return finds, vain
+
+
+def _replace_numbers(text: str, key: bytes, back: bool, count: dict[str, int]) -> str:
+    """The text with its finds but e-mails replaced. Finds that touch what was read in vain are permuted on together until
+    they are read as they were, so that the way back finds the same."""
+    finds, vain = scan(text, key, back)
+    groups: list[list] = []  # start, end, finds, whether something was read in vain
+    for start, end, find in sorted([(a, b, (k, a, b)) for k, a, b in finds] + [(a, b, None) for a, b in vain], key=lambda x: x[:2]):
+        if not groups or start >= groups[-1][1]:
+            groups.append([start, end, [], False])
+        groups[-1][1] = max(groups[-1][1], end)
+        groups[-1][2] += [find] if find else []
+        groups[-1][3] |= find is None
+    out, done = [], 0
+    for start, end, own, unsure in groups:
+        # what follows counts by its shape alone, and nothing reaches into it
+        before, after = text[max(0, start - 1) : start], _DIGIT.sub("0", text[end : end + 2]) + "a" * (end < len(text))
+        now, shape = text[start:end], [(k, a - start, b - start) for k, a, b in own]
+        for _ in range(_MOST_WALKS if unsure else 1):
+            parts, at = [], 0
+            for k, a, b in shape:
+                parts += [now[at:a], pseudonym(k, now[a:b], key, back)]
+                at = b
+            now = "".join([*parts, now[at:]])
+            if not unsure or [(k, a - len(before), b - len(before)) for k, a, b in scan(before + now + after, key, back, len(before))[0]] == shape:
+                break
+        for k, _, _ in own:
+            count[k] += 1
+        out += [text[done:start], now]
+        done = end
+    return "".join([*out, text[done:]])
+
+
 def pseudonymize_text(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with its finds replaced, and how many there were of each kind."""
     count = dict.fromkeys(KINDS, 0)
-
-    def change(found: re.Match, kind: str) -> str:
-        new = pseudonym(kind, found.group(), key, back)
-        count[kind] += new is not None
-        return found.group() if new is None else new
-
-    numbers = lambda part: _NUMBER.sub(lambda m: change(m, next(k for k in KINDS if k != "email" and m[k] is not None)), part) if _DIGIT.search(part) else part
+    numbers = lambda part: _replace_numbers(part, key, back, count) if _DIGIT.search(part) else part
     if "@" not in text:
         return numbers(text), count
     out, at = [], 0
     for m in _EMAIL.finditer(text):
-        out += [numbers(text[at : m.start()]), change(m, "email")]
+        new = pseudonym("email", m.group(), key, back)
+        count["email"] += new is not None
+        out += [numbers(text[at : m.start()]), m.group() if new is None else new]
         at = m.end()
     return "".join([*out, numbers(text[at:])]), count
 
@@ -194,7 +266,9 @@ def pseudonymize(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     US social security numbers, ten-digit phone numbers, calendar dates of 1900 to 2099, and e-mail addresses.
 
     Each value is permuted within its format under the secret key, so documents stay linked by equal values, valid
-    values stay valid, and back=True with the same key restores the texts. No shuffle and no table of pseudonyms:
+    values stay valid, and back=True with the same key restores the texts. Cards are tried at every start and
+    length that begins and ends with a group of digits, IBANs at every start in their country's length; where digits before or behind would make a
+    pseudonym read otherwise, it is permuted on, and isn't linked then; past 2,000 times it isn't restored either. No shuffle and no table of pseudonyms:
     each row is done on its own. A null text stays null with no finds; other columns are ignored."""
     names = [f"n_{k}" for k in KINDS]
 

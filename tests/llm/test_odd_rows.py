@@ -336,6 +336,50 @@ def test_pseudonyms():
     assert pii.pseudonymize_text(text, b"other")[0] != new
 
 
+def plain_cards(text):
+    """Spans of cards by trying every start and length of groups of digits."""
+    out, at = [], 0
+    while at < len(text):
+        for end in range(min(len(text), at + 37), at, -1):
+            part = text[at:end]
+            digits = re.sub("[ -]", "", part)
+            whole = re.fullmatch("[0-9]+(?:[ -][0-9]+)*", part) and not text[at - 1 : at].isalnum() and not text[end : end + 1].isalnum()
+            if whole and 13 <= len(digits) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0:
+                out.append((at, end))
+                at = end - 1
+                break
+        at += 1
+    return out
+
+
+def test_cards_and_ibans_beside_digits_and_capitals():
+    key = b"secret"
+    for text, kind, own in (("4111111111111111 12/25", "card", "4111111111111111"), ("4111 1111 1111 1111 123", "card", "4111 1111 1111 1111"), ("3 4111111111111111", "card", "4111111111111111"), ("pay AT61 1904 3002 3457 3201 USD", "iban", "AT61 1904 3002 3457 3201"), ("AB12 CDEF 4111 1111 1111 1111", "card", "4111 1111 1111 1111")):
+        new, count = pii.pseudonymize_text(text, key)
+        assert count[kind] == sum(count.values()) == 1
+        a = text.index(own)
+        assert new[:a] + own + new[a + len(own) :] == text and own not in new
+        assert new[a : a + len(own)] == pii.pseudonymize_text(own, key)[0]  # linked
+        assert pii.pseudonymize_text(new, key, back=True)[0] == text
+    rng = np.random.default_rng(9)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    found = 0
+    for _ in range(1500):
+        parts = []
+        for _ in range(rng.integers(1, 4)):
+            n = int(rng.choice([13, 15, 16, 19]))
+            card = digits(n - 1)
+            card += pii.luhn_digit(card)
+            parts += [digits(rng.integers(1, 6)) for _ in range(rng.integers(0, 3))] + [card if rng.random() < 0.5 else " ".join(card[i : i + 4] for i in range(0, n, 4))]
+        text = " ".join([*parts, digits(rng.integers(1, 5))])
+        want = plain_cards(text)
+        assert [(a, b) for k, a, b in pii.scan(text, key)[0] if k == "card"] == want
+        new, count = pii.pseudonymize_text(text, key)
+        assert count["card"] == len(want) and pii.pseudonymize_text(new, key, back=True)[0] == text
+        found += len(want)
+    assert found > 1500
+
+
 def test_pii_nulls(make, odd_rows):
     got = pii.pseudonymize(make(odd_rows), b"k").collect()
     assert sorted(r["doc_id"] for r in got if r["text"] is None and r["doc_id"] is not None) == [4]
