@@ -52,7 +52,7 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
     The items' sketches meet each document's shingles in one join; the sketches are broadcast when counted to be
     within bound. The few pairs that meet are verified on the words themselves. Items and documents of fewer than five
     words have no shingle and never match; null is empty. Repeated items with one item_id count as their union of
-    shingles if their texts differ. Repeated documents each match (join on doc_id and text_key). Empty tables give none."""
+    shingles if their texts differ; a null item_id is one id. Repeated documents each match (join on doc_id and text_key). Empty tables give none."""
     item_rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     sketches = small(materialize(containment_sketches(item_rows, threshold).select("item_id", "hash"), "item_sketches"))
     rows = docs.select(*row_key(), "text")
@@ -64,8 +64,8 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
     again = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["__doc_id"]) & (rows["text_key"] == wanted["__text_key"]), "left_semi")
     mine = again.select(*KEY, F.explode(F.array_distinct(shingle_texts(words_of(F.col("text"))))).alias("shingle"))
     theirs = item_rows.select("item_id", F.explode(F.array_distinct(shingle_texts(words_of(F.col("text"))))).alias("shingle")).distinct()
-    sizes = theirs.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
-    theirs = small(materialize(theirs.join(sizes, "item_id"), "item_shingles"))
+    sizes = theirs.groupBy(F.col("item_id").alias("sized_id")).agg(F.count("*").alias("n_shingles"))
+    theirs = small(materialize(theirs.join(sizes, F.col("item_id").eqNullSafe(F.col("sized_id"))).drop("sized_id"), "item_shingles"))
     shared = mine.join(theirs, "shingle").distinct().groupBy(*KEY, "item_id", "n_shingles").agg(F.count("*").alias("n_shared"))
     shared = shared.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles") - 1e-9)
     seen = shared.join(pairs, on_key(shared, pairs, [*KEY, "item_id"]), "left_semi")

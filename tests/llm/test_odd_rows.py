@@ -239,6 +239,15 @@ def test_contained(make, spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == brute.contained(rows, items)
 
 
+def test_item_without_an_id_is_found(make, spark):
+    items = [(None, "no item id but enough words here"), (1, "another item of some six words")]
+    rows = [(1, "it holds no item id but enough words here too"), (2, "it holds another item of some six words too"), (3, "it holds none of them at all")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.find_contained(make(rows), table)
+    assert {(r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in found.collect()} == {(1, None, 3, 3), (2, 1, 2, 2)}
+    assert [r["doc_id"] for r in decontamination.decontaminate(make(rows), table).collect()] == [3]
+
+
 def test_scores_of_odd_rows(make, odd_rows):
     got = lm_scoring.score_documents(make(odd_rows)).collect()
     n = collections.Counter((r["doc_id"], r["n_tokens"]) for r in got)
