@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, materialize, row_key, small
+from .common import KEY, key_filter, materialize, row_key
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,8 @@ RULES = (
 
 #: More alternatives than this and a rule is scanned in full.
 MOST_ALTERNATIVES = 200
+#: Hits of a text that are placed in one fold.
+PART = 128
 #: A character class of up to this many characters is spelled out.
 MOST_SPELLED = 8
 
@@ -81,7 +83,7 @@ def build_index(docs: DataFrame, trigrams: Sequence[str]) -> DataFrame:
 
 
 def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]]) -> DataFrame:
-    """Intersect postings: (doc_id, text_key, rules), where bit i of rules says that rule i may match.
+    """Intersect postings: (doc_id, text_key, rule) of the documents that rule may match.
 
     Postings meet by document, each adding its bit to a mask for each alternative, so nothing is collected and equal
     postings do no harm."""
@@ -90,8 +92,7 @@ def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]]) -> Da
     terms = [term(rule=rule, alternative=alternative, trigram=t, bit=long(1 << bit), whole=long((1 << len(have)) - 1)) for rule, sets in queries.items() for alternative, have in enumerate(sets) for bit, t in enumerate(sorted(have))]
     table = index.sparkSession.range(1).select(F.inline(F.array(*terms)))
     met = index.join(F.broadcast(table), "trigram").groupBy(*KEY, "rule", "alternative", "whole").agg(F.bit_or("bit").alias("bits"))
-    rules = met.where("bits = whole").select(*KEY, F.expr("shiftleft(1L, rule)").alias("bit"))
-    return materialize(rules.groupBy(*KEY).agg(F.bit_or("bit").alias("rules")), "candidates")
+    return materialize(met.where("bits = whole").select(*KEY, "rule").distinct(), "candidates")
 
 
 def spans_of(text: Column, rule: Rule, number: int) -> Column:
@@ -110,24 +111,42 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
         span = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(F.length(hit["value"]) >= rule.least, F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
 
-    return F.aggregate(hits, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda done: done["spans"])
+    moved = lambda part, by: F.transform(part, lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end")))
+
+    # a fold copies what it has gathered at every step, so parts of PART hits are folded and then put one behind another
+    def folded(hits: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(hits) - 1, F.lit(PART)), lambda k: F.aggregate(F.slice(hits, k + 1, PART), F.struct(F.lit(0).alias("at"), none.alias("spans")), add))
+
+    def joined(parts: Column) -> Column:
+        ends = F.aggregate(parts, F.array(F.lit(0)), lambda ends, p: F.concat(ends, F.array(F.element_at(ends, -1) + p["at"])))
+        return F.flatten(F.zip_with(parts, F.slice(ends, 1, F.size(parts)), lambda p, by: moved(p["spans"], by)))
+
+    return _bound(_bound(hits, folded), joined)
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value worked out once, as the only element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Each document with its secrets: doc_id, spans (array of start, kind's number, end), in code points.
 
-    Rules with mandatory trigrams look only at the documents that the index offers; the others read every text. Null
-    and empty texts have no spans. A null doc_id is kept. Repeated rows each come back. Other columns are ignored."""
+    Rules with mandatory trigrams look only at the documents that the index offers; the others read every text. What
+    it offers comes as a key filter of bounded size, so no text moves: where the filter errs a rule looks in vain.
+    Null and empty texts have no spans, nor has an empty table rows. A null doc_id is kept. Repeated rows each come
+    back. Texts of any length are scanned whole. Other columns are ignored."""
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.regex))}
     rows = docs.select(*row_key(), F.coalesce("text", F.lit("")).alias("__text"))
     if queries:
         index = build_index(docs, sorted({t for q in queries.values() for s in q for t in s}))
-        offered = small(candidates(index, queries).withColumnsRenamed({k: f"__{k}" for k in KEY}))
-        rows = rows.join(offered, rows["doc_id"].eqNullSafe(offered["__doc_id"]) & (rows["text_key"] == offered["__text_key"]), "left")
+        named = lambda rule: F.xxhash64(*KEY, rule)
+        offered = key_filter(candidates(index, queries), F.xxhash64(*KEY), named(F.col("rule")))
+        rows = offered.probe(rows, F.xxhash64(*KEY), {f"__may{i}": named(F.lit(i)) for i in queries})
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found = []
     for i, rule in enumerate(rules):
-        may = F.coalesce(F.col("rules").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False)) if i in queries else F.rlike("__text", F.lit(rule.regex.removesuffix("+") + f"{{{rule.least}}}"))
+        may = F.col(f"__may{i}") if i in queries else F.rlike("__text", F.lit(rule.regex.removesuffix("+") + f"{{{rule.least}}}"))
         found.append(F.when(may, spans_of(F.col("__text"), rule, i)).otherwise(none))
     return rows.select("doc_id", F.array_sort(F.concat(*found)).alias("spans"))
 

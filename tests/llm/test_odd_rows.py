@@ -11,7 +11,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from pointloom.llm import decontamination, exact_dedup, lm_scoring, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup
+from pointloom.llm import common, decontamination, exact_dedup, lm_scoring, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup
 
 from . import brute
 
@@ -438,3 +438,33 @@ def test_sparse_sites_shrink(spark):
     sites, rates = quality.site_posteriors(scores)
     got = {r["host"]: r["bad_site"] for r in sites.collect()}
     assert got["h0"] > 0.8 and got["h1"] < 0.15 and rates["bad"] < got["new"] < 0.9
+
+
+def test_many_secrets_in_one_text(make):
+    text = " ".join(f"token={'x' * (i % 12)}{i} é" for i in range(1000))
+    base = [i for i, r in enumerate(secret_scan.RULES) if r.base]
+    got = secret_scan.scan_secrets(make([(1, text)])).collect()
+    assert [tuple(s) for s in got[0]["spans"] if s[1] in base] == plain_spans(text)
+
+
+def test_rows_that_go(make, monkeypatch, spark):
+    """Rows whose key the filter clears pass without a shuffle, at any number of keys; the same rows go with a crowded
+    filter and without Spark's own broadcast."""
+    docs = make([(i if i % 50 else None, f"text {i % 700}") for i in range(2000)])
+    bad = docs.where("crc32(cast(text AS binary)) % 3 = 0").select(*common.row_key())
+    want = sorted(r["text"] + str(r["doc_id"]) for r in docs.where("crc32(cast(text AS binary)) % 3 != 0").collect())
+    monkeypatch.setattr(common, "MOST_BLOCKS", 1)
+    for probes, bits in ((4, 16), (1, 1)):
+        monkeypatch.setattr(common, "KEY_PROBES", probes)
+        monkeypatch.setattr(common, "KEY_BITS", bits)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            left = common.without(docs, bad)
+            assert left.columns == docs.columns
+            assert sorted(r["text"] + str(r["doc_id"]) for r in left.collect()) == want
+            plan = left._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        # of the two parts of the union, only the one that joins bad has a shuffle
+        clear, _, checked = plan.partition("LeftAnti")
+        assert "LeftAnti" in plan and "hashpartitioning" not in clear.split("SortMergeJoin")[0]
