@@ -38,10 +38,10 @@ def on_key(left: DataFrame, right: DataFrame, names: list[str] = KEY) -> Column:
     return out
 
 
-def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """A materialized narrow table, marked for broadcast if it has been counted to be within bound; else as it is,
-    so that Spark shuffles."""
-    return F.broadcast(df) if df.count() <= bound else df
+def small(df: DataFrame) -> DataFrame:
+    """A materialized narrow table, marked for broadcast if it has been counted to be within BROADCAST_ROWS; else as it
+    is, so that Spark shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -81,13 +81,22 @@ def _bit(bits: Column, at: Column) -> Column:
 
 
 def key_filter(keys: DataFrame, block_key: Column, key: Column) -> KeyFilter:
-    """The filter of a materialized table of keys. Rows with one block_key share a block."""
+    """The filter of a table of keys, which is read twice. Rows with one block_key share a block."""
     blocks = max(1, min(MOST_BLOCKS, -(-keys.count() * KEY_BITS // BLOCK_BITS)))
     # dealt by block first, so no task holds many blocks half full
     dealt = keys.select(F.pmod(block_key, F.lit(blocks)).alias("block"), F.explode(F.array(*_places(key))).alias("at")).repartition("block")
     return KeyFilter(materialize(dealt.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits")), "key_filter"), blocks)
 
 
+def join_few(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of many rows with a materialized narrow table by a 64-bit key that few of the rows have. The table is
+    broadcast within BROADCAST_ROWS; beyond, only the rows that pass a filter of its keys shuffle."""
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key)
+    hit = free_name(rows, "__hit")
+    return key_filter(table.select(key).distinct(), F.col(key), F.col(key)).probe(rows, F.col(key), {hit: F.col(key)}).where(hit).drop(hit).join(table, key)
+
+
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """docs without the rows whose id and text are in bad (doc_id, text_key), all columns as they were.
 
@@ -116,4 +125,4 @@ def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str
     return rows.join(F.broadcast(big), keys).unionByName(cold_rows.join(rest, keys))
 
 
-__all__ = ["BROADCAST_ROWS", "HOT_GROUPS", "KEY", "KeyFilter", "free_name", "join_counted", "key_filter", "materialize", "on_key", "row_key", "scratch_dir", "small", "without"]
+__all__ = ["BROADCAST_ROWS", "HOT_GROUPS", "KEY", "KeyFilter", "free_name", "join_counted", "join_few", "key_filter", "materialize", "on_key", "row_key", "scratch_dir", "small", "without"]

@@ -78,9 +78,10 @@ def near_classes(rows, t=0.8):
 def contained(rows, items, t=0.8):
     out = set()
     for i, x in items:
-        want = shingles(x, short=False)
+        n = min(5, len(words(x)))
+        want = shingles(x, n) if n else set()
         for d, y in rows:
-            if want and len(want & shingles(y, short=False)) >= t * len(want):
+            if want and len(want & shingles(y, n, short=False)) >= t * len(want):
                 out.add((d, i))
     return out
 

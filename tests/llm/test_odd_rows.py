@@ -224,10 +224,10 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
-def test_contained(make, spark):
+def test_contained(make, spark, monkeypatch):
     rng = np.random.default_rng(5)
-    items = [(i, " ".join(f"q{rng.integers(200)}" for _ in range(n))) for i, n in enumerate([4, 5, 6, 9, 14, 30, 58, 200])] + [(20, None), (None, "no item id but enough words here"), (21, "")]
-    rows = [(100, None), (101, ""), (102, "few words")]
+    items = [(i, " ".join(f"q{rng.integers(200)}" for _ in range(n))) for i, n in enumerate([4, 5, 6, 9, 14, 30, 58, 200])] + [(20, None), (None, "no item id but enough words here"), (21, ""), (22, "secret \t answer"), (23, "here")]
+    rows = [(100, None), (101, ""), (102, "few words"), (103, "the secret answer"), (104, "secret the answer"), (105, "here")]
     for i, t in items[:8]:
         w = t.split()
         pad = [f"z{k}" for k in range(300)]
@@ -236,7 +236,12 @@ def test_contained(make, spark):
             rows.append((1000 + 10 * i + j, " ".join([*pad[:150], *changed, *pad[150:]])))
         rows.append((1000 + 10 * i + 9, "\n".join(w)))
     found = decontamination.find_contained(make(rows), spark.createDataFrame(items, "item_id long, text string"))
-    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == brute.contained(rows, items)
+    want = brute.contained(rows, items)
+    assert any(i == 0 for _, i in want) and (103, 22) in want and (104, 22) not in want
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)  # more sketches than are broadcast
+    found = decontamination.find_contained(make(rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
 
 
 def test_item_without_an_id_is_found(make, spark):
