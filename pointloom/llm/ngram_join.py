@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import KEY, join_counted, materialize, row_key, small, without
+from .common import KEY, join_counted, key_filter, materialize, row_key, small, without
 from .components import connected_components
 
 #: Words of a shingle, and the least similarity.
@@ -22,7 +22,7 @@ BANDS, ROWS = 40, 5
 #: MinHash values are compared this many at a time.
 STEP = 40
 #: A pair is dropped when the posterior probability that it reaches the threshold is below this.
-TOLERANCE = 1e-6
+TOLERANCE = 1e-9
 #: Members of a group that meet in one task; larger groups are cut into blocks that meet two by two.
 BLOCK = 1024
 
@@ -152,23 +152,31 @@ def hang(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def survivors(values: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in left and in right of the pairs of rows whose sketches stay, some at a time."""
+    found, step = [], max(1, 200_000 // max(1, len(right)))
+    for at in range(0, len(left), step):
+        part = left[at : at + step]
+        a, b = np.repeat(np.arange(at, at + len(part)), len(right)), np.tile(np.arange(len(right)), len(part))
+        if same:
+            a, b = a[a < b], b[a < b]
+        stay = plausible(values[left[a]], values[right[b]], least)
+        found.append((a[stay], b[stay]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
+def sketches_of(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(table), -1)
+
+
 def candidate_edges(table: pa.Table, least: dict[int, int]) -> pa.Table:
     """Pairs of each band's bucket that stay after pruning, thinned to edges that keep them connected."""
-    node = table.column("node").to_numpy()
-    values = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+    node, values = table.column("node").to_numpy(), sketches_of(table)
     out_a, out_b = [], []
     for left, right, same in meetings(table, "band"):
-        found = []
-        for at in range(0, len(left), max(1, 200_000 // max(1, len(right)))):
-            part = left[at : at + max(1, 200_000 // max(1, len(right)))]
-            a, b = np.repeat(np.arange(at, at + len(part)), len(right)), np.tile(np.arange(len(right)), len(part))
-            if same:
-                a, b = a[a < b], b[a < b]
-            stay = plausible(values[left[a]], values[right[b]], least)
-            found.append((left[a[stay]], right[b[stay]]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (left[:0], left[:0])
+        a, b = survivors(values, left, right, same, least)
         if len(a):
-            every, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+            every, code = np.unique(np.concatenate([left[a], right[b]]), return_inverse=True)
             root = hang(len(every), code[: len(a)], code[len(a) :])
             moved = np.flatnonzero(root != np.arange(len(every)))
             out_a.append(node[every[moved]])
@@ -207,31 +215,33 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return out.astype(np.int64)
 
 
-def exact_links(table: pa.Table, threshold: float) -> pa.Table:
-    """Exact similarities of all pairs of a component: for each node its links to other texts, the documents behind
-    them, and the smallest node (by row) that links connect it with here."""
-    node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+def exact_links(table: pa.Table, threshold: float, least: dict[int, int]) -> pa.Table:
+    """Exact similarities of the pairs of a component that stay after pruning: for each node its links to other texts, the
+    documents behind them, and the smallest node (by row) that links connect it with here."""
+    node, copies, values = table.column("node").to_numpy(), table.column("copies").to_numpy(), sketches_of(table)
     sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
     size = np.array([len(s) for s in sets], np.int64)
     out = []
     for left, right, same in meetings(table, "component"):
-        if not len(left) or not len(right):
+        a, b = survivors(values, left, right, same, least)
+        if not len(a):
             continue
+        # only rows with a pair that stays are looked at
+        (some, a), (others, b) = (np.unique(x, return_inverse=True) for x in (a, b))
+        left, right = left[some], right[others]
+        stays = np.zeros((len(left), len(right)), bool)
+        stays[a, b] = True
         both = overlaps(sets, left, right)
-        linked = both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-9
-        if same:
-            np.fill_diagonal(linked, False)
+        linked = stays & (both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-9)
         a, b = np.nonzero(linked)
         every = np.unique(np.concatenate([left, right]))
         code = np.full(len(node), -1)
         code[every] = np.arange(len(every))
         root = every[hang(len(every), code[left[a]], code[right[b]])]
         texts, docs = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
-        texts[left] += linked.sum(axis=1)
-        docs[left] += linked @ copies[right]
-        if not same:
-            texts[right] += linked.sum(axis=0)
-            docs[right] += linked.T @ copies[left]
+        for mine, links, theirs in ((left, linked, right), (right, linked.T, left)):
+            texts[mine] += links.sum(axis=1)
+            docs[mine] += links @ copies[theirs]
         out.append((node[every], texts[every], docs[every], node[root]))
     words.give_back()
     columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
@@ -239,22 +249,22 @@ def exact_links(table: pa.Table, threshold: float) -> pa.Table:
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
-    """(node, component, copies, shingles) from (doc_id, text, node, component, copies), the sorted set of each text's
-    shingles; rows whose text isn't the node's are left out."""
+    """(node, component, copies, sketch, shingles) from (text, node, component, copies, sketch), the sorted set of each
+    text's shingles; rows whose text isn't the node's are left out."""
+    names = ["node", "component", "copies", "sketch"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in words.chunks(batches, limit=1 << 20):
-            value, first, names = shingles(texts)
-            ok = np.flatnonzero(names.view(np.int64) == batch.column("node").to_numpy())
+            value, first, own = shingles(texts)
+            ok = np.flatnonzero(own.view(np.int64) == batch.column("node").to_numpy())
             sets = [np.unique(value[first[i] : first[i + 1]]).tobytes() for i in ok]
-            part = batch.select(["node", "component", "copies"]).take(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets, pa.binary())], names=["node", "component", "copies", "shingles"])
+            yield pa.RecordBatch.from_arrays([*batch.select(names).take(pa.array(ok)).columns, pa.array(sets, pa.binary())], names=[*names, "shingles"])
 
-    return rows.select("text", "node", "component", "copies").mapInArrow(task, "node long, component long, copies long, shingles binary")
+    return rows.select("text", *names).mapInArrow(task, "node long, component long, copies long, sketch binary, shingles binary")
 
 
 def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, text_key, class_id, n_links, n_texts, n_copies.
+    """One row per document: doc_id, text_key, class_id, class_key, n_links, n_texts, n_copies.
 
     Documents are linked when the Jaccard similarity of their sets of 5-word shingles is at least threshold (0.8 or
     more: the bands are made for that). class_id is the smallest doc_id that links lead to, n_links the number of other
@@ -262,14 +272,15 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Documents of the same words are one node, so copies make no pairs. A text of one to four words is a single
     shingle. Null texts and texts without words are alone, with no links. Repeated rows are copies of each other. A null doc_id
-    is a document like others; class_id is null where a class has none else. Other columns are ignored."""
-    spark = docs.sparkSession
+    is a document like others, behind all ids: class_id is null where a class has no other, and class_key, the hash of the
+    text of the class's first document, tells such classes apart. Texts of any length are read whole. An empty table
+    gives an empty one. Other columns are ignored."""
     sketches = materialize(sketch(docs), "sketches")
     rows = sketches.where("node IS NOT NULL").select(*KEY, "node")
     # one row for each different text, so that copies go no further
-    texts = sketches.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    texts = sketches.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), first, F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     texts = materialize(texts, "texts")
-    nodes = texts.select("node", "copies", "first_id")
 
     # 1. buckets of bands with at least two nodes
     bands = texts.select("node", F.explode("bands").alias("band"))
@@ -281,29 +292,33 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     least = least_matches(threshold)
     dealt = deal(members, "band", "node").join(values, "node").select("group", "band", "node", "sketch", "i", "j", "own")
     edges = dealt.groupBy("group").applyInArrow(lambda _, t: candidate_edges(t, least), "a long, b long")
-    parts = materialize(connected_components(edges).withColumnRenamed("root", "component").join(nodes, "node"), "components")
-    # 3. exact sets of what is left
-    first = small(parts).withColumnRenamed("first_id", "__first")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(first, F.col("doc_id").eqNullSafe(F.col("__first")))
+    parts = connected_components(edges).withColumnRenamed("root", "component").join(texts.select("node", "copies", "sketch", F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__key")), "node")
+    parts = materialize(parts, "components")
+    # 3. exact sets of what is left: the other texts stay where they are
+    own = docs.select(*row_key(), "text")
+    found = key_filter(parts, F.xxhash64("__id", "__key"), F.xxhash64("__id", "__key")).probe(own, F.xxhash64(*KEY), {"__hit": F.xxhash64(*KEY)}).where("__hit")
+    found = found.join(parts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")))
     sets = materialize(sets_of(found).dropDuplicates(["node"]), "sets")
     dealt = deal(sets, "component", "node")
-    links = materialize(dealt.groupBy("group").applyInArrow(lambda _, t: exact_links(t, threshold), "node long, n_texts long, n_docs long, root long"), "links")
+    links = materialize(dealt.groupBy("group").applyInArrow(lambda _, t: exact_links(t, threshold, least), "node long, n_texts long, n_docs long, root long"), "links")
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     # 4. back to documents
-    total = rows.count()
-    own = nodes.join(links.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs")), "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least_id = materialize(own, "own").groupBy("root").agg(F.min("first_id").alias("class_id"))
-    own = materialize(materialize(own, "own").join(least_id, "root").select("node", "copies", "class_id", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_docs", F.lit(0)).alias("n_docs")), "own")
-    linked = join_counted(rows, own, ["node"], "copies", total).select(*KEY, "class_id", (F.col("n_docs") + F.col("copies") - 1).alias("n_links"), "n_texts", F.col("copies").alias("n_copies"))
+    own = texts.select("node", "copies", "first").join(links.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs")), "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = materialize(own, "own")
+    classes = own.groupBy("root").agg(F.min("first").alias("class"), F.count("*").alias("n"))
+    own = join_counted(own, classes, ["root"], "n", own.count())
+    own = materialize(own.select("node", "copies", F.col("class.doc_id").alias("class_id"), F.col("class.text_key").alias("class_key"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_docs", F.lit(0)).alias("n_docs")), "own")
+    linked = join_counted(rows, own, ["node"], "copies", rows.count()).select(*KEY, "class_id", "class_key", (F.col("n_docs") + F.col("copies") - 1).alias("n_links"), "n_texts", F.col("copies").alias("n_copies"))
     zero = F.lit(0).cast("long")
-    blank = sketches.where("node IS NULL").select(*KEY, F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_texts"), F.lit(1).cast("long").alias("n_copies"))
+    blank = sketches.where("node IS NULL").select(*KEY, F.col("doc_id").alias("class_id"), F.col("text_key").alias("class_key"), zero.alias("n_links"), zero.alias("n_texts"), F.lit(1).cast("long").alias("n_copies"))
     return linked.unionByName(blank)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with only the smallest doc_id of each class, all columns kept. Rows that share a class and its smallest
-    doc_id all stay; a class whose ids are all null stays whole."""
-    return without(docs, ngram_classes(docs, threshold).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    """docs with only the first document of each class, that of the smallest doc_id, all columns kept. Rows repeated with
+    its id and text all stay, and so do all blank rows. A null doc_id comes last."""
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))
+    return without(docs, ngram_classes(docs, threshold).where(~first))
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
