@@ -127,7 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Clas
             got = [bucket[a:b].astype("<u4").tobytes() for a, b in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "bad", "toxic"]).columns, pa.array(got, pa.binary()), pa.array([s.tobytes() for s in surface], pa.binary())], names=["doc_id", "bad", "toxic", "words", "surface"])
 
-    got = rows.select("doc_id", F.col("bad").cast("int"), F.col("toxic").cast("int"), "text").mapInArrow(task, "doc_id long, bad int, toxic int, words binary, surface binary").limit(most)
+    got = rows.select("doc_id", F.col("bad").cast("int"), F.col("toxic").cast("int"), "text").mapInArrow(task, "doc_id long, bad int, toxic int, words binary, surface binary")
+    # one row an id, so rows are at most most
+    got = got.groupBy("doc_id").agg(F.min(F.struct("bad", "toxic", "words", "surface")).alias("r")).select("doc_id", "r.*")
     # copies of a text would make its words look telling, so each text counts once
     every = sorted((tuple(r) for r in got.toLocalIterator()), key=lambda r: (r[0], r[3]))
     got = list({r[3:]: r for r in reversed(every)}.values())[::-1]
@@ -166,39 +168,45 @@ def _prior_weight(r, rate: float) -> float:
     return float(np.clip(within / between - 1 if between > 0 else 1e4, 1.0, 1e4))
 
 
-def site_posteriors(scores: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """(host, path, n, bad_site, toxic_site) by grouped aggregation, and the global rates. A host's rate is its
-    documents' mean chance, shrunk towards the global rate; a path's is shrunk towards its host's."""
+def site_posteriors(scores: DataFrame) -> tuple[DataFrame, dict[str, float], dict[str, tuple[float, float]]]:
+    """(host, path, n, bad, toxic, host_n, bad_host, toxic_host, bad_site, toxic_site) by grouped aggregation: counts and
+    sums of chances of each path and its host, and the path's rate; with them the global rates, and how many documents
+    the priors of hosts and of paths are worth. A host's rate is its documents' mean chance, shrunk towards the global
+    rate; a path's is shrunk towards its host's."""
     kinds = ("bad", "toxic")
     paths = materialize(scores.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in kinds]), "paths")
-    hosts = materialize(paths.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in kinds]), "hosts")
-    total = hosts.agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in kinds]).first()
+    hosts = materialize(paths.groupBy("host").agg(F.sum("n").alias("host_n"), *[F.sum(k).alias(f"{k}_host") for k in kinds]), "hosts")
+    total = hosts.agg(F.sum("host_n").alias("n"), *[F.sum(f"{k}_host").alias(k) for k in kinds]).first()
     rates = {k: float(np.clip((total[k] or 0.0) / max(total["n"] or 0, 1), 1e-6, 1 - 1e-6)) for k in kinds}
+    paths = materialize(paths.join(small(hosts), "host"), "paths")
+    weights = {}
     for k in kinds:
-        weight = _prior_weight(hosts.agg(*_strength(F.col("n"), F.col(k), F.lit(rates[k]))).first(), rates[k])
-        hosts = hosts.withColumn(f"{k}_host", (F.col(k) + weight * rates[k]) / (F.col("n") + weight))
-    paths = materialize(paths.join(small(materialize(hosts.select("host", "bad_host", "toxic_host"), "host_rates")), "host"), "paths")
-    for k in kinds:
-        weight = _prior_weight(paths.agg(*_strength(F.col("n"), F.col(k), F.col(f"{k}_host"))).first(), rates[k])
-        paths = paths.withColumn(f"{k}_site", (F.col(k) + weight * F.col(f"{k}_host")) / (F.col("n") + weight))
-    return paths.select("host", "path", "n", "bad_site", "toxic_site"), rates
+        top = _prior_weight(hosts.agg(*_strength(F.col("host_n"), F.col(f"{k}_host"), F.lit(rates[k]))).first(), rates[k])
+        host_rate = (F.col(f"{k}_host") + top * rates[k]) / (F.col("host_n") + top)
+        weights[k] = top, _prior_weight(paths.agg(*_strength(F.col("n"), F.col(k), host_rate)).first(), rates[k])
+        paths = paths.withColumn(f"{k}_site", (F.col(k) + weights[k][1] * host_rate) / (F.col("n") + weights[k][1]))
+    return paths, rates, weights
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, reject: float = REJECT) -> DataFrame:
     """One row per document: doc_id, text_key, host, path, document_bad, site_bad, p_bad, document_toxic, site_toxic,
     p_toxic, kept.
 
-    The odds of a document are the classifier's times how its path's rate differs in odds from the global rate. kept is
-    false when p_bad or p_toxic reaches reject. Null and empty texts are judged by their figures; a null host or path
-    is a site of that name "". Repeated rows are judged each. Without any usable label all is kept. Other columns are
-    ignored."""
+    The odds of a document are the classifier's times how its path's rate differs in odds from the global rate. The
+    rates of its host and path are those of their other documents, so its own evidence counts once. kept is
+    false when p_bad or p_toxic reaches reject. Null and empty texts are judged by their figures, texts of any length
+    as a whole; a null host or path is a site of that name "". Repeated rows are judged each, alike. Without any usable
+    label all is kept. An empty table gives an empty one. Other columns are ignored."""
     scores = materialize(evidence(docs, train(docs, labels), host, path), "evidence")
-    sites, rates = site_posteriors(scores)
-    sites = materialize(sites, "sites")
+    sites, rates, weights = site_posteriors(scores)
+    sites = materialize(sites.select("host", "path", "n", "host_n", *[F.col(c).alias(f"__{c}") for c in ("bad", "toxic", "bad_host", "toxic_host")]), "sites")
     out = join_counted(scores, sites, ["host", "path"], "n", sites.agg(F.sum("n")).first()[0] or 0)
     odds = lambda p: F.log(p / (1 - p))
     bounded = lambda c: F.least(F.greatest(F.col(c), F.lit(1e-9)), F.lit(1 - 1e-9))
     for k in ("bad", "toxic"):
+        top, low = weights[k]
+        host_rate = (F.col(f"__{k}_host") - F.col(k) + top * rates[k]) / (F.col("host_n") - 1 + top)
+        out = out.withColumn(f"{k}_site", (F.col(f"__{k}") - F.col(k) + low * host_rate) / (F.col("n") - 1 + low))
         z = odds(bounded(k)) + odds(bounded(f"{k}_site")) - F.lit(float(np.log(rates[k] / (1 - rates[k]))))
         out = out.withColumn(f"p_{k}", 1 / (1 + F.exp(-z)))
     kept = (F.col("p_bad") < reject) & (F.col("p_toxic") < reject)

@@ -450,11 +450,46 @@ def test_token_ids_of_odd_words():
 def test_sparse_sites_shrink(spark):
     rows = [(i, 0, f"h{i % 3}", "p", 0.9 if i % 3 == 0 else 0.1, 0.0) for i in range(300)] + [(1000, 0, "new", "p", 0.9, 0.0)]
     scores = spark.createDataFrame(rows, "doc_id long, text_key long, host string, path string, bad double, toxic double")
-    sites, rates = quality.site_posteriors(scores)
+    sites, rates, _ = quality.site_posteriors(scores)
     got = {r["host"]: r["bad_site"] for r in sites.collect()}
     assert got["h0"] > 0.8 and got["h1"] < 0.15 and rates["bad"] < got["new"] < 0.9
 
 
+def test_quality_by_brute_force(spark):
+    """Every step from the classifier's chances on, in plain Python: rates, priors by moments, shrinking, odds."""
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"w{rng.integers(40 + 200 * (i % 3 == 0))}" for _ in range(rng.integers(1, 60))), f"h{int(rng.pareto(1))}", rng.choice(["a", "b", None])) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, h, None if p is None else str(p)) for i, t, h, p in rows] + [(7, None, None, None)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 7 == 0)) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    got = quality.judge(docs, labels, F.col("source"), F.col("lang")).collect()
+    assert len(got) == 401
+
+    def weight(groups, rate, near):  # groups: (n, sum of chances); near: the rate each is shrunk towards
+        if len(groups) < 2:
+            return 1e4
+        n = sum(m for m, _ in groups)
+        squares = sum(m * (k / m - p) ** 2 for (m, k), p in zip(groups, near, strict=True))
+        between = (squares - (len(groups) - 1) * rate * (1 - rate)) / max(n - sum(m * m for m, _ in groups) / n, 1e-9)
+        return min(max(rate * (1 - rate) / between - 1, 1.0), 1e4) if between > 0 else 1e4
+
+    for kind in ("bad", "toxic"):
+        chance = {id(r): r[f"document_{kind}"] for r in got}
+        rate = min(max(sum(chance.values()) / len(got), 1e-6), 1 - 1e-6)
+        members = lambda test: [chance[id(r)] for r in got if test(r)]
+        hosts = {h: members(lambda r, h=h: r["host"] == h) for h in {r["host"] for r in got}}
+        paths = {s: members(lambda r, s=s: (r["host"], r["path"]) == s) for s in {(r["host"], r["path"]) for r in got}}
+        top = weight([(len(x), sum(x)) for x in hosts.values()], rate, [rate] * len(hosts))
+        shrunk = {h: (sum(x) + top * rate) / (len(x) + top) for h, x in hosts.items()}
+        low = weight([(len(x), sum(x)) for x in paths.values()], rate, [shrunk[h] for h, _ in paths])
+        for r in got:
+            own, host, path = chance[id(r)], hosts[r["host"]], paths[r["host"], r["path"]]
+            near = (sum(host) - own + top * rate) / (len(host) - 1 + top)
+            site = (sum(path) - own + low * near) / (len(path) - 1 + low)
+            odds = own / (1 - own) * site / (1 - site) / (rate / (1 - rate))
+            assert r[f"site_{kind}"] == pytest.approx(site, rel=1e-6) and r[f"p_{kind}"] == pytest.approx(odds / (1 + odds), rel=1e-5)
+    assert all(r["kept"] == (max(r["p_bad"], r["p_toxic"]) < quality.REJECT) for r in got)
+
+
 def test_many_secrets_in_one_text(make):
     text = " ".join(f"token={'x' * (i % 12)}{i} é" for i in range(1000))
     base = [i for i, r in enumerate(secret_scan.RULES) if r.base]
