@@ -16,6 +16,11 @@ from .words import planes, runs, unplanes
 
 #: Bytes of text of one chunk; larger ones send less, as a chunk sends a window's hash once.
 CHUNK = 6 << 20
+#: Bytes of text whose windows a bucket holds.
+BUCKET = 24 << 20
+#: Buckets that one chunk, or one bucket, is dealt over at most. More are reached by dealing a second time, so what a
+#: row holds doesn't shrink as the input grows.
+FANOUT = 2048
 #: What stands for a null doc_id: before all others.
 NULL_ID = -(2**63)
 
@@ -23,51 +28,70 @@ NULL_ID = -(2**63)
 BUCKET_ROWS = "bucket int, ids binary, counts binary, places binary, hashes binary"
 
 
-def bucket_windows(window: int, buckets: int):
-    """Deal the first window of each hash in a chunk of texts over buckets by hash. The later ones are known to be repeats
-    already; they go in a row without hashes to a bucket that the chunk picks. So one passage in all texts adds one
-    window a chunk to its bucket."""
+def packed(bucket: int, doc: np.ndarray, place: np.ndarray, hashes: bytes | None) -> tuple:
+    """A row of windows of ordered documents."""
+    new = runs(doc)
+    step = np.diff(place, prepend=0)
+    step[new[:-1]] = place[new[:-1]]
+    return bucket, np.diff(doc[new[:-1]], prepend=0).tobytes(), planes(np.diff(new)), planes(step), hashes
+
+
+def deal(doc: np.ndarray, place: np.ndarray, value: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """Windows, ordered by document and place, dealt over buckets: the first window of each hash. The later ones are
+    known to be repeats already; they go in a row without hashes to a bucket that the first window picks. So one passage
+    in all texts adds one window to its bucket."""
+    sort = np.argsort(value, kind="stable")
+    edges = runs(value[sort])
+    first = np.repeat(sort[edges[:-1]], np.diff(edges))
+    again = np.zeros(len(value), bool)  # but the same place of a repeated row isn't a repeat
+    again[sort] = (doc[sort] != doc[first]) | (place[sort] != place[first])
+    rows = []
+    if again.any():
+        rows.append(packed(int(bucket[0]), doc[again], place[again], None))
+    sort = np.flatnonzero(~again)
+    sort = sort[np.argsort(bucket[sort], kind="stable")]
+    doc, place, value, bucket = doc[sort], place[sort], value[sort], bucket[sort]
+    edges = runs(bucket)
+    rows += [packed(int(bucket[a]), doc[a:b], place[a:b], value[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)]
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "places", "hashes"))])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "places", "hashes"))])
 
-        def packed(bucket: int, ids: np.ndarray, doc: np.ndarray, place: np.ndarray, hashes: bytes | None) -> tuple:
-            new = runs(doc)
-            step = np.diff(place, prepend=0)
-            step[new[:-1]] = place[new[:-1]]
-            return bucket, np.diff(ids[doc[new[:-1]]], prepend=0).tobytes(), planes(np.diff(new)), planes(step), hashes
+def bucket_windows(window: int, buckets: int):
+    """The windows of a chunk of texts, dealt over buckets by a second hash."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in words.chunks(batches, limit=CHUNK):
             ids = np.array([NULL_ID if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
             order = np.argsort(ids, kind="stable")
-            ids = ids[order]
             found = words.split([texts[i] for i in order])
             at = words.window_starts(found.first, window)
             if not len(at):
                 continue
             doc = found.texts()[at]
             value = words.window_hashes(found.hashes(0), window, 0)[at]
-            bucket = (words.window_hashes(found.hashes(1), window, 1)[at] % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
-            place = at - found.first[doc]
-            sort = np.argsort(value, kind="stable")
-            edges = runs(value[sort])
-            first = np.repeat(sort[edges[:-1]], np.diff(edges))
-            again = np.zeros(len(at), bool)  # but the same place of a repeated row isn't a repeat
-            again[sort] = (ids[doc[sort]] != ids[doc[first]]) | (place[sort] != place[first])
-            rows = []
-            if again.any():
-                rows.append(packed(int(value[0] % np.uint64(buckets)), ids, doc[again], place[again], None))
-            doc, place, value, bucket = doc[~again], place[~again], value[~again], bucket[~again]
-            sort = np.argsort(bucket, kind="stable")
-            doc, place, value, bucket = doc[sort], place[sort], value[sort], bucket[sort]
-            edges = runs(bucket)
-            for a, b in zip(edges, edges[1:], strict=False):
-                rows.append(packed(int(bucket[a]), ids, doc[a:b], place[a:b], value[a:b].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            bucket = (words.window_hashes(found.hashes(1), window, 1)[at] % np.uint64(buckets)).astype(np.uint16)
+            yield deal(ids[order][doc], at - found.first[doc], value, bucket)
 
     return task
 
 
+def deal_again(table: pa.Table, parts: int) -> pa.Table:
+    """The windows of a share of one bucket, dealt over the parts of the bucket by their own hash. What is known to repeat
+    passes through."""
+    every = table.to_pylist()
+    rows = [r for r in every if r["hashes"] is not None]
+    out = [pa.table({"bucket": pa.array([r["bucket"] * parts + len(r["ids"]) % parts], pa.int32()), **{c: pa.array([r[c]], pa.binary()) for c in ("ids", "counts", "places", "hashes")}}) for r in every if r["hashes"] is None]
+    if rows:
+        doc, place = (np.concatenate(c) for c in zip(*map(unpack, rows), strict=True))
+        value = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
+        order = np.lexsort((place, doc))
+        doc, place, value = doc[order], place[order].astype(np.int64), value[order]
+        out.append(pa.Table.from_batches([deal(doc, place, value, rows[0]["bucket"] * parts + (words.mix(value) % np.uint64(parts)).astype(np.int64))]))
+    words.give_back()
+    return pa.concat_tables(out)
+
+
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
     ids = np.cumsum(np.frombuffer(row["ids"], np.int64))
     counts, step = unplanes(row["counts"]), unplanes(row["places"])
@@ -98,9 +122,10 @@ def repeats(table: pa.Table, parts: int) -> pa.Table:
     return by_document(doc[sort], place[sort], parts)
 
 
-def by_document(doc: np.ndarray, place: np.ndarray, parts: int) -> pa.Table:
-    """Sorted (doc, place) as one row for each part of the documents: part, ids, counts, places."""
-    part = (words.mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+def by_document(doc: np.ndarray, place: np.ndarray, parts: int, above: int = 1, part_above: int = 0) -> pa.Table:
+    """Sorted (doc, place) as one row for each part of the documents: part, ids, counts, places. Documents that have been
+    dealt over parts above are told apart by what that left of their hash."""
+    part = part_above * parts + (words.mix(doc.view(np.uint64)) // np.uint64(above) % np.uint64(parts)).astype(np.int64)
     sort = np.argsort(part, kind="stable")
     doc, place, part = doc[sort], place[sort], part[sort]
     out = []
@@ -113,13 +138,18 @@ def by_document(doc: np.ndarray, place: np.ndarray, parts: int) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "ids", "counts", "places"])
 
 
-def gather(table: pa.Table) -> pa.Table:
-    """What all buckets say of one part of the documents: one row per document."""
+def places_in(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All (doc, place) of rows by document, sorted."""
     rows = table.to_pylist()
     doc = np.concatenate([np.repeat(np.frombuffer(r["ids"], np.int64), unplanes(r["counts"])) for r in rows])
     place = np.concatenate([np.frombuffer(r["places"], "<u4") for r in rows])
     sort = np.lexsort((place, doc))
-    doc, place = doc[sort], place[sort]
+    return doc[sort], place[sort]
+
+
+def gather(table: pa.Table) -> pa.Table:
+    """What all buckets say of one part of the documents: one row per document."""
+    doc, place = places_in(table)
     new = runs(doc)
     places = pa.Array.from_buffers(pa.large_binary(), len(new) - 1, [None, pa.py_buffer((4 * new).astype(np.int64).tobytes()), pa.py_buffer(place.tobytes())])
     return pa.table({"doc_id": pa.array(doc[new[:-1]], pa.int64(), mask=doc[new[:-1]] == NULL_ID), "places": places.cast(pa.binary())})
@@ -140,20 +170,30 @@ def find_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, places): the word numbers, as little-endian 32-bit numbers, at which a window begins
     that also begins earlier, in a smaller doc_id or before in the same document. Documents without any are left out.
 
-    Each bucket is one group of about 24 MB of text, some four million windows; their number grows with the texts."""
-    buckets = words.bucket_count(docs)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(bucket_windows(window, buckets), BUCKET_ROWS)
-    found = dealt.groupBy("bucket").applyInArrow(lambda _, t: repeats(t, buckets), "part int, ids binary, counts binary, places binary")
+    Each bucket is one group of about 24 MB of text, some four million windows; their number grows with the texts. A
+    chunk is dealt over FANOUT buckets at most. Beyond, each is dealt again over as many as are missing, some 24 MB at
+    a time, and so is what goes back to the documents."""
+    buckets = words.bucket_count(docs, each=BUCKET)
+    first, more = min(buckets, FANOUT), -(-buckets // FANOUT)
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(bucket_windows(window, first), BUCKET_ROWS)
+    share = lambda *c: F.pmod(F.xxhash64(*c), F.lit(more))
+    if more > 1:
+        dealt = dealt.groupBy("bucket", share("ids", "places")).applyInArrow(lambda _, t: deal_again(t, more), BUCKET_ROWS)
+    document_rows = "part int, ids binary, counts binary, places binary"
+    found = dealt.groupBy("bucket").applyInArrow(lambda _, t: repeats(t, first), document_rows)
+    if more > 1:
+        found = found.groupBy("part", share("ids", "places")).applyInArrow(lambda k, t: by_document(*places_in(t), more, first, k[0].as_py()), document_rows)
     return found.groupBy("part").applyInArrow(lambda _, t: gather(t), "doc_id long, places binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """Each document with its removal: doc_id, text (null where it was), n_words, cuts (array of maximal intervals of
-    word numbers, end exclusive).
+    """Each document with its removal: doc_id, text (null where it was), places (little-endian 32-bit numbers of the
+    words at which a repeated window begins, null without any). intervals() merges them into maximal removal intervals.
 
-    A null text has no words. Texts of fewer words than a window lose nothing. Rows that share a doc_id count as one
-    document: a word goes if a repeated window covers it in any of them, and a row doesn't repeat its own copy. A null
-    doc_id comes before all others. Other columns are ignored."""
+    A null text has no words. Texts of fewer words than a window lose nothing; texts of any length are read whole. Rows
+    that share a doc_id count as one document: a word goes if a repeated window covers it in any of them, and a row
+    doesn't repeat its own copy. A null doc_id comes before all others. An empty table gives an empty one. Other columns
+    are ignored."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = find_repeats(rows, window).withColumnRenamed("doc_id", "__id")
     return rows.join(found, rows["doc_id"].eqNullSafe(found["__id"]), "left").drop("__id")

@@ -122,7 +122,7 @@ def runs(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1, [len(x)]]) if len(x) else np.zeros(1, int)
 
 
-def bucket_count(docs, text: str = "text", each: int = 24 << 20) -> int:
+def bucket_count(docs, each: int, text: str = "text") -> int:
     """Buckets for what is gathered from the texts: one for each so many bytes, and the shuffle partitions at least."""
     from pyspark.sql import functions as F
 

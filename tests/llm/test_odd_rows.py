@@ -139,7 +139,11 @@ def test_exact_with_a_small_filter(make, monkeypatch):
     assert sorted(map(tuple, exact_dedup.exact_groups(make(rows)).collect())) == want
 
 
-def test_substring_by_brute_force(make):
+@pytest.mark.parametrize("fanout", [2048, 3])
+def test_substring_by_brute_force(make, monkeypatch, fanout):
+    if fanout < 2048:  # dealt twice, over some twenty buckets
+        monkeypatch.setattr(substring_dedup, "FANOUT", fanout)
+        monkeypatch.setattr(substring_dedup, "BUCKET", 1500)
     rng = np.random.default_rng(1)
     passage = [f"p{i}" for i in range(60)]
     rows = []
