@@ -26,6 +26,9 @@ PRIOR = 30.0
 
 #: Bytes of text that are counted at once, and that a bucket counts and looks up the tokens and pairs of.
 CHUNK, BUCKET = 4 << 20, 8 << 20
+#: Buckets that one chunk is dealt over at most. More are reached by dealing a second time, so what a row holds doesn't
+#: shrink as the input grows.
+FANOUT = 2048
 
 _END = np.uint64(0xE703C61A5D2B4F99)  # stands for the end of a text
 _FLOORS = BASE ** np.arange(1, 120)
@@ -134,14 +137,24 @@ def gather_counts(buckets: int):
             for ngram, place in ((distinct, code), (pair, at)):
                 order, start = _by_bucket(ngram, buckets)
                 sent.append((ngram[order], np.bincount(place, weights=train[doc], minlength=len(ngram)).astype(np.int64)[order], start))
-            for b in range(buckets):
-                own = [(ngram[start[b] : start[b + 1]], n[start[b] : start[b + 1]]) for ngram, n, start in sent]
-                if len(own[0][0]) or len(own[1][0]):
-                    (token_b, token_n), (pair_b, pair_n) = own
-                    rows.append((chunk, b, None, None, None, None, token_b.tobytes(), pack(token_n), pack(np.diff(named(pair_b), prepend=np.uint64(0)), 5), pack(pair_n)))
+            rows += packed(chunk, 0, (sent[0][0], *sent[0][1:]), (named(sent[1][0]), *sent[1][1:]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), names.values(), strict=True)], names=list(names))
 
-    return task, "chunk long, bucket int, ids binary, flags binary, sizes binary, codes binary, token binary, token_n binary, pair binary, pair_n binary"
+    return task, SENT
+
+
+SENT = "chunk long, bucket int, ids binary, flags binary, sizes binary, codes binary, token binary, token_n binary, pair binary, pair_n binary"
+
+
+def packed(chunk: int, bucket: int, tokens: tuple, pairs: tuple) -> list[tuple]:
+    """A row for each bucket from the given one on that gets any of a chunk's tokens and named pairs. Both come in order,
+    with their counts and where each bucket starts."""
+    (token, token_n, at), (pair, pair_n, pair_at) = tokens, pairs
+    out = []
+    for b in np.flatnonzero((np.diff(at) > 0) | (np.diff(pair_at) > 0)):
+        t, p = slice(at[b], at[b + 1]), slice(pair_at[b], pair_at[b + 1])
+        out.append((chunk, bucket + int(b), None, None, None, None, token[t].tobytes(), pack(token_n[t]), pack(np.diff(pair[p], prepend=np.uint64(0)), 5), pack(pair_n[p])))
+    return out
 
 
 def first_and_step(ngram: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,6 +183,61 @@ def add_up(own: list[np.ndarray], n: list[bytes]) -> tuple[np.ndarray, np.ndarra
     return distinct, count, np.split(code, np.cumsum([len(x) for x in own])[:-1])
 
 
+def read_pairs(row: dict) -> np.ndarray:
+    return np.cumsum(unpack(row["pair"], 5)).astype(np.uint64)
+
+
+def _parted(ngram: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of distinct n-grams by the part of their bucket, and where each part starts in it."""
+    part = (mix(ngram ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((ngram, part))
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def deal_again(table: pa.Table, parts: int, share: int) -> pa.Table:
+    """What some of the chunks sent to one bucket, added up and dealt over the parts of the bucket as if from one chunk; and
+    the rows themselves, with that chunk as their share. Rows that describe a chunk pass through."""
+    every = table.to_pylist()
+    rows = [r for r in every if r["ids"] is None]
+    out = [(*r.values(), None) for r in every if r["ids"] is not None]
+    if rows:
+        bucket = rows[0]["bucket"]
+        share += bucket << 32
+        token, token_n, _ = add_up([np.frombuffer(r["token"], np.uint64) for r in rows], [r["token_n"] for r in rows])
+        pair, pair_n, _ = add_up([read_pairs(r) for r in rows], [r["pair_n"] for r in rows])
+        (a, at), (b, pair_at) = _parted(token, parts), _parted(pair, parts)
+        out += [(*r, None) for r in packed(share, bucket * parts, (token[a], token_n[a], at), (pair[b], pair_n[b], pair_at))]
+        out += [(*(r | {"token_n": None, "pair_n": None}).values(), share) for r in rows]
+    words.give_back()
+    types = (pa.int64(), pa.int32(), *[pa.binary()] * 8, pa.int64())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[*table.column_names, "share"])
+
+
+def hand_back(table: pa.Table, parts: int) -> pa.Table:
+    """Turns the answers to one share into answers to the rows that it was added up from."""
+    every = table.to_pylist()
+    rows = [r for r in every if r["share"] is not None]
+    answers = sorted((r for r in every if r["share"] is None), key=lambda r: r["bucket"])
+
+    def values(own: list[np.ndarray], column: str, width: int) -> list[np.ndarray]:
+        distinct, code = np.unique(np.concatenate(own), return_inverse=True)
+        told = np.empty(len(distinct), np.int64)
+        told[_parted(distinct, parts)[0]] = np.concatenate([unpack(r[column], width) for r in answers])
+        return [pack(x, width) for x in np.split(told[code], np.cumsum([len(x) for x in own])[:-1])]
+
+    tokens = [np.frombuffer(r["token"], np.uint64) for r in rows]
+    columns = zip(rows, values(tokens, "codes", 8), values(tokens, "token_level", 1), values([read_pairs(r) for r in rows], "pair_level", 1), strict=True)
+    out = [(r["chunk"], r["bucket"], *[None] * 3, n, t, p, *[None] * 3) for r, n, t, p in columns]
+    words.give_back()
+    return answer_table(out)
+
+
+def answer_table(out: list[tuple]) -> pa.Table:
+    types = (pa.int64(), pa.int32(), *[pa.binary()] * 6, *[pa.int64()] * 3)
+    names = ("chunk", "bucket", "ids", "flags", "sizes", "codes", "token", "pair", "tokens", "types", "filter_bytes")
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+
 @dataclass
 class Model:
     """Slices of the filter with the totals that smoothing needs."""
@@ -212,7 +280,7 @@ def count_bucket(table: pa.Table) -> pa.Table:
     rows = [r for r in every if r["ids"] is None]
     if rows:
         token, token_n, own_tokens = add_up([np.frombuffer(r["token"], np.uint64) for r in rows], [r["token_n"] for r in rows])
-        pair, pair_n, own_pairs = add_up([np.cumsum(unpack(r["pair"], 5)).astype(np.uint64) for r in rows], [r["pair_n"] for r in rows])
+        pair, pair_n, own_pairs = add_up([read_pairs(r) for r in rows], [r["pair_n"] for r in rows])
         known, often = token_n > 0, pair_n >= LEAST_PAIR
         bits = np.frombuffer(build_slice(np.concatenate([token[known], pair[often]]), np.concatenate([token_n[known], pair_n[often]])), np.uint8)
         model = Model(bits, np.zeros(1, np.uint64), np.array([8 * len(bits) - 1], np.uint64), int(token_n.sum()), int(known.sum()))
@@ -220,10 +288,8 @@ def count_bucket(table: pa.Table) -> pa.Table:
         for r, t, p in zip(rows, own_tokens, own_pairs, strict=True):
             out.append((r["chunk"], r["bucket"], None, None, None, pack(token_n[t], 8), pack(single[t], 1), pack(both[p], 1), None, None, None))
         out.append((None, rows[0]["bucket"], *[None] * 6, model.tokens, model.types, len(bits)))
-    types = (pa.int64(), pa.int32(), *[pa.binary()] * 6, *[pa.int64()] * 3)
-    names = ("chunk", "bucket", "ids", "flags", "sizes", "codes", "token", "pair", "tokens", "types", "filter_bytes")
     words.give_back()
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+    return answer_table(out)
 
 
 def score_chunk(table: pa.Table, buckets: int, n_tokens: int, n_types: int) -> pa.Table:
@@ -257,22 +323,40 @@ def score_chunk(table: pa.Table, buckets: int, n_tokens: int, n_types: int) -> p
     return pa.concat_tables(out)
 
 
-def look_up(docs: DataFrame, buckets: int) -> DataFrame:
-    """What the buckets send back to each chunk of docs (doc_id, tag, train, text), and a row of each bucket's totals."""
+ANSWERED = "chunk long, bucket int, ids binary, flags binary, sizes binary, codes binary, token binary, pair binary, tokens long, types long, filter_bytes long"
+
+
+def look_up(docs: DataFrame, buckets: int, more: int = 1) -> DataFrame:
+    """What the buckets send back to each chunk of docs (doc_id, tag, train, text), and a row of each bucket's totals.
+
+    Chunks are dealt over so many buckets, and each bucket again over so many more parts, some chunks at a time; then
+    counts and slices are a part's, and the answers go back by the way they came."""
     task, schema = gather_counts(buckets)
-    sent = "chunk long, bucket int, ids binary, flags binary, sizes binary, codes binary, token binary, pair binary, tokens long, types long, filter_bytes long"
-    return materialize(docs.mapInArrow(task, schema).groupBy("bucket").applyInArrow(lambda _, t: count_bucket(t), sent), "counts")
+    sent = docs.mapInArrow(task, schema)
+    count = lambda df: materialize(df.groupBy("bucket").applyInArrow(lambda _, t: count_bucket(t), ANSWERED), "counts")
+    if more == 1:
+        return count(sent)
+    shares = sent.groupBy("bucket", F.pmod(F.xxhash64("chunk"), F.lit(more))).applyInArrow(lambda k, t: deal_again(t, more, k[1].as_py()), schema + ", share long")
+    shares = materialize(shares, "shares")
+    answered = count(shares.where("share IS NULL").drop("share"))
+    waiting = shares.where("share IS NOT NULL").select("share", "chunk", "bucket", "token", "pair", *[F.lit(None).cast("binary").alias(c) for c in ("codes", "token_level", "pair_level")])
+    none = F.lit(None).cast("binary")
+    answers = answered.where("ids IS NULL AND chunk IS NOT NULL").select(F.lit(None).cast("long").alias("share"), "chunk", "bucket", none.alias("token"), none.alias("pair"), "codes", F.col("token").alias("token_level"), F.col("pair").alias("pair_level"))
+    back = waiting.unionByName(answers).groupBy(F.coalesce("share", "chunk")).applyInArrow(lambda _, t: hand_back(t, more), ANSWERED)
+    return answered.where("ids IS NOT NULL OR chunk IS NULL").unionByName(materialize(back, "back"))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Every document with its scores: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score is the smoothed single-word log10 probability by exact training counts; score is the model's. A null or
-    blank text is its end alone. A null doc_id trains. Repeated rows each count in training and get equal scores. Other
-    columns are ignored. With no training text nothing is known, and the base score is 0."""
+    blank text is its end alone; texts of any length are read whole. A null doc_id trains. Repeated rows each count in
+    training and get equal scores. Other columns are ignored. With no training text nothing is known, and the base
+    score is 0. An empty table gives an empty one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out(F.col("doc_id").cast("long"))).alias("train"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("tag"), "text")
     buckets = words.bucket_count(rows, each=BUCKET)
-    out = look_up(rows, buckets)
+    buckets, more = min(buckets, FANOUT), -(-buckets // FANOUT)
+    out = look_up(rows, buckets, more)
     n_tokens, n_types = out.where("chunk IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types")]).first()
     chunks = out.where("chunk IS NOT NULL").drop("tokens", "types", "filter_bytes")
     return chunks.groupBy("chunk").applyInArrow(lambda _, t: score_chunk(t, buckets, n_tokens, n_types), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

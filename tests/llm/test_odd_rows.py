@@ -294,9 +294,15 @@ def test_pairs_of_a_common_word_are_dealt_over_buckets():
     assert len(size) == 16 and max(size.values()) < 1.5 * sum(size.values()) / 16
 
 
-def test_scores_equal_a_plain_model(make, monkeypatch):
-    """Of plain counts at the filter's levels. A bound on the whole filter, where there is one, must not show."""
+@pytest.mark.parametrize("fanout", [2048, 3])
+def test_scores_equal_a_plain_model(make, monkeypatch, fanout):
+    """Of plain counts at the filter's levels. A bound on the whole filter, where there is one, must not show, nor whether
+    chunks are dealt twice."""
     monkeypatch.setattr(lm_scoring, "MOST_BITS", 1 << 12, raising=False)
+    if fanout < 2048:
+        monkeypatch.setattr(lm_scoring, "FANOUT", fanout)
+        monkeypatch.setattr(lm_scoring, "BUCKET", 7_000)
+        monkeypatch.setattr(lm_scoring, "CHUNK", 20_000)
     rng = np.random.default_rng(8)
     rows = [(d, " ".join(f"w{min(int(rng.pareto(1) * 5), 4000)}" for _ in range(120))) for d in range(300)]
     lists = {d: [*t.split(), None] for d, t in rows}
