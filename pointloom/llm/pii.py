@@ -20,14 +20,17 @@ _ROUNDS = 10
 # The shapes that are looked for. Each find is validated before it is replaced.
 _EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])")
 _BOUND = r"(?!\w|[.-][0-9])"
+#: Nothing that a card might be made of on either side, so digits written like this aren't a part of one.
+_APART, _END = r"(?<![0-9][ -])", r"(?!\w|[ .-]?[0-9])"
 #: Where a find may start: IBANs and cards by their head, as each of their lengths is tried.
 _START = re.compile(
     r"(?<![\w.])(?:"
-    r"(?P<iban>[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4}))"
-    rf"|(?P<date>[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{_BOUND}|[0-9]{{2}}(?P<sep>[./])[0-9]{{2}}(?P=sep)[0-9]{{4}}{_BOUND})"
+    r"(?P<iban>[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})|[a-z]{2}[0-9]{2}(?= ?[a-z0-9]{4}))"
+    rf"|(?P<date>[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{_BOUND}|[0-9]{{4}}(?P<first>[./])[0-9]{{2}}(?P=first)[0-9]{{2}}{_BOUND}|[0-9]{{1,2}}(?P<sep>[./])[0-9]{{1,2}}(?P=sep)[0-9]{{4}}{_BOUND})"
     rf"|(?P<ip>(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}{_BOUND})"
-    rf"|(?P<ssn>[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_BOUND})"
-    rf"|(?P<phone>(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{3}}\)[ .-]?|[0-9]{{3}}[.-])[0-9]{{3}}[.-][0-9]{{4}}{_BOUND})"
+    rf"|(?P<ssn>[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_BOUND}|{_APART}[0-9]{{3}} [0-9]{{2}} [0-9]{{4}}{_END})"
+    rf"|(?P<phone>(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{3}}\)[ .-]?|[0-9]{{3}}[.-])[0-9]{{3}}[.-][0-9]{{4}}{_BOUND}"
+    rf"|{_APART}[2-9][0-9]{{2}}[2-9][0-9]{{6}}{_END}|\+[0-9](?:[ .-]?\(?[0-9]\)?){{7,14}}{_BOUND})"
     r"|(?P<card>[0-9](?=(?:[ -]?[0-9]){12}))"
     r")"
 )
@@ -35,6 +38,9 @@ _CARD_END = re.compile(r"(?!\w|\.[0-9])")
 #: Lengths of IBANs by country; of others the longest that fits is tried.
 _IBAN_LENGTH = {c: n for n, cs in {15: "NO", 16: "BE", 18: "DK FI FO GL NL FK SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
 _IBAN_TRY = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + _BOUND) for n in range(15, 35)}
+_IBAN_TRY |= {-n: re.compile(p.pattern.replace("A-Z", "a-z", 1).replace("A-Z0-9", "a-z0-9")) for n, p in _IBAN_TRY.items()}  # in lower case
+# The country codes of telephone numbers of one and two digits; all others have three.
+_COUNTRY = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 #: Times that the values of finds which might be read otherwise are permuted on.
 _MOST_WALKS = 2000
 _DIGIT = re.compile("[0-9]")
@@ -120,12 +126,12 @@ def _card(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _iban(text: str, key: bytes, back: bool) -> str | None:
-    plain = text.replace(" ", "")
+    plain = text.replace(" ", "").upper()
     if not 15 <= len(plain) <= 34 or _iban_rest(plain) != 1:
         return None
     rest = _mixed(plain[4:], key, "iban" + plain[:2], back)
     new = iter(plain[:2] + f"{98 - _iban_rest(plain[:2] + '00' + rest):02d}" + rest)
-    return "".join(c if c == " " else next(new) for c in text)
+    return "".join(c if c == " " else n.lower() if c.islower() else n for c in text for n in ([""] if c == " " else [next(new)]))
 
 
 def _ip(text: str, key: bytes, back: bool) -> str | None:
@@ -142,26 +148,54 @@ def _ssn_ok(value: int) -> bool:
 
 
 def _ssn(text: str, key: bytes, back: bool) -> str | None:
-    value = int(text.replace("-", ""))
+    value = int(re.sub("[ -]", "", text))
     return _fill(text, f"{permute(value, 10**9, key, 'ssn', back, _ssn_ok):09d}") if _ssn_ok(value) else None
 
 
+def _american(value: int) -> bool:
+    """Whether area and exchange of a ten-digit number begin with 2 to 9."""
+    return value >= 2 * 10**9 and value // 10**6 % 10 >= 2
+
+
 def _phone(text: str, key: bytes, back: bool) -> str | None:
+    """The country's code stays; so does whether a number of the country 1 could be dialled. Ten digits without a code are
+    of the country 1."""
     digits = "".join(_DIGIT.findall(text))
-    return _fill(text, digits[:-10] + f"{permute(int(digits[-10:]), 10**10, key, 'phone', back):010d}")
+    if text[0] == "+" and digits[0] == "0":
+        return None
+    code = next(digits[:n] for n in (1, 2, 3) if n == 3 or digits[:n] in _COUNTRY) if text[0] == "+" else digits[:-10]
+    own, country = digits[len(code) :], code if text[0] == "+" else "1"
+    if country == "1" and len(own) == 10:
+        like = _american(int(own))
+        new = permute(int(own), 10**10, key, "phone", back, lambda v: _american(v) == like)
+    else:
+        new = permute(int(own), 10 ** len(own), key, "phone" + country, back)
+    return _fill(text, code + f"{new:0{len(own)}d}")
+
+
+def _date_kind(day: datetime.date) -> tuple[bool, bool, bool]:
+    """What a date must keep to be written in the same way: one or two digits, and whether its day could be a month."""
+    return day.day < 10, day.month < 10, day.day > 12
 
 
 def _date(text: str, key: bytes, back: bool) -> str | None:
-    year_first = text[4] == "-"
-    parts = [int(p) for p in re.split("[-./]", text)]
-    try:
-        day = datetime.date(*(parts if year_first else parts[::-1])).toordinal()
-    except ValueError:
-        return None
-    if not _FIRST_DAY <= day <= _LAST_DAY:
-        return None
-    new = datetime.date.fromordinal(_FIRST_DAY + permute(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, key, "date", back))
-    return new.isoformat() if year_first else new.strftime(f"%d{text[2]}%m{text[2]}%Y")
+    """Year first, or day first, or month first where the second number can only be a day."""
+    a, b, c = re.split("[-./]", text)
+    orders = ((a, b, c),) if len(a) == 4 else ((c, b, a), (c, a, b))
+    for number, order in enumerate(orders):
+        try:
+            old = datetime.date(*map(int, order))
+        except ValueError:
+            continue
+        if not _FIRST_DAY <= old.toordinal() <= _LAST_DAY:
+            return None
+        kind = _date_kind(old)
+        of = lambda v: datetime.date.fromordinal(_FIRST_DAY + v)
+        new = of(permute(old.toordinal() - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, key, "date", back, lambda v: _date_kind(of(v)) == kind))
+        parts = [new.year, new.month, new.day] if len(a) == 4 else [new.day, new.month, new.year] if number == 0 else [new.month, new.day, new.year]
+        it = iter(f"{p:0{len(x)}d}" for p, x in zip(parts, (a, b, c), strict=True))
+        return re.sub("[0-9]+", lambda _: next(it), text)
+    return None
 
 
 def _email(text: str, key: bytes, back: bool) -> str | None:
@@ -184,7 +218,10 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
 def _ends(text: str, kind: str, start: int) -> list[int]:
     """Where an IBAN or card that starts there may end, the longest first. An IBAN has one length."""
     if kind == "iban":
-        n = _IBAN_LENGTH.get(text[start : start + 2])
+        country = text[start : start + 2]
+        n = _IBAN_LENGTH.get(country.upper())
+        if country.islower():  # words and hexadecimal numbers begin like this too, so only in a country's length
+            return [m.end()] if n and (m := _IBAN_TRY[-n].match(text, start)) else []
         return [m.end() for k in ([n] if n else range(34, 14, -1)) if (m := _IBAN_TRY[k].match(text, start))][:1]
     out, digits = [], 0
     for i in range(start, min(len(text), start + 37)):
@@ -206,6 +243,13 @@ def scan(text: str, key: bytes, back: bool = False, at: int = 0) -> tuple[list[t
     while m := _START.search(text, at):
         first = next(k for k in KINDS if k != "email" and m[k] is not None)
         at = m.start()
+        if text[at] == "+":  # a sign before a card
+            cards = [e for e in _ends(text, "card", at + 1) if e <= m.end() + 5]
+            card = next((e for e in cards if pseudonym("card", text[at + 1 : e], key, back) is not None), None)
+            vain += [(at, e) for e in cards]
+            if card:
+                at += 1
+                continue
         tries = [(k, e) for k in dict.fromkeys([first] if first == "iban" else [first, "card"]) for e in (_ends(text, k, at) if k in ("iban", "card") else [m.end()])]
         found = next(((k, e) for k, e in tries if pseudonym(k, text[at:e], key, back) is not None), None)
         vain += [(at, e) for k, e in tries[: tries.index(found) if found else None]]
@@ -261,15 +305,19 @@ def pseudonymize_text(text: str, key: bytes, back: bool = False) -> tuple[str, d
     return "".join([*out, numbers(text[at:])]), count
 
 
-def pseudonymize(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, back: bool = False, example: bool = False) -> DataFrame:
     """doc_id, text, and n_<kind> for each kind of find: cards that pass Luhn, IBANs that pass mod 97, IPv4 addresses,
-    US social security numbers, ten-digit phone numbers, calendar dates of 1900 to 2099, and e-mail addresses.
+    US social security numbers, ten-digit phone numbers and those with a country's code, calendar dates of 1900 to 2099,
+    and e-mail addresses. Ten digits without signs are a phone number if area and exchange begin with 2 to 9.
 
     Each value is permuted within its format under the secret key, so documents stay linked by equal values, valid
     values stay valid, and back=True with the same key restores the texts. Cards are tried at every start and
     length that begins and ends with a group of digits, IBANs at every start in their country's length; where digits before or behind would make a
     pseudonym read otherwise, it is permuted on, and isn't linked then; past 2,000 times it isn't restored either. No shuffle and no table of pseudonyms:
-    each row is done on its own. A null text stays null with no finds; other columns are ignored."""
+    each row is done on its own, repeated rows alike, and texts of any length as a whole. A null text stays null with no
+    finds, an empty one empty, and an empty table gives an empty one; a null doc_id is kept. Other columns are ignored."""
+    if not key or key == EXAMPLE_KEY and not example:
+        raise ValueError("pass a secret key of your own")
     names = [f"n_{k}" for k in KINDS]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,4 +337,4 @@ EXAMPLE_KEY = b"replace this key"
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
-    return pseudonymize(spark.read.parquet(f"{sf_dir}/documents.parquet"), EXAMPLE_KEY)
+    return pseudonymize(spark.read.parquet(f"{sf_dir}/documents.parquet"), EXAMPLE_KEY, example=True)

@@ -414,6 +414,36 @@ def test_cards_and_ibans_beside_digits_and_capitals():
     assert found > 1500
 
 
+def test_pii_formats():
+    key = b"secret"
+    one = {"date": "2024/02/29 1/2/1980 1/02/1980 12/25/2020 2024.02.29", "phone": "+442079460958 6175552870 2175552871", "ssn": "123-45-6789", "iban": "es9121000418450200051332 ES9121000418450200051332"}
+    for kind, texts in one.items():
+        for text in texts.split():
+            new, count = pii.pseudonymize_text(f"a {text}, b", key)
+            assert count[kind] == sum(count.values()) == 1 and text not in new and len(new) == len(text) + 5
+            assert pii.pseudonymize_text(new, key, back=True)[0] == f"a {text}, b"
+    plain = lambda text: re.sub("[^0-9A-Z]", "", pii.pseudonymize_text(text, key)[0].upper())
+    # equal values stay linked, written otherwise
+    for same in (("+44 20 7946 0958", "+442079460958"), ("+1 617 555 2870", "+1 (617) 555-2870"), ("(617) 555-2870", "6175552870"), ("123 45 6789", "123-45-6789"), ("es91 2100 0418 4502 0005 1332", "ES9121000418450200051332"), ("2024/02/29", "2024-02-29"), ("25/12/2020", "25.12.2020")):
+        assert len({plain(x) for x in same}) == 1 and plain(same[0]) != re.sub("[^0-9A-Z]", "", same[0].upper())
+    assert "PAID" in pii.pseudonymize_text("ES91 2100 0418 4502 0005 1332 PAID", key)[0] and plain("ES91 2100 0418 4502 0005 1332 PAID")[:-4] == plain("ES9121000418450200051332")
+    assert pii.pseudonymize_text("+4111 1111 1111 1111", key)[1]["card"] == 1
+    for no in ("1700000000", "32/13/2020", "1234567890123 45 6789", "ab12cd34ef56ab12cd34ef56", "6175552870 1234"):
+        assert pii.pseudonymize_text(no, key)[0] == no
+    rng = np.random.default_rng(10)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    for _ in range(1500):
+        parts = [[f"+{rng.choice(['1', '44', '353'])} {digits(3)} {digits(3)} {digits(4)}", f"{rng.integers(1, 32)}/{rng.integers(1, 14)}/{rng.integers(1890, 2110)}", f"{digits(3)} {digits(2)} {digits(4)}", digits(10), digits(3), digits(15)][i] for i in rng.integers(0, 6, rng.integers(1, 5))]
+        text = str(rng.choice([" ", ", ", "/"])).join(parts)
+        assert pii.pseudonymize_text(pii.pseudonymize_text(text, key)[0], key, back=True)[0] == text
+
+
+def test_pii_needs_a_key(make):
+    for key in (b"", pii.EXAMPLE_KEY):
+        with pytest.raises(ValueError):
+            pii.pseudonymize(make([(1, "x")]), key)
+
+
 def test_pii_nulls(make, odd_rows):
     got = pii.pseudonymize(make(odd_rows), b"k").collect()
     assert sorted(r["doc_id"] for r in got if r["text"] is None and r["doc_id"] is not None) == [4]

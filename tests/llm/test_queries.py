@@ -48,11 +48,35 @@ def test_op9_restores_and_links(spark, rows):
     from pointloom.llm import pii
 
     got = Q.QUERIES["op9_pii"](spark, FOLDER)
-    assert pii.pseudonymize(got, pii.EXAMPLE_KEY, back=True).select("doc_id", "text").exceptAll(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert pii.pseudonymize(got, pii.EXAMPLE_KEY, back=True, example=True).select("doc_id", "text").exceptAll(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
     found = got.agg(*[F.sum(f"n_{k}").alias(k) for k in pii.KINDS]).first()
     assert found["email"] > 0 and found["card"] > 0 and found["ip"] > 0 and found["phone"] > 0
 
 
+def test_op9_finds_what_every_window_says(spark, rows):
+    """Cards by all windows of digits; addresses and e-mails by all runs of their signs, tried whole."""
+    import ipaddress
+    import re
+
+    from .test_odd_rows import plain_cards
+
+    got = {r["doc_id"]: r for r in Q.QUERIES["op9_pii"](spark, FOLDER).collect()}
+
+    def address(x):
+        try:
+            return bool(ipaddress.IPv4Address(x))
+        except ValueError:
+            return False
+
+    for d, text in rows:
+        text = text or ""
+        mails = [x for x in re.findall(r"[\w.%+-]+@[\w.-]+", text) if "." in x.partition("@")[2].strip(".-")]
+        assert got[d]["n_email"] == len(mails)
+        assert got[d]["n_ip"] == sum(address(x.rstrip(".")) for x in re.findall(r"(?<![\w.])[0-9.]+(?![\w])", text))
+        if len(mails) == 0 and re.search("[0-9]", text):
+            assert got[d]["n_card"] == sum(len(plain_cards(x)) for x in re.findall(r"[0-9](?:[0-9 -]*[0-9])?", text) if len(re.sub("[^0-9]", "", x)) >= 13)
+
+
 def test_op10_ids_and_bins(spark, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
