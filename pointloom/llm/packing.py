@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,28 +64,67 @@ class WordIds(dict):
         return array.array("I", self.tokenizer.encode(word.decode(errors="replace"), add_special_tokens=False).ids).tobytes()
 
 
-def _word_ids(name: str, folder: str | None) -> WordIds:
-    """One for each Python worker."""
-    if (name, folder) not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+# What a tokenizer must do to a text so that its words can be looked up one by one.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _by_words(tokenizer) -> bool:
+    """Whether texts are lower-cased and cut at white space, and the pieces' ids don't look across: what WordIds relies on."""
+    told = json.loads(tokenizer.to_str())
+    normalizers = [n["type"] for n in (told["normalizer"] or {}).get("normalizers", [])]
+    splits = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split, letters = splits if len(splits) == 2 else ({}, {})
+    removed = split.get("pattern") == {"Regex": _SPLIT} and split.get("invert") and split.get("behavior") == "Removed"
+    alone = letters.get("type") == "ByteLevel" and not letters.get("add_prefix_space") and not letters.get("use_regex")
+    return normalizers == _NORMALIZERS and bool(removed) and alone and told["model"]["type"] == "BPE" and not told["truncation"] and not told["padding"]
+
+
+def _bytes(ids: Iterable[int]) -> bytes:
+    return array.array("I", ids).tobytes()
+
 
-        if folder is None:
-            import public_tokenizers
+def _load(name: str, folder: str | None) -> Callable[[bytes], bytes]:
+    """From a UTF-8 text to its ids as little-endian unsigned 32-bit numbers, by the library that reads the file."""
+    if folder is None:
+        import public_tokenizers
 
-            path = public_tokenizers.path(name)
-        else:
-            path = f"{folder}/{name}"
-        _loaded[name, folder] = WordIds(Tokenizer.from_file(path))
-    return _loaded[name, folder]
+        path = public_tokenizers.path(name)
+    else:
+        path = f"{folder}/{name}"
+    plain = lambda text: text.decode(errors="replace")
+    if name.endswith(".model"):
+        import sentencepiece
+
+        pieces = sentencepiece.SentencePieceProcessor(model_file=str(path))
+        return lambda text: _bytes(pieces.encode(plain(text)))
+    if name.endswith(".tiktoken"):
+        import base64
+
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        ranked = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: _bytes(ranked.encode_ordinary(plain(text)))
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(str(path))
+    if not _by_words(tokenizer):
+        return lambda text: _bytes(tokenizer.encode(plain(text), add_special_tokens=False).ids)
+    ids = WordIds(tokenizer)
+    # this tokenizer never looks across a space
+    return lambda text: b"".join(map(ids.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 def token_ids(texts: list[bytes], name: str, folder: str | None) -> Iterator[bytes]:
-    """The ids of each text, put together from those of its words: this tokenizer (lower case, words cut at white
-    space) never looks across a space."""
-    ids = _word_ids(name, folder)
-    for text in texts:
-        yield b"".join(map(ids.__getitem__, (text if b"<|" in text else text.lower()).split()))
+    """The ids of each text. The tokenizer is loaded once in each Python worker. Where it cuts texts at white space, they
+    are put together from those of the words; else the library does whole texts."""
+    if (name, folder) not in _loaded:
+        _loaded[name, folder] = _load(name, folder)
+    yield from map(_loaded[name, folder], texts)
 
 
 def tokenize_pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer: str, folder: str | None, with_ids: bool) -> DataFrame:
@@ -175,7 +215,8 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str = "word_bpe_49k.json", folder: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their sequence: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and
-    ids, the tokens themselves). tokenizer is a file in folder, by default that of the installed public tokenizers.
+    ids, the tokens themselves). tokenizer is a file in folder, by default that of the installed public tokenizers: .json
+    of tokenizers, .tiktoken of tiktoken or .model of sentencepiece.
 
     A null or empty text is the end id alone. Repeated rows are packed each. A null doc_id stays null. Other columns
     are ignored; an empty table gives no sequences.

@@ -495,6 +495,32 @@ def test_sparse_sites_shrink(spark):
     assert got["h0"] > 0.8 and got["h1"] < 0.15 and rates["bad"] < got["new"] < 0.9
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"])
+def test_other_tokenizers(make, odd_rows, name):
+    """Only a tokenizer that cuts at spaces and lower-cases gets the short way."""
+    import public_tokenizers
+
+    texts = [t for _, t in odd_rows[:6]] + ["It's  Two\nSpaces,  CAPITALS and 12,345 é ñ"]
+    got = packing.pack_documents(make(list(enumerate(texts))), tokenizer=name, with_ids=True).collect()
+    if name.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        encode = lambda t: Tokenizer.from_file(public_tokenizers.path(name)).encode(t, add_special_tokens=False).ids
+    elif name.endswith(".model"):
+        import sentencepiece
+
+        encode = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path(name))).encode
+    else:
+        import base64
+
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(name), "rb"))}
+        encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    for r in got:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == [*encode(texts[r["doc_id"]] or ""), 1]
+
+
 def test_quality_by_brute_force(spark):
     """Every step from the classifier's chances on, in plain Python: rates, priors by moments, shrinking, odds."""
     rng = np.random.default_rng(12)
