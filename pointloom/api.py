@@ -5,16 +5,20 @@ from __future__ import annotations
 import datetime
 import json
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import constants as C
 from .operators.quantization import quantize_points
 from .operators.sample import allocate_counts, check_limit, check_size, pick
 from .operators.spectrum import AXES, as_cloud, summarize
-from .sources import register
+from .sources import files, register
+from .sources.pos import POINT_BYTES, SCHEMA, decode_points, encode_points
 from .sources.preview import Header, inspect_file
 
 
@@ -25,7 +29,8 @@ def read_pos(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_pos(points: DataFrame, path: str, order: str = "point_index") -> None:
-    """One point file of x, y, z, mass in the given order; folders above it are made."""
+    """Points of x, y, z, mass in the given order: one file where path ends in .pos, put together on the driver, else a new
+    folder of ordered parts for clouds of any size. Folders above are made."""
     register(points.sparkSession)
     rows = points.select(F.col(order).cast("long").alias("point_index"), *[F.col(c).cast("float").alias(c) for c in ("x", "y", "z", "mass")])
     rows.orderBy("point_index").write.format("pos").mode("append").save(path)
@@ -82,12 +87,56 @@ def inspect_json(path: str) -> str:
     return json.dumps(inspect(path).to_dict(), indent=2)
 
 
+def digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, length, sha256, md5) of each file, read by tasks of their own."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("path").to_pylist()
+            yield pa.RecordBatch.from_pylist([dict(zip(("path", "length", "sha256", "md5"), (p, *files.digests(p)), strict=True)) for p in names]) if names else pa.RecordBatch.from_pydict({"path": pa.array([], pa.string()), "length": pa.array([], pa.int64()), "sha256": pa.array([], pa.string()), "md5": pa.array([], pa.string())})
+
+    rows = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string")
+    return rows.repartition(len(paths), "path").mapInArrow(task, "path string, length long, sha256 string, md5 string")
+
+
+def points_of(clouds: DataFrame, data: str = "data") -> DataFrame:
+    """The points of small clouds that stand as bytes in a column: all other columns, then point_index, x, y, z, mass.
+
+    Null and empty bytes are no points; bytes that aren't whole points are an error."""
+    keys = [c for c in clouds.columns if c != data]
+    schema = StructType([*[clouds.schema[c] for c in keys], *StructType.fromDDL(SCHEMA).fields])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, own in enumerate(batch.column(data).to_pylist()):
+                if len(own or b"") % POINT_BYTES:
+                    raise ValueError("bytes that aren't four 32-bit floats a point")
+                points = decode_points(own or b"")
+                at = pa.array([i] * len(points), pa.int64())
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in keys], *points.columns], names=[*keys, *points.schema.names])
+
+    return clouds.select(*keys, data).mapInArrow(task, schema)
+
+
+def bytes_of(points: DataFrame, keys: list[str], order: str = "point_index") -> DataFrame:
+    """One row for each small cloud, as the keys tell them apart, with its points as bytes in column data, in the given
+    order. A cloud is one value, so it must be far below 2 GB; write_pos is for larger ones."""
+    rows = points.select(*keys, F.col(order).cast("long").alias("__order"), *[F.col(c).cast("float").alias(c) for c in ("x", "y", "z", "mass")])
+    schema = StructType([*[rows.schema[k] for k in keys], StructField("data", BinaryType())])
+
+    def pack(table: pa.Table) -> pa.Table:
+        ordered = table.sort_by("__order").combine_chunks()
+        return pa.table([*[ordered.column(k).slice(0, 1) for k in keys], pa.array([encode_points(ordered)], pa.binary())], names=[*keys, "data"])
+
+    return rows.groupBy(*keys).applyInArrow(pack, schema)
+
+
 def sidecar(spark: SparkSession, source: str, preview: str, **more: str) -> dict:
-    """What to publish beside a preview: sizes, counts, ratio, versions and SHA-256, and whatever more says. The files
-    are read and digested in tasks."""
-    header = inspect(preview)
-    sizes = {r["path"].rsplit("/", 1)[-1]: r for r in spark.read.format("binaryFile").load([source, preview]).select("path", "length", F.sha2("content", 256).alias("sha256")).collect()}
-    original, packed = (sizes[p.rsplit("/", 1)[-1]] for p in (source, preview))
+    """What to publish beside a preview: sizes, counts, ratio, versions and SHA-256, and whatever more says. Each file is
+    read by a task, by the megabyte."""
+    header = inspect(preview, False)
+    found = {r["path"]: r for r in digests(spark, [source, preview]).collect()}
+    original, packed = found[source], found[preview]
     return more | {
         "source_file": source.rsplit("/", 1)[-1],
         "generated_at": datetime.datetime.now(datetime.UTC).isoformat(),

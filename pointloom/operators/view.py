@@ -46,7 +46,7 @@ def spectrum_view(spectrum: DataFrame, width: int, max_mass: float = VIEW_MASS)
     A pixel shows the largest count of the bins that it overlaps, on a scale of log1p up to the highest; stored counts
     are first scaled to the visible total. Each bin is put under the one or more pixels that it overlaps, so the
     interval join is an explode and a group-by."""
-    visible = min(SPECTRUM_BINS, -int(-max_mass // SPECTRUM_BIN_DA))
+    visible = min(SPECTRUM_BINS, math.ceil(max_mass / SPECTRUM_BIN_DA))
     rows = spectrum.where(F.col("bin") < visible)
     totals = rows.agg(F.sum("true_count").alias("t"), F.sum("stored_count").alias("s"), F.max("true_count").alias("tm"), F.max("stored_count").alias("sm"))
     scale = F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(F.lit(1.0))
@@ -68,6 +68,20 @@ def moved_camera(pitch: float, zoom: float, tilt: float = 0.0, wheel: float = 0.
     return max(-1.45, min(1.45, pitch + tilt)), max(0.15, min(8.0, zoom * math.exp(-wheel * 0.001)))
 
 
+def camera_moves(moves: DataFrame, pitch: float = PITCH, zoom: float = ZOOM) -> DataFrame:
+    """moves (tilt, wheel) with the pitch and zoom that each leads to from the camera at rest, within the same limits."""
+    tilted = F.greatest(F.lit(-1.45), F.least(F.lit(1.45), F.lit(pitch) + F.col("tilt")))
+    zoomed = F.greatest(F.lit(0.15), F.least(F.lit(8.0), F.lit(zoom) * F.exp(-F.col("wheel") * F.lit(0.001))))
+    return moves.withColumns({"pitch": tilted, "zoom": zoomed})
+
+
+def ticks_of(spectrum: DataFrame, max_mass: float = VIEW_MASS, step: int = 20) -> DataFrame:
+    """axis_ticks with the number of points whose bin lies from each tick to the next."""
+    tick = F.floor(F.col("bin") / F.lit(round(step / SPECTRUM_BIN_DA))).cast("int") * step
+    counts = spectrum.groupBy(tick.alias("mass")).agg(F.sum("true_count").alias("points"))
+    return axis_ticks(spectrum.sparkSession, max_mass, step).join(counts, "mass", "left").withColumn("points", F.coalesce("points", F.lit(0)))
+
+
 def axis_ticks(spark, max_mass: float = VIEW_MASS, step: int = 20) -> DataFrame:
     """Where the labels of the mass axis stand, as shares of its length."""
     return spark.range(0, int(max_mass) + 1, step).select(F.col("id").cast("int").alias("mass"), (F.col("id") / F.lit(max_mass)).alias("place"))

@@ -279,8 +279,8 @@ def formatted_sizes(spark, sf_dir):
 
 @query(_events(f"SELECT {_POINT} FROM cloud"))
 def pos_file_roundtrip(spark, sf_dir):
-    """Written as a point file and read again; here event ids are the order."""
-    path = scratch_path(spark, "cloud") + ".pos"
+    """Written as a folder of ordered parts and read again; here event ids are the order."""
+    path = scratch_path(spark, "cloud")
     api.write_pos(clouds.events(spark, sf_dir), path)
     return api.read_pos(spark, path).select("point_index", *_doubles("x", "y", "z", "mass"))
 
@@ -301,7 +301,20 @@ def preview_records(spark, sf_dir):
     return api.records(spark, _preview(spark, sf_dir))
 
 
-@query()
+def _header_sql() -> str:
+    """The payload as hexadecimal text, little-endian, and its CRC-32 by 256 table values and one fold over its bytes."""
+    swap = lambda v, n: " || ".join(f"substr(printf('%0{2 * n}x', {v}), {2 * i + 1}, 2)" for i in reversed(range(n)))
+    last = f"""SELECT original_point_count, stored_point_count, file_size, payload_crc32, {EVENTS_LIMIT}::BIGINT AS max_points,
+'{{"container_version":"1.0","algorithm_version":"1.0.0","header_size":128,"flags":1,"original_point_count":' || original_point_count || ',"stored_point_count":' || stored_point_count || ',"spectrum_bin_count":6000,"spectrum_min_da":0.0,"spectrum_bin_da":0.05,"spectrum_max_da":300.0,"bounds":[[' || x_min || ',' || y_min || ',' || z_min || '],[' || x_max || ',' || y_max || ',' || z_max || ']],"true_counts_offset":128,"stored_counts_offset":24128,"records_offset":48128,"file_size":' || file_size || ',"max_points":{EVENTS_LIMIT},"payload_crc32":"' || printf('%08x', payload_crc32) || '"}}' AS json
+FROM (SELECT n AS original_point_count, (SELECT sum(take)::BIGINT FROM alloc) AS stored_point_count, {_SIZE} AS file_size, * FROM box),
+(SELECT xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(payload, '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS payload_crc32
+FROM (SELECT (SELECT string_agg({swap('coalesce(true_count, 0)', 4)}, '' ORDER BY b) || string_agg({swap('coalesce(take, 0)', 4)}, '' ORDER BY b) FROM range(6000) r(b) LEFT JOIN alloc ON alloc.bin = b)
+|| (SELECT string_agg({swap('qx', 2)} || {swap('qy', 2)} || {swap('qz', 2)} || {swap('qm', 2)}, '' ORDER BY record_index) FROM quantized) AS payload), crc)"""
+    table = "bits(n, k, c) AS (SELECT range::BIGINT, 0, range::BIGINT FROM range(256) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8), crc(t) AS (SELECT list(c ORDER BY n) FROM bits WHERE k = 8),"
+    return _events(last).replace("WITH ", f"WITH RECURSIVE {table} ", 1)
+
+
+@query(_header_sql())
 def preview_header(spark, sf_dir):
     """The header with its CRC-32, and what JSON shows of it."""
     head = api.headers(spark, _preview(spark, sf_dir))
@@ -309,6 +322,26 @@ def preview_header(spark, sf_dir):
     return head.select("original_point_count", "stored_point_count", "file_size", "payload_crc32", "max_points", F.to_json(shown).alias("json"))
 
 
+@query(_events("SELECT point_index, greatest(-1.45::DOUBLE, least(1.45::DOUBLE, 0.34::DOUBLE + (z - y)::DOUBLE / 10::DOUBLE)) AS pitch, round(greatest(0.15::DOUBLE, least(8::DOUBLE, 0.72::DOUBLE * exp((mass::DOUBLE - 150::DOUBLE) * -10::DOUBLE * 0.001::DOUBLE))), 9) AS zoom FROM cloud"))
+def camera_moves(spark, sf_dir):
+    """Each event as a tilt and a turn of the wheel."""
+    moves = clouds.events(spark, sf_dir).select("point_index", ((F.col("z") - F.col("y")).cast("double") / F.lit(10.0)).alias("tilt"), ((F.col("mass").cast("double") - 150.0) * 10.0).alias("wheel"))
+    return view.camera_moves(moves).select("point_index", "pitch", F.round("zoom", 9).alias("zoom"))
+
+
+@query(_events("SELECT m::INTEGER AS mass, m / 120::DOUBLE AS place, coalesce((SELECT sum(true_count) FROM hist WHERE bin // 400 * 20 = m), 0)::BIGINT AS points FROM range(0, 121, 20) r(m)"))
+def axis_ticks(spark, sf_dir):
+    return view.ticks_of(spectrum.histogram(clouds.events(spark, sf_dir)))
+
+
+@query(_events(f"SELECT cloud, octets, rank AS point_index, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, mass::DOUBLE AS mass FROM (SELECT *, x::INTEGER AS cloud, row_number() OVER (PARTITION BY x ORDER BY point_index) - 1 AS rank, count(*) OVER (PARTITION BY x) * 16 AS octets FROM cloud)"))
+def bytes_roundtrip(spark, sf_dir):
+    """A small cloud for each user, as bytes in a column, and its points again."""
+    cloud = clouds.events(spark, sf_dir).withColumn("cloud", F.col("x").cast("int"))
+    packed = api.bytes_of(cloud, ["cloud"])
+    return api.points_of(packed.withColumn("octets", F.length("data").cast("long"))).select("cloud", "octets", "point_index", *_doubles("x", "y", "z", "mass"))
+
+
 def _preview(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "preview") + ".preview"
     api.encode(clouds.events(spark, sf_dir), path, EVENTS_LIMIT)

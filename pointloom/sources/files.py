@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyarrow import fs
 
 
@@ -40,6 +42,28 @@ def join_parts(parts: list[str], target: str, head: bytes = b"") -> None:
     remove(parts)
 
 
+def name_parts(parts: list[str], folder: str, suffix: str) -> None:
+    """Number the parts that hold anything, in order, by renaming them; empty ones go."""
+    store, _ = opened(folder)
+    inner = [opened(p)[1] for p in parts]
+    full = [p for p, info in zip(inner, store.get_file_info(inner), strict=True) if info.size]
+    for number, part in enumerate(full):
+        store.move(part, f"{opened(folder)[1]}/part-{number:08d}{suffix}")
+    remove([p for p, i in zip(parts, inner, strict=True) if i not in full])
+
+
+def digests(path: str) -> tuple[int, str, str]:
+    """Size, SHA-256 and MD5 of a file, read by the megabyte."""
+    store, inner = opened(path)
+    size, sha, md5 = 0, hashlib.sha256(), hashlib.md5(usedforsecurity=False)
+    with store.open_input_stream(inner) as f:
+        while block := f.read(1 << 20):
+            size += len(block)
+            sha.update(block)
+            md5.update(block)
+    return size, sha.hexdigest(), md5.hexdigest()
+
+
 def remove(parts: list[str]) -> None:
     for part in parts:
         store, inner = opened(part)
@@ -51,3 +75,10 @@ def make_parent(path: str) -> None:
     store, inner = opened(path)
     if "/" in inner.strip("/"):
         store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+
+
+def make_folder(path: str) -> bool:
+    """Make a folder where there is none; whether it holds files."""
+    store, inner = opened(path)
+    store.create_dir(inner, recursive=True)
+    return bool(store.get_file_info(fs.FileSelector(inner)))

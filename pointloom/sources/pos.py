@@ -68,16 +68,24 @@ class Part(WriterCommitMessage):
 
 
 class PosWriter(DataSourceArrowWriter):
-    """One part file for each task; the parts become the file in the order of partitions, so sort by range before."""
+    """One part file for each task, in the order of partitions, so sort by range before.
+
+    A path that ends in .pos becomes one file, which the driver puts together from the parts by the megabyte. Any other
+    is a folder, where the parts stay and are only renamed: the form for clouds of any size. Readers number them through."""
 
     def __init__(self, options: dict):
-        self.path, self.job = options["path"], uuid.uuid4().hex
-        files.make_parent(self.path)
+        self.path, self.job = options["path"].rstrip("/"), uuid.uuid4().hex
+        self.one_file = self.path.lower().endswith(".pos")
+        if self.one_file:
+            files.make_parent(self.path)
+        elif files.make_folder(self.path):
+            raise ValueError(f"{self.path} has files already")
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Part:
         context = TaskContext.get()
         # attempts of a task write to names of their own
-        part = Part(context.partitionId(), f"{self.path}.{self.job}.{context.partitionId()}.{context.taskAttemptId()}")
+        start = f"{self.path}." if self.one_file else f"{self.path}/_"  # readers leave out what starts so
+        part = Part(context.partitionId(), f"{start}{self.job}.{context.partitionId()}.{context.taskAttemptId()}")
         store, inner = files.opened(part.path)
         with store.open_output_stream(inner) as out:
             for batch in batches:
@@ -85,7 +93,11 @@ class PosWriter(DataSourceArrowWriter):
         return part
 
     def commit(self, parts: list[Part | None]) -> None:
-        files.join_parts([p.path for p in sorted((p for p in parts if p), key=lambda p: p.number)], self.path)
+        paths = [p.path for p in sorted((p for p in parts if p), key=lambda p: p.number)]
+        if self.one_file:
+            files.join_parts(paths, self.path)
+        else:
+            files.name_parts(paths, self.path, ".pos")
 
     def abort(self, parts: list[Part | None]) -> None:
         files.remove([p.path for p in parts if p])
@@ -94,7 +106,8 @@ class PosWriter(DataSourceArrowWriter):
 class PosDataSource(DataSource):
     """spark.read.format("pos").load(path) of a file or folder; points are numbered through in the order of names.
 
-    df.write.format("pos").mode("append").save(path) writes one file. Options: validate (true) rejects values that
+    df.write.format("pos").mode("append").save(path) writes one file if path ends in .pos, else a new folder of ordered
+    parts. Options: validate (true) rejects values that
     aren't finite."""
 
     @classmethod

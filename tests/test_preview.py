@@ -155,6 +155,59 @@ def test_pos_files(spark, tmp_path):
     assert [p.name for p in (tmp_path / "new").iterdir()] == ["c.pos"]
 
 
+def test_pos_folder(spark, tmp_path):
+    """A path without .pos is a folder of parts, in order, with nothing else in it."""
+    points = synthetic(5000)
+    (tmp_path / "b.pos").write_bytes(points.astype(">f4").tobytes())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        api.write_pos(api.read_pos(spark, str(tmp_path / "b.pos")).repartition(5), str(tmp_path / "new" / "parts"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = sorted(p.name for p in (tmp_path / "new" / "parts").iterdir())
+    assert len(names) > 1 and all(n.startswith("part-") and n.endswith(".pos") for n in names)
+    assert b"".join((tmp_path / "new" / "parts" / n).read_bytes() for n in names) == points.astype(">f4").tobytes()
+    got = api.read_pos(spark, str(tmp_path / "new" / "parts")).orderBy("point_index").collect()
+    assert len(got) == 5000 and tuple(got[4321])[1:] == tuple(map(float, points[4321]))
+    with pytest.raises(Exception, match="has files already"):
+        api.write_pos(api.read_pos(spark, str(tmp_path / "b.pos")), str(tmp_path / "new" / "parts"))
+
+
+def test_clouds_as_bytes(spark):
+    data = np.array(TEN, ">f4").tobytes()
+    rows = spark.createDataFrame([(1, data), (2, None), (3, b""), (4, data[:32])], "cloud int, data binary")
+    got = api.points_of(rows)
+    assert sorted((r["cloud"], r["point_index"], r["mass"]) for r in got.collect()) == [(c, i, float(np.float32(TEN[i][3]))) for c, n in ((1, 10), (4, 2)) for i in range(n)]
+    back = {r["cloud"]: bytes(r["data"]) for r in api.bytes_of(got.repartition(4), ["cloud"]).collect()}
+    assert back == {1: data, 4: data[:32]}
+    with pytest.raises(Exception, match="four 32-bit floats"):
+        api.points_of(spark.createDataFrame([(1, data[:15])], "cloud int, data binary")).collect()
+
+
+def test_digests_by_whole_path(spark, tmp_path):
+    """Files of one name in two folders, one larger than what is read at once."""
+    import hashlib
+
+    want = {}
+    for folder, data in (("a", b"x" * 3_000_001), ("b", b"y")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "f").write_bytes(data)
+        want[str(tmp_path / folder / "f")] = (len(data), hashlib.sha256(data).hexdigest(), hashlib.md5(data).hexdigest())
+    assert {r["path"]: tuple(r)[1:] for r in api.digests(spark, list(want)).collect()} == want
+
+
+def test_visible_bins(spark):
+    """The last bin that a mass limit shows, by the quotient rounded up."""
+    from pyspark.sql import functions as F
+
+    from pointloom.operators import view
+
+    rows = spark.range(100).select(F.col("id").cast("int").alias("bin"), F.lit(1).alias("true_count"), F.lit(1).alias("stored_count"))
+    for limit in (1.1, 1.0, 0.3):
+        seen = view.spectrum_view(rows, 100, limit).agg(F.max("true_peak")).first()[0]
+        assert seen == 1 and view.spectrum_view(rows.where(F.col("bin") >= math.ceil(limit / 0.05)), 100, limit).agg(F.max("true_peak")).first()[0] == 0
+
+
 @pytest.mark.parametrize("data", [b"", bytes(15), struct.pack(">4f", 1, 2, 3, math.nan), struct.pack(">4f", math.inf, 2, 3, 4)])
 def test_bad_pos_files(spark, tmp_path, data):
     (tmp_path / "a.pos").write_bytes(data)
