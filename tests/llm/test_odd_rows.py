@@ -556,6 +556,22 @@ def test_quality_by_brute_force(spark):
     assert all(r["kept"] == (max(r["p_bad"], r["p_toxic"]) < quality.REJECT) for r in got)
 
 
+def test_pipeline_of_odd_rows(make, odd_rows, spark, tmp_path):
+    import corpus_pipeline as P
+
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (2, None, None), (900, 0, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "same id, first text of"), (None, None), (2, "")], "item_id long, text string")
+    for name, rows in (("odd", odd_rows), ("none", [])):
+        folder = str(tmp_path / name)
+        make(rows).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        got = P.run(spark, folder).collect()
+        # one of the copies 1 and 2 stays, the longest blank row, one of the near copies 7 and 8; the text with the item goes
+        assert sorted({r["doc_id"] for r in got}) == ([1, 3, 6, 7, 9, 11, 12] if rows else [])
+        assert len({(r["doc_id"], r["piece"]) for r in got}) == len(got)
+
+
 def test_many_secrets_in_one_text(make):
     text = " ".join(f"token={'x' * (i % 12)}{i} é" for i in range(1000))
     base = [i for i, r in enumerate(secret_scan.RULES) if r.base]
