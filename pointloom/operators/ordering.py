@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..scratch import materialize
 
+#: Bits of monotonically_increasing_id below the partition's number.
+_ROW_BITS = 33
+
 
-def global_index(df: DataFrame, order: list[str], name: str = "point_index") -> DataFrame:
+def global_index(df: DataFrame, order: Sequence[str], keep: Sequence[str] | None = None, name: str = "point_index") -> DataFrame:
     """df with its rows numbered from 0 in the given order, nulls first. Rows equal in all of order get numbers in any
-    order among them.
+    order among them. Where keep is given, only those columns stay, and no others are written.
 
-    Rows are dealt by range, numbered in their part, and shifted by the sizes of the parts before: one shuffle, and a
-    window over one row for each part."""
-    parts = materialize(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    Rows are dealt by range, sorted and numbered where they are, and written; read again, they are shifted by the sizes
+    of the parts before: one shuffle, and a window over one row for each part."""
+    keep = list(df.columns if keep is None else keep)
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = materialize(dealt.withColumn("__id", F.monotonically_increasing_id()).select(*keep, "__id"), "ranges")
+    part = F.shiftright("__id", _ROW_BITS)
     before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = parts.groupBy("__part").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    out = parts.withColumn("__own", own).join(F.broadcast(shift), "__part")
-    return out.select(*df.columns, (F.col("__own") + F.col("__before")).cast("long").alias(name))
+    sizes = parts.groupBy(part.alias("__part")).count()
+    shift = materialize(sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).cast("long").alias("__before")), "shift")
+    out = parts.join(F.broadcast(shift), part == F.col("__part"))  # a row for each part
+    return out.select(*keep, (F.col("__id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + F.col("__before")).alias(name))

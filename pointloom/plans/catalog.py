@@ -105,7 +105,7 @@ def mass_bins(spark, sf_dir):
 
 @query(_sql(clouds.LINEITEM_SQL, 1, "SELECT * FROM hist"))
 def spectrum_true(spark, sf_dir):
-    return spectrum.histogram(clouds.lineitem(spark, sf_dir))
+    return spectrum.histogram(clouds.lineitem_unnumbered(spark, sf_dir))
 
 
 @query(_events("SELECT b::INTEGER AS bin, coalesce(true_count, 0) AS true_count FROM range(6000) r(b) LEFT JOIN hist ON hist.bin = b"))

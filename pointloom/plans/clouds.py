@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import global_index
-from ..operators.spectrum import as_cloud
-from ..scratch import materialize
+from ..operators.spectrum import FIELDS, as_cloud
 
 _LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -25,11 +24,21 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_cloud(rows.select(F.col("vec_id").alias("point_index"), e[0].alias("x"), e[1].alias("y"), e[2].alias("z"), (F.lit(150.0) + F.lit(300.0) * e[3].cast("double")).alias("mass")))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity, discount, tax and price of each line, beside all its columns."""
+    fields = {"x": F.col("l_quantity"), "y": F.col("l_discount") + 0.0, "z": F.col("l_tax") + 0.0, "mass": F.col("l_extendedprice") / 350}
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_LINE, *[v.cast("float").alias(k) for k, v in fields.items()])
+
+
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantity, discount, tax and price of each line, numbered by all its columns, as no fewer tell lines apart. It is
-    read several times, so it is numbered once and written."""
-    rows = global_index(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*_LINE), _LINE)
-    return materialize(as_cloud(rows.select("point_index", F.col("l_quantity").alias("x"), (F.col("l_discount") + 0.0).alias("y"), (F.col("l_tax") + 0.0).alias("z"), (F.col("l_extendedprice") / 350).alias("mass"))), "lineitem")
+    """A point for each line, numbered by all its columns, as no fewer tell lines apart. It is read several times, so it is
+    numbered once and written."""
+    return as_cloud(global_index(_lines(spark, sf_dir), _LINE, FIELDS))
+
+
+def lineitem_unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same points without a number, for what doesn't ask for their order: nothing is sorted or written."""
+    return _lines(spark, sf_dir).select(*FIELDS)
 
 
 EVENTS_SQL = "SELECT event_id AS point_index, user_id::FLOAT AS x, hour(ts)::FLOAT AS y, day(ts)::FLOAT AS z, value::FLOAT AS mass FROM events"

@@ -340,3 +340,17 @@ def test_sidecar_and_view_helpers(spark, tmp_path):
     assert got["sha256"] == hashlib.sha256(model(TEN, 4)).hexdigest() and got["compression_ratio"] == round(160 / 48160, 3)
     assert [tuple(r) for r in view.axis_ticks(spark).limit(2).collect()] == [(0, 0.0), (20, 20 / 120)]
     assert view.moved_camera(1.4, 8.0, 0.5, -100) == (1.45, 8.0)
+
+
+def test_global_index(spark):
+    from pyspark.sql import functions as F
+
+    from pointloom.operators.ordering import global_index
+
+    rows = spark.range(5000, numPartitions=7).select(F.xxhash64("id").alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("b"))
+    got = global_index(rows, ["b", "a"]).orderBy("point_index").collect()
+    assert [r["point_index"] for r in got] == list(range(5000))
+    assert [(r["b"], r["a"]) for r in got] == sorted(((r["b"], r["a"]) for r in rows.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    ties = global_index(rows.withColumn("a", F.lit(1)), ["a"], ["b"], "n")
+    assert ties.columns == ["b", "n"] and sorted(r["n"] for r in ties.collect()) == list(range(5000))
+    assert global_index(rows.limit(0), ["a"]).count() == 0
