@@ -32,6 +32,19 @@ def shingles_of(words: Column, lengths: list[int]) -> Column:
     return F.flatten(F.transform(hashes, lambda own: F.concat(*[zipped(own, n) for n in lengths])))
 
 
+def shingle_hashes(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, text_key, n, hash): a row for each shingle of shingles_of, with the xxhash64 of its struct, and the document's
+    number of them. Places are exploded and word hashes fetched at each, so that the words' array stays in one stage of
+    generated code and no struct is built."""
+    eight = F.lit(8).cast("long")  # a place and a length are one number, 8 * place + length
+    words = F.size("own").cast("long")
+    places = [F.when(words >= n, F.sequence(F.lit(n).cast("long"), (words - n) * eight + n, eight)).otherwise(F.array().cast("array<bigint>")) for n in lengths]
+    own = rows.select(*KEY, F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("own")).select(*KEY, "own", F.concat(*places).alias("places"))
+    own = own.select(*KEY, "own", F.size("places").alias("n"), F.explode("places").alias("place"))
+    at, length = F.shiftright("place", 3).cast("int"), F.col("place").bitwiseAND(F.lit(7))
+    return own.select(*KEY, "n", F.xxhash64(*[F.when(length > k, F.get("own", at + k)) for k in range(SHINGLE)]).alias("hash"))
+
+
 def shingle_texts(words: Column, lengths: list[int]) -> Column:
     """The same shingles as text, the words joined by one space."""
 
@@ -81,9 +94,7 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
         return docs.select(*row_key(), F.lit(None).cast("long").alias("item_id"), *[F.lit(0).cast("long").alias(c) for c in ("n_shared", "n_shingles")]).limit(0)
     sketches = materialize(containment_sketches(item_rows, threshold).select("item_id", "hash", F.pow(F.lit(2.0), "partition").alias("least")), "item_sketches")
     rows = docs.select(*row_key(), "text")
-    own = rows.select(*KEY, shingles_of(words_of(F.col("text")), lengths).alias("own"))
-    own = own.select(*KEY, F.size("own").alias("n"), F.explode("own").alias("shingle")).select(*KEY, "n", F.xxhash64("shingle").alias("hash"))
-    pairs = materialize(join_few(own, sketches, "hash").where(F.col("n") >= F.lit(threshold) * F.col("least") - 1e-9).select(*KEY, "item_id").distinct(), "pairs")
+    pairs = materialize(join_few(shingle_hashes(rows, lengths), sketches, "hash").where(F.col("n") >= F.lit(threshold) * F.col("least") - 1e-9).select(*KEY, "item_id").distinct(), "pairs")
     # exact: the candidates' shingles as text against the items'
     named = F.xxhash64(*KEY)
     again = key_filter(pairs.select(*KEY).distinct(), named, named).probe(rows, named, {"__hit": named}).where("__hit")
