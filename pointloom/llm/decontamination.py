@@ -9,13 +9,16 @@ from .common import KEY, join_few, key_filter, materialize, on_key, row_key, sma
 
 #: Words of a shingle, and the share of an item's shingles that a document must hold.
 SHINGLE, THRESHOLD = 5, 0.8
-_SPACES = " \t\n\x0b\x0c\r"
+_SPACES = "\t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text: runs of characters other than 0x20 and 0x09-0x0D. Null and blank texts have none."""
-    plain = F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACES))
-    return F.when(plain != "", F.split(plain, r"[\x20\x09-\x0D]+", -1)).otherwise(F.array().cast("array<string>"))
+    """The words of a text: runs of characters other than 0x20 and 0x09-0x0D. Null and blank texts have none. Cut at single
+    spaces, which is cheaper than at a pattern, and without the empty pieces."""
+    plain = F.coalesce(text, F.lit(""))
+    for space in _SPACES:
+        plain = F.replace(plain, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(plain, " ", -1), "")
 
 
 def shingles_of(words: Column, lengths: list[int]) -> Column:
