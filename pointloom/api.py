@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from . import constants as C
 from .operators.quantization import quantize_points
@@ -19,7 +19,7 @@ from .operators.sample import allocate_counts, check_limit, check_size, pick
 from .operators.spectrum import AXES, as_cloud, summarize
 from .sources import files, register
 from .sources.pos import POINT_BYTES, SCHEMA, decode_points, encode_points
-from .sources.preview import Header, inspect_file
+from .sources.preview import Header, inspect_file, parse_header
 
 
 def read_pos(spark: SparkSession, path: str) -> DataFrame:
@@ -131,6 +131,30 @@ def bytes_of(points: DataFrame, keys: list[str], order: str = "point_index") ->
     return rows.groupBy(*keys).applyInArrow(pack, schema)
 
 
+def check_headers(previews: DataFrame, head: str = "head", length: str = "length") -> DataFrame:
+    """All columns of a table of previews, and problem: what reading one would say of its header, null for a sound one.
+
+    Column head holds a preview's first 128 bytes or more, column length its whole size in bytes. Null is a file without
+    bytes. For many files at once, as a listing has them, where one bad file shouldn't fail the query; a column named
+    problem is replaced."""
+    rows = previews.drop("problem")
+    schema = StructType([*rows.schema.fields, StructField("problem", StringType())])
+
+    def said(data: bytes | None, size: int | None) -> str | None:
+        try:
+            parse_header(data or b"", size or 0)
+        except ValueError as e:
+            return str(e)
+        return None
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            problems = [said(*v) for v in zip(batch.column(head).to_pylist(), batch.column(length).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(problems, pa.string())], names=[*batch.schema.names, "problem"])
+
+    return rows.mapInArrow(task, schema)
+
+
 def sidecar(spark: SparkSession, source: str, preview: str, **more: str) -> dict:
     """What to publish beside a preview: sizes, counts, ratio, versions and SHA-256, and whatever more says. Each file is
     read by a task, by the megabyte."""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import api
+from .. import constants as C
 from ..constants import DEFAULT_MAX_POINTS, RECORDS_OFFSET
 from ..functions.expressions import format_bytes, palette
 from ..operators import quality_metrics, quantization, sample, spectrum, view
@@ -342,6 +343,56 @@ def bytes_roundtrip(spark, sf_dir):
     return api.points_of(packed.withColumn("octets", F.length("data").cast("long"))).select("cloud", "octets", "point_index", *_doubles("x", "y", "z", "mass"))
 
 
+def _every(n: int, k: int, good: int, bad: int) -> str:
+    """SQL of a field that is bad in each n-th event."""
+    return f"CASE WHEN point_index % {n} = {k} THEN {bad} ELSE {good} END"
+
+
+# the whole numbers of a header by their place in it: bytes, and SQL that both engines read, of an event's columns
+_FIELDS = {
+    "minor": (2, _every(23, 2, 0, 1)),
+    "patch": (2, _every(29, 3, 0, 7)),
+    "header_size": (2, _every(31, 4, C.HEADER_SIZE, 96)),
+    "endian": (4, _every(37, 5, C.ENDIAN_MARKER, 4)),
+    "flags": (4, _every(41, 6, C.FLAGS, 2748)),
+    "original": (4, "CAST(x AS INT) % 40"),
+    "stored": (4, "CAST(y AS INT)"),
+    "bins": (4, _every(43, 7, C.SPECTRUM_BINS, 5999)),
+    "records_offset": (4, _every(47, 8, C.RECORDS_OFFSET, C.RECORDS_OFFSET + 1)),
+    "file_size": (4, f"{C.RECORDS_OFFSET} + {C.RECORD_SIZE} * CAST(y AS INT) + {_every(53, 9, 0, 8)}"),
+    "most": (4, "CAST(z AS INT)"),
+}
+
+
+@query(
+    _events(f"""SELECT point_index, CASE WHEN point_index % 17 = 0 THEN 'truncated preview header' WHEN point_index % 19 = 1 THEN 'not a preview file'
+WHEN minor <> 0 THEN 'unsupported container version 1.' || minor WHEN patch <> 0 THEN 'unsupported codec version 1.0.' || patch
+WHEN header_size <> 128 THEN 'unsupported header size ' || header_size WHEN endian <> 16909060 THEN 'invalid endian marker' WHEN flags <> 1 THEN printf('unsupported flags 0x%08x', flags)
+WHEN original = 0 OR stored = 0 THEN 'point counts must be non-zero' WHEN stored > original OR stored > most THEN 'invalid retained point count'
+WHEN bins <> 6000 THEN 'unsupported spectrum size ' || bins WHEN records_offset <> 48128 OR file_size <> 48128 + 8 * stored THEN 'invalid section offsets or file size' END AS problem
+FROM (SELECT point_index, {", ".join(f"{v} AS {k}" for k, (_, v) in _FIELDS.items())} FROM cloud)""")
+)
+def header_checks(spark, sf_dir):
+    """A header for each event, with its numbers as counts and limit and with damage of many kinds, and what reading says of it."""
+    little = {k: _little(F.expr(v), n) for k, (n, v) in _FIELDS.items()}
+    fixed = lambda v, n: F.lit(v.to_bytes(n, "little"))
+    magic = F.when(F.col("point_index") % 19 == 1, F.lit(C.MAGIC[::-1])).otherwise(F.lit(C.MAGIC))
+    versions = [fixed(1, 2), little["minor"], fixed(1, 2), fixed(0, 2), little["patch"]]
+    counts = [little[k] for k in ("header_size", "endian", "flags", "original", "stored", "bins")]
+    floats = F.lit(bytes(36))
+    ends = [fixed(C.TRUE_COUNTS_OFFSET, 4), fixed(C.STORED_COUNTS_OFFSET, 4), little["records_offset"], little["file_size"], fixed(0, 4), little["most"], F.lit(bytes(32))]
+    head = F.concat(magic, *versions, *counts, floats, *ends)
+    shown = F.when(F.col("point_index") % 17 == 0, F.substring(head, 1, C.HEADER_SIZE - 1)).otherwise(head)
+    length = F.lit(C.RECORDS_OFFSET) + F.col("y").cast("long") * C.RECORD_SIZE
+    rows = clouds.events(spark, sf_dir).select("point_index", shown.alias("head"), length.alias("length"))
+    return api.check_headers(rows).select("point_index", "problem")
+
+
+def _little(value, n: int):
+    """A whole number as n bytes, the lowest first."""
+    return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * i).bitwiseAND(F.lit(255))), 2, "0")) for i in range(n)])
+
+
 def _preview(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "preview") + ".preview"
     api.encode(clouds.events(spark, sf_dir), path, EVENTS_LIMIT)

@@ -281,6 +281,18 @@ def test_mutations(spark, tmp_path, change, message):
         api.decode(spark, str(path)).collect()
 
 
+def test_headers_in_a_column(spark):
+    good = model(TEN, 4)
+    told = [(f(good), message) for f, message in MUTATIONS if "checksum" not in message and "spectrum counts" not in message and message != "exceeds"]
+    rows = [(i, d[:128], len(d), m) for i, (d, m) in enumerate([(good, None), *told, (b"", "truncated")])] + [(99, None, None, "truncated")]
+    found = api.check_headers(spark.createDataFrame(rows, "id int, head binary, length long, problem string").repartition(3)).collect()
+    assert len(found) == len(rows)
+    expected = {r[0]: r[3] for r in rows}
+    for r in found:
+        assert (r["problem"] is None) == (expected[r["id"]] is None) and (expected[r["id"]] or "") in (r["problem"] or "")
+    assert api.check_headers(spark.createDataFrame([], "head binary, length long")).count() == 0
+
+
 def test_unchecked_crc_can_be_read(spark, tmp_path):
     data = model(TEN, 4)
     (tmp_path / "x").write_bytes(data[:-1] + bytes([data[-1] ^ 0x80]))
