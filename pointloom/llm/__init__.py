@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus jobs built on Spark DataFrames.
+"""Training-data operators: corpus jobs built on Spark DataFrames.
 
 Nothing else in the library imports this subpackage.
 """
