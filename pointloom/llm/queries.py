@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and their SQL where SQL can say it."""
 
-from . import decontamination, exact_dedup, lm_scoring, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup, token_alignment
+from . import conversation_repair, decontamination, exact_dedup, lm_scoring, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup, token_alignment
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_pack": packing.op10_pack,
     "op12_align": token_alignment.op12_align,
+    "op13_repair": conversation_repair.op13_repair,
 }
 ORACLES = {
     "op1_shard": sharding.ORACLE,
