@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import json
 import os
@@ -19,9 +20,9 @@ from . import words
 from .common import materialize
 
 #: Bytes of text that are aligned at once and whose pair counts travel together; a longer text is a chunk of its own.
-CHUNK_BYTES = 6 << 20
-#: Windows of one generation that a Python worker remembers; two generations are kept, some 60 MB.
-MOST_WINDOWS = 100_000
+CHUNK_BYTES = 3 << 20
+#: Windows of one generation that a Python worker remembers; two generations are kept, some 40 MB.
+MOST_WINDOWS = 50_000
 
 # A run of white space that the ranks' library can't cut, as its regular expression goes too deep.
 _LONG_SPACE = re.compile(r"\s{20000}")
@@ -58,13 +59,18 @@ def byte_level(path: str) -> Side:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    vocabulary = json.loads(slow.to_str())["model"]["vocab"]
+    @functools.cache
+    def slow():
+        found = Tokenizer.from_file(path)
+        found.encode_special_tokens = True
+        return found
+
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
     entries: list[bytes | None] = [None] * (max(vocabulary.values()) + 1)
     for piece, i in vocabulary.items():
         entries[i] = bytes(map(_BYTES.get, piece)) if all(c in _BYTES for c in piece) else None
-    by_library = lambda text: slow.encode(" " + text, add_special_tokens=False).ids
+    by_library = lambda text: slow().encode(" " + text, add_special_tokens=False).ids
     beside = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(beside):
         return Side(by_library, entries)
