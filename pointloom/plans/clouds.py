@@ -36,6 +36,12 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_cloud(global_index(_lines(spark, sf_dir), _LINE, FIELDS))
 
 
+def lineitem_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the piece that each point is read from, for what reads points in order."""
+    rows = global_index(_lines(spark, sf_dir), _LINE, FIELDS, piece="piece")
+    return rows.select(*as_cloud(rows).columns, "piece")
+
+
 def lineitem_unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same points without a number, for what doesn't ask for their order: nothing is sorted or written."""
     return _lines(spark, sf_dir).select(*FIELDS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -10,12 +11,25 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
 
 from .. import constants as C
-from . import files
-from .pos import Part
+from . import checksum, files
 
 # Fixed value: magic, 2 + 3 version numbers and header size, endian marker, flags, both point counts and bins, spectrum
 # minimum, bin width and maximum, both corners of the bounds, three offsets, file size, CRC-32, point limit.
@@ -26,8 +40,8 @@ SPLIT, BATCH = 16 << 20, 1 << 19  # bytes of records, both multiples of a record
 SCHEMAS = {
     "header": "container_version array<int>, algorithm_version array<int>, header_size int, flags long, original_point_count long, stored_point_count long, spectrum_bin_count int, spectrum_min_da float, spectrum_bin_da float, spectrum_max_da float, bounds array<array<float>>, true_counts_offset long, stored_counts_offset long, records_offset long, file_size long, payload_crc32 long, max_points long",
     "spectrum": "bin int, true_count long, stored_count long",
-    "records": "record_index long, qx int, qy int, qz int, qm int",
-    "points": "record_index long, x float, y float, z float, mass float",
+    "records": "record_index long, qx int, qy int, qz int, qm int, bin int",
+    "points": "record_index long, x float, y float, z float, mass float, bin int",
 }
 
 
@@ -120,6 +134,36 @@ def read_spectra(path: str, header: Header) -> tuple[np.ndarray, np.ndarray]:
     return true, stored
 
 
+def decode_records(data: bytes, first: int, ends: np.ndarray, box: tuple | None) -> pa.RecordBatch:
+    """Whole records, numbered from first, with the bin of each, of which records end at ends. With box, the low and high
+    corners of x, y, z, mass, restored points; else the stored numbers."""
+    values = np.frombuffer(data, "<u2").reshape(-1, 4)
+    index = np.arange(first, first + len(values), dtype=np.int64)
+    bins = pa.array(np.searchsorted(ends, index, "right").astype(np.int32))
+    if box is None:
+        return pa.RecordBatch.from_arrays([pa.array(index), *[pa.array(values[:, i].astype(np.int32)) for i in range(4)], bins], names=["record_index", "qx", "qy", "qz", "qm", "bin"])
+    low, high = (np.array(x, np.float64) for x in box)
+    points = (low + values / C.STEPS * (high - low)).astype(np.float32)
+    return pa.RecordBatch.from_arrays([pa.array(index), *[pa.array(points[:, i]) for i in range(4)], bins], names=["record_index", "x", "y", "z", "mass", "bin"])
+
+
+def box_of(header: Header) -> tuple[tuple, tuple]:
+    """The corners between which a header's records were quantized."""
+    return (*header.bounds[0], header.spectrum_min_da), (*header.bounds[1], header.spectrum_max_da)
+
+
+def stored_ends(path: str) -> np.ndarray:
+    """Where the records of each bin end."""
+    return np.cumsum(np.frombuffer(files.read_range(path, C.STORED_COUNTS_OFFSET, 4 * C.SPECTRUM_BINS), "<u4").astype(np.int64))
+
+
+def read_records(path: str, first: int, count: int, ends: np.ndarray, box: tuple | None) -> Iterator[pa.RecordBatch]:
+    step = BATCH // C.RECORD_SIZE
+    for at in range(first, first + count, step):
+        n = min(step, first + count - at)
+        yield decode_records(files.read_range(path, C.RECORDS_OFFSET + C.RECORD_SIZE * at, C.RECORD_SIZE * n), at, ends, box)
+
+
 @dataclass
 class Range(InputPartition):
     path: str
@@ -137,80 +181,138 @@ class Check(InputPartition):
 
 class PreviewReader(DataSourceReader):
     """Headers and spectra, 48 KB of a file, are checked where partitions are planned. Tasks read ranges of records, and
-    one task for each file takes its CRC; a query fails with it."""
+    one task for each file takes its CRC; a query fails with it.
+
+    Records lie by bin, so filters on bin, record_index or mass narrow what is read: the stored spectrum's sums turn them
+    into one range of records. Spark still tests each row."""
 
     def __init__(self, section: str, options: dict):
         self.section, self.path = section, options["path"]
         self.verify = options.get("verify_checksum", "true").lower() == "true"
+        self.bins, self.records = [0, C.SPECTRUM_BINS - 1], [0, C.UINT32_MAX]
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        spans = {"bin": (self.bins, int), "record_index": (self.records, int), "mass": (self.bins, _bin_of)}
+        for f in filters:
+            name = f.attribute[0] if isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) else None
+            if self.section in ("records", "points") and name in spans:
+                span, place = spans[name]
+                values = [v for v in (f.value if isinstance(f, In) else [f.value]) if v is not None]
+                # a restored mass may lie in the bin next to its own
+                slack = 1 if name == "mass" else 0
+                if values and not isinstance(f, (LessThan, LessThanOrEqual)):
+                    span[0] = max(span[0], place(min(values)) - slack + (isinstance(f, GreaterThan) and not slack))
+                if values and not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    span[1] = min(span[1], place(max(values)) + slack - (isinstance(f, LessThan) and not slack))
+            yield f
+
+    def _span(self, stored: np.ndarray) -> tuple[int, int]:
+        """The first of the wanted records, and the one after the last."""
+        ends = np.concatenate([[0], np.cumsum(stored)])
+        if self.bins[0] > self.bins[1]:
+            return 0, 0
+        low, high = max(int(ends[self.bins[0]]), self.records[0]), min(int(ends[self.bins[1] + 1]), self.records[1] + 1)
+        return low, max(low, high)
 
     def partitions(self) -> list[Range]:
         out = []
         for path, _ in files.listed(self.path):
             header = inspect_file(path, False)
+            first, last, step = 0, header.stored_point_count, header.stored_point_count
             if self.section != "header":
-                read_spectra(path, header)
-            step = SPLIT // C.RECORD_SIZE if self.section in ("records", "points") else header.stored_point_count
-            out += [Range(path, header, at, min(step, header.stored_point_count - at)) for at in range(0, header.stored_point_count, step)]
+                _, stored = read_spectra(path, header)
+            if self.section in ("records", "points"):
+                (first, last), step = self._span(stored), SPLIT // C.RECORD_SIZE
+            out += [Range(path, header, at, min(step, last - at)) for at in range(first, last, step)]
             out += [Check(path)] if self.verify else []
-        return out
+        return out or [Range("", None, 0, 0)]
 
     def read(self, part: Range | Check) -> Iterator[pa.RecordBatch]:
         if isinstance(part, Check):
             inspect_file(part.path)
             return
         h = part.header
+        if h is None:
+            return
         if self.section == "header":
             yield tuple(list(map(list, v)) if k == "bounds" else list(v) if isinstance(v, tuple) else v for k, v in vars(h).items())
         elif self.section == "spectrum":
             true, stored = read_spectra(part.path, h)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(true), dtype=np.int32)), pa.array(true), pa.array(stored)], names=["bin", "true_count", "stored_count"])
         else:
-            step = BATCH // C.RECORD_SIZE
-            for at in range(part.first, part.first + part.count, step):
-                n = min(step, part.first + part.count - at)
-                values = np.frombuffer(files.read_range(part.path, C.RECORDS_OFFSET + C.RECORD_SIZE * at, C.RECORD_SIZE * n), "<u2").reshape(-1, 4)
-                index = pa.array(np.arange(at, at + n, dtype=np.int64))
-                if self.section == "records":
-                    yield pa.RecordBatch.from_arrays([index, *[pa.array(values[:, i].astype(np.int32)) for i in range(4)]], names=["record_index", "qx", "qy", "qz", "qm"])
-                else:
-                    low, high = (np.array([*b, m], np.float64) for b, m in zip(h.bounds, (h.spectrum_min_da, h.spectrum_max_da), strict=True))
-                    points = (low + values / C.STEPS * (high - low)).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([index, *[pa.array(points[:, i]) for i in range(4)]], names=["record_index", "x", "y", "z", "mass"])
+            yield from read_records(part.path, part.first, part.count, stored_ends(part.path), box_of(h) if self.section == "points" else None)
+
+
+def _bin_of(mass: float) -> int:
+    return int(np.clip(np.floor((mass - C.SPECTRUM_MIN_DA) / C.SPECTRUM_BIN_DA), 0, C.SPECTRUM_BINS - 1))
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    first: int
+    count: int
+    crc: int
+    path: str
 
 
 class PreviewWriter(DataSourceArrowWriter):
-    """Tasks write their records to part files; commit puts header and spectra before them, in the order of partitions.
+    """Each record's place in the file follows from its record_index, so on a file system that writes at an offset tasks write
+    their records where they belong, in a file beside the target; commit writes the 48 KB before them and renames it. On other
+    stores tasks write part files, which commit puts together. Either way the CRC is joined from those of the tasks, and no
+    record is read again. A task's records follow each other, as after a sort by record_index.
 
     What the file needs besides records comes as options: spectra (hexadecimal, both tables), n, low, high, max_points."""
 
     def __init__(self, options: dict):
         self.path, self.job, self.options = options["path"], uuid.uuid4().hex, dict(options)
         files.make_parent(self.path)
+        store, inner = files.opened(self.path)
+        self.target = f"{os.path.dirname(inner)}/.{os.path.basename(inner)}.{self.job}" if isinstance(store, fs.LocalFileSystem) else None
 
-    def write(self, batches: Iterator[pa.RecordBatch]) -> Part:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         context = TaskContext.get()
-        part = Part(context.partitionId(), f"{self.path}.{self.job}.{context.partitionId()}.{context.taskAttemptId()}")
-        store, inner = files.opened(part.path)
-        with store.open_output_stream(inner) as out:
+        part, out = Written(-1, 0, 0, ""), None
+        try:
             for batch in batches:
-                out.write(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("qx", "qy", "qz", "qm")]).astype("<u2").tobytes())
+                if not len(batch):
+                    continue
+                index = batch.column("record_index").to_numpy()
+                part.first = int(index[0]) if part.first < 0 else part.first
+                if int(index[0]) != part.first + part.count or (np.diff(index) != 1).any():
+                    raise ValueError("the records of a task don't follow each other")
+                data = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("qx", "qy", "qz", "qm")]).astype("<u2").tobytes()
+                if self.target and out is None:
+                    out = os.fdopen(os.open(self.target, os.O_CREAT | os.O_WRONLY, 0o644), "wb")
+                    out.seek(C.RECORDS_OFFSET + C.RECORD_SIZE * part.first)
+                elif out is None:
+                    part.path = f"{self.path}.{self.job}.{context.partitionId()}.{context.taskAttemptId()}"
+                    store, inner = files.opened(part.path)
+                    out = store.open_output_stream(inner)
+                out.write(data)
+                part.crc, part.count = zlib.crc32(data, part.crc), part.count + len(index)
+        finally:
+            if out:
+                out.close()
         return part
 
-    def commit(self, parts: list[Part | None]) -> None:
-        paths = [p.path for p in sorted((p for p in parts if p), key=lambda p: p.number)]
+    def commit(self, parts: list[Written | None]) -> None:
+        parts = sorted((p for p in parts if p and p.count), key=lambda p: p.first)
+        stored = sum(p.count for p in parts)
+        if any(p.first != before for p, before in zip(parts, np.cumsum([0, *(p.count for p in parts)]).tolist(), strict=False)):
+            raise ValueError("records are missing or come twice")
         spectra = zlib.decompress(bytes.fromhex(self.options["spectra"]))
-        crc, stored = zlib.crc32(spectra), 0
-        for path in paths:
-            store, inner = files.opened(path)
-            with store.open_input_stream(inner) as f:
-                while block := f.read(1 << 20):
-                    crc, stored = zlib.crc32(block, crc), stored + len(block)
+        crc, _ = checksum.joined([(zlib.crc32(spectra), len(spectra)), *((p.crc, C.RECORD_SIZE * p.count) for p in parts)])
         low, high = (tuple(float.fromhex(x) for x in self.options[k].split(",")) for k in ("low", "high"))
-        head = pack_header(int(self.options["n"]), stored // C.RECORD_SIZE, low, high, crc, int(self.options["max_points"]))
-        files.join_parts(paths, self.path, head + spectra)
+        head = pack_header(int(self.options["n"]), stored, low, high, crc, int(self.options["max_points"])) + spectra
+        if not self.target:
+            files.join_parts([p.path for p in parts], self.path, head)
+            return
+        with os.fdopen(os.open(self.target, os.O_CREAT | os.O_WRONLY, 0o644), "wb") as out:
+            out.write(head)
+        os.replace(self.target, files.opened(self.path)[1])
 
-    def abort(self, parts: list[Part | None]) -> None:
-        files.remove([p.path for p in parts if p])
+    def abort(self, parts: list[Written | None]) -> None:
+        files.remove([self.target] if self.target else [p.path for p in parts if p and p.path])
 
 
 class PreviewDataSource(DataSource):
