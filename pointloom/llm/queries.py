@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and their SQL where SQL can say it."""
 
-from . import conversation_repair, decontamination, exact_dedup, lm_scoring, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup, token_alignment
+from . import chat_tree, conversation_repair, decontamination, exact_dedup, lm_scoring, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup, token_alignment
 
 QUERIES = {
     "op1_shard": sharding.op1_shard,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_lm_score": lm_scoring.op8_lm_score,
     "op9_pii": pii.op9_pii,
     "op10_pack": packing.op10_pack,
+    "op11_format": chat_tree.op11_format,
     "op12_align": token_alignment.op12_align,
     "op13_repair": conversation_repair.op13_repair,
 }

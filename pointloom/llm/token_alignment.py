@@ -35,7 +35,7 @@ _loaded: dict = {}
 
 
 class Side:
-    """One tokenizer: from a text to the ids of a space and the text, and each id's bytes."""
+    """One tokenizer: from a text to its ids, and each id's bytes."""
 
     def __init__(self, encode: Callable[[str], list[int]], entries: list[bytes | None]):
         self.encode, self.entries = encode, entries
@@ -53,8 +53,8 @@ class Side:
         return np.array(found, np.int64) if joined == whole else None
 
 
-def byte_level(path: str) -> Side:
-    """A byte-level BPE of the tokenizers library. Where the same vocabulary lies beside it as ranks, those do the work,
+def byte_level(path: str, before: str) -> Side:
+    """A byte-level BPE of the tokenizers library, over what stands before each text and the text. Where the same vocabulary lies beside it as ranks, those do the work,
     four times as fast; the tests hold the two against each other."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -70,7 +70,7 @@ def byte_level(path: str) -> Side:
     entries: list[bytes | None] = [None] * (max(vocabulary.values()) + 1)
     for piece, i in vocabulary.items():
         entries[i] = bytes(map(_BYTES.get, piece)) if all(c in _BYTES for c in piece) else None
-    by_library = lambda text: slow().encode(" " + text, add_special_tokens=False).ids
+    by_library = lambda text: slow().encode(before + text, add_special_tokens=False).ids
     beside = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(beside):
         return Side(by_library, entries)
@@ -82,7 +82,7 @@ def byte_level(path: str) -> Side:
     if any(entries[i] != token for token, i in ranks.items()):
         return Side(by_library, entries)
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Side(lambda text: by_library(text) if _LONG_SPACE.search(text) else fast.encode_ordinary(" " + text), entries)
+    return Side(lambda text: by_library(text) if _LONG_SPACE.search(text) else fast.encode_ordinary(before + text), entries)
 
 
 def pieces(path: str) -> Side:
@@ -100,17 +100,17 @@ def pieces(path: str) -> Side:
     return Side(lambda text: model.encode(text, num_threads=1), [entry(i) for i in range(model.get_piece_size())])
 
 
-def load(name: str, folder: str | None) -> Side:
+def load(name: str, folder: str | None, before: str = " ") -> Side:
     """The tokenizer of a file, once in each Python worker: .json of tokenizers or .model of sentencepiece."""
-    if (name, folder) not in _loaded:
+    if (name, folder, before) not in _loaded:
         if folder is None:
             import public_tokenizers
 
             path = str(public_tokenizers.path(name))
         else:
             path = f"{folder}/{name}"
-        _loaded[name, folder] = pieces(path) if name.endswith(".model") else byte_level(path)
-    return _loaded[name, folder]
+        _loaded[name, folder, before] = pieces(path) if name.endswith(".model") else byte_level(path, before)
+    return _loaded[name, folder, before]
 
 
 class Memo:
