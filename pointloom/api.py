@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from . import constants as C
+from .functions.arrays import mass_bins
+from .operators.in_order import Plan, PointFiles, plan, summary_of
+from .operators.many import encode_each, records_each
+from .operators.pairs import paired
 from .operators.quantization import quantize_points
-from .operators.sample import allocate_counts, check_limit, check_size, pick
-from .operators.spectrum import AXES, as_cloud, summarize
-from .sources import files, register
+from .operators.sample import check_limit, pick
+from .operators.spectrum import Summary, as_cloud, summarize
+from .scratch import materialize
+from .sources import files, listing, register
 from .sources.pos import POINT_BYTES, SCHEMA, decode_points, encode_points
 from .sources.preview import Header, inspect_file, parse_header
 
@@ -36,37 +41,69 @@ def write_pos(points: DataFrame, path: str, order: str = "point_index") -> None:
     rows.orderBy("point_index").write.format("pos").mode("append").save(path)
 
 
+def sample_pos(spark: SparkSession, path: str, max_points: int = C.DEFAULT_MAX_POINTS) -> DataFrame:
+    """sample_index, point_index, x, y, z, mass of max_points points, or all, evenly spaced over a point file or a folder of
+    them. Only those points are read, and nothing is counted."""
+    return PointFiles(spark, path).sample(max_points)
+
+
+def pick_pos(spark: SparkSession, path: str, max_points: int = C.DEFAULT_MAX_POINTS) -> DataFrame:
+    """The points of a point file, or a folder of them, that a preview of max_points holds: point_index, x, y, z, mass, bin,
+    rank, k, record_index. The files are read twice by ranges, and only picked points leave the tasks that read them."""
+    points = PointFiles(spark, path)
+    spectra = materialize(points.spectra(), "spectra")
+    return points.pick(spectra, plan(summary_of(spectra), max_points))
+
+
 def encode(cloud: DataFrame, path: str, max_points: int = C.DEFAULT_MAX_POINTS) -> None:
     """Write a cloud's preview: two jobs, one that gathers bounds and spectrum, and one that picks, quantizes and
     writes the records in order.
 
-    The cloud is read twice; persist it or write it as Parquet first where reading is dear."""
+    The cloud is read twice; persist it or write it as Parquet first where reading is dear. For point files encode_pos does
+    without a shuffle of points."""
     cloud = as_cloud(cloud)
-    spark = cloud.sparkSession
+    limit, found = check_limit(max_points), summarize(cloud)
+    by = plan(found, limit)
+    allocation = cloud.sparkSession.createDataFrame([(b, c, int(by.take[b])) for b, c in sorted(found.counts.items())], "bin int, true_count long, take long")
+    _write_preview(pick(cloud, allocation), found, by, path, limit)
+
+
+def encode_pos(spark: SparkSession, source: str, path: str, max_points: int = C.DEFAULT_MAX_POINTS) -> None:
+    """Write the preview of a point file or a folder of them. Of the points only the picked ones are shuffled, into record
+    order."""
+    points = PointFiles(spark, source)
+    spectra = materialize(points.spectra(), "spectra")
+    found = summary_of(spectra)
+    by = plan(found, max_points)
+    _write_preview(points.pick(spectra, by), found, by, path, check_limit(max_points))
+
+
+def _write_preview(picked: DataFrame, found: Summary, by: Plan, path: str, limit: int) -> None:
+    spark = picked.sparkSession
     register(spark)
-    limit = check_limit(max_points)
-    found = summarize(cloud)
-    check_size(min(found.n, limit))
-    take = allocate_counts(found.counts, limit)
-    allocation = spark.createDataFrame([(b, c, take[b]) for b, c in sorted(found.counts.items())], "bin int, true_count long, take long")
-    box = {f"{a}_{n}": float(v[i]) for i, a in enumerate(AXES) for n, v in (("min", found.low), ("max", found.high))}
-    limits = spark.range(1).select(*[F.lit(v).alias(k) for k, v in box.items()])
-    records = quantize_points(pick(cloud, allocation), limits).select("record_index", "qx", "qy", "qz", "qm")
-    spectra = np.zeros((2, C.SPECTRUM_BINS), "<u4")
-    for b, c in found.counts.items():
-        spectra[:, b] = c, take[b]
+    records = quantize_points(picked, found.box(spark)).select("record_index", "qx", "qy", "qz", "qm")
+    spectra = np.array([by.true, by.take], "<u4")
     hexed = lambda v: ",".join(float(x).hex() for x in v)
     options = {"spectra": zlib.compress(spectra.tobytes()).hex(), "n": found.n, "low": hexed(found.low), "high": hexed(found.high), "max_points": limit}
     records.orderBy("record_index").write.format("preview").options(**options).mode("append").save(path)
 
 
-def decode(spark: SparkSession, path: str, verify_checksum: bool = True) -> DataFrame:
-    """(record_index, x, y, z, mass) of a preview's points."""
-    return _section(spark, path, "points", verify_checksum)
+def decode(spark: SparkSession, path: str, verify_checksum: bool = True, bins: tuple[int, int] | None = None, records: tuple[int, int] | None = None) -> DataFrame:
+    """(record_index, x, y, z, mass, bin) of a preview's points, or of those of all previews in a folder. With bins or
+    records, the first and the last wanted, only those are read, beside the CRC, which asks for whole files."""
+    return _section(spark, path, "points", verify_checksum, bins, records)
 
 
-def records(spark: SparkSession, path: str, verify_checksum: bool = True) -> DataFrame:
-    return _section(spark, path, "records", verify_checksum)
+def records(spark: SparkSession, path: str, verify_checksum: bool = True, bins: tuple[int, int] | None = None, records: tuple[int, int] | None = None) -> DataFrame:
+    """The same with qx, qy, qz, qm as stored."""
+    return _section(spark, path, "records", verify_checksum, bins, records)
+
+
+def bins_of(first: float, last: float) -> tuple[int, int]:
+    """The bins that points with restored masses from first to last may lie in: a restored mass may be in the bin beside its
+    own."""
+    low, high = (int(mass_bins(np.array([m]))[0]) for m in (first, last))
+    return max(0, low - 1), min(C.SPECTRUM_BINS - 1, high + 1)
 
 
 def spectrum_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -79,6 +116,19 @@ def headers(spark: SparkSession, path: str, verify_checksum: bool = True) -> Dat
     return _section(spark, path, "header", verify_checksum)
 
 
+def scan_previews(spark: SparkSession, path: str, bins: tuple[int, int] | None = None, verify_checksum: bool = True, section: str = "points") -> DataFrame:
+    """path, record_index, x, y, z, mass (or qx, qy, qz, qm), bin of all previews below a folder, of the bins from the first
+    to the last wanted: for very many or very large files. Tasks read headers and check CRCs by splits before any record
+    is read."""
+    return listing.scan(spark, path, bins, verify_checksum, section)
+
+
+def checked_previews(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, problem, counts, corners and CRC-32 of all previews below a folder, each wholly checked by many tasks."""
+    heads = materialize(listing.read_headers(listing.list_files(spark, path)), "heads")
+    return listing.check_payloads(heads)
+
+
 def inspect(path: str, verify_checksum: bool = True) -> Header:
     return inspect_file(path, verify_checksum)
 
@@ -175,6 +225,10 @@ def sidecar(spark: SparkSession, source: str, preview: str, **more: str) -> dict
     }
 
 
-def _section(spark: SparkSession, path: str, section: str, verify: bool) -> DataFrame:
+def _section(spark: SparkSession, path: str, section: str, verify: bool, bins: tuple[int, int] | None = None, records: tuple[int, int] | None = None) -> DataFrame:
     register(spark)
-    return spark.read.format("preview").options(section=section, verify_checksum=str(verify).lower()).load(path)
+    spans = {k: f"{v[0]}:{v[1]}" for k, v in (("bins", bins), ("records", records)) if v}
+    return spark.read.format("preview").options(section=section, verify_checksum=str(verify).lower(), **spans).load(path)
+
+
+__all__ = [n for n, v in globals().items() if callable(v) and getattr(v, "__module__", None) == __name__ and not n.startswith("_")] + ["encode_each", "paired", "records_each"]

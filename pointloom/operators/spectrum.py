@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import SPECTRUM_BINS, UINT32_MAX
@@ -60,6 +60,11 @@ class Summary:
     high: tuple[float, float, float]
     counts: dict[int, int]
 
+    def box(self, spark: SparkSession) -> DataFrame:
+        """One row of the bounds, as bounds gives them."""
+        values = {f"{a}_{n}": float(v[i]) for i, a in enumerate(AXES) for n, v in (("min", self.low), ("max", self.high))}
+        return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+
 
 def summarize(cloud: DataFrame) -> Summary:
     """Validate a cloud and gather its bounds and spectrum in one scan; only a row for each occupied bin reaches the

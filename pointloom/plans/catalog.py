@@ -14,14 +14,17 @@ from .. import api
 from .. import constants as C
 from ..constants import DEFAULT_MAX_POINTS, RECORDS_OFFSET
 from ..functions.expressions import format_bytes, palette
-from ..operators import quality_metrics, quantization, sample, spectrum, view
-from ..scratch import scratch_path
+from ..operators import in_order, problems, quality_metrics, quantization, sample, spectrum, view
+from ..scratch import materialize, scratch_path
+from ..sources import files
 from . import clouds
 
 #: Points that the queries over events keep, and those over embeddings.
 EVENTS_LIMIT, EMBEDDINGS_LIMIT = 2000, 100
-#: Width of the drawn spectrum.
-PIXELS = 700
+#: Width of the drawn spectrum, and the bins that it shows.
+PIXELS, VISIBLE = 700, 2400
+#: Points that a preview of each user's, or each hour's, events keeps.
+EACH_LIMIT = 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -179,7 +182,12 @@ def quantized_records(spark, sf_dir):
 
 @query(_sql(clouds.LINEITEM_SQL, DEFAULT_MAX_POINTS, "SELECT record_index, bin, k, point_index, qx, qy, qz, qm FROM quantized"))
 def quantized_lineitem(spark, sf_dir):
-    return _records(clouds.lineitem(spark, sf_dir), DEFAULT_MAX_POINTS).select("record_index", "bin", "k", "point_index", "qx", "qy", "qz", "qm")
+    """Ranked and picked where the numbered lines are read; no line is shuffled for it."""
+    cloud = clouds.lineitem_in_order(spark, sf_dir)
+    spectra = materialize(in_order.spectra_of(cloud), "spectra")
+    found = in_order.summary_of(spectra)
+    picked = in_order.pick_pieces(cloud, spectra, in_order.plan(found, DEFAULT_MAX_POINTS))
+    return quantization.quantize_points(picked, found.box(spark)).select("record_index", "bin", "k", "point_index", "qx", "qy", "qz", "qm")
 
 
 @query(_sql(clouds.EMBEDDINGS_SQL, EMBEDDINGS_LIMIT, "SELECT record_index, bin, k, point_index, qx, qy, qz, qm FROM quantized"))
@@ -299,20 +307,32 @@ def preview_spectrum(spark, sf_dir):
 
 @query(_events("SELECT record_index, qx, qy, qz, qm FROM quantized"))
 def preview_records(spark, sf_dir):
-    return api.records(spark, _preview(spark, sf_dir))
+    return api.records(spark, _preview(spark, sf_dir)).drop("bin")
+
+
+#: CRC-32's 256 table values, by the polynomial's rule.
+_CRC_TABLE = "bits(n, k, c) AS (SELECT range::BIGINT, 0, range::BIGINT FROM range(256) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8), crc(t) AS (SELECT list(c ORDER BY n) FROM bits WHERE k = 8),"
+
+
+def _payload_crc(payload: str) -> str:
+    """SQL of the CRC-32 of hexadecimal text, by table crc."""
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all({payload}, '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _swap(v: str, n: int) -> str:
+    """SQL of a whole number's n bytes, the lowest first, as hexadecimal text."""
+    return " || ".join(f"substr(printf('%0{2 * n}x', {v}), {2 * i + 1}, 2)" for i in reversed(range(n)))
 
 
 def _header_sql() -> str:
     """The payload as hexadecimal text, little-endian, and its CRC-32 by 256 table values and one fold over its bytes."""
-    swap = lambda v, n: " || ".join(f"substr(printf('%0{2 * n}x', {v}), {2 * i + 1}, 2)" for i in reversed(range(n)))
     last = f"""SELECT original_point_count, stored_point_count, file_size, payload_crc32, {EVENTS_LIMIT}::BIGINT AS max_points,
 '{{"container_version":"1.0","algorithm_version":"1.0.0","header_size":128,"flags":1,"original_point_count":' || original_point_count || ',"stored_point_count":' || stored_point_count || ',"spectrum_bin_count":6000,"spectrum_min_da":0.0,"spectrum_bin_da":0.05,"spectrum_max_da":300.0,"bounds":[[' || x_min || ',' || y_min || ',' || z_min || '],[' || x_max || ',' || y_max || ',' || z_max || ']],"true_counts_offset":128,"stored_counts_offset":24128,"records_offset":48128,"file_size":' || file_size || ',"max_points":{EVENTS_LIMIT},"payload_crc32":"' || printf('%08x', payload_crc32) || '"}}' AS json
 FROM (SELECT n AS original_point_count, (SELECT sum(take)::BIGINT FROM alloc) AS stored_point_count, {_SIZE} AS file_size, * FROM box),
-(SELECT xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(payload, '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS payload_crc32
-FROM (SELECT (SELECT string_agg({swap('coalesce(true_count, 0)', 4)}, '' ORDER BY b) || string_agg({swap('coalesce(take, 0)', 4)}, '' ORDER BY b) FROM range(6000) r(b) LEFT JOIN alloc ON alloc.bin = b)
-|| (SELECT string_agg({swap('qx', 2)} || {swap('qy', 2)} || {swap('qz', 2)} || {swap('qm', 2)}, '' ORDER BY record_index) FROM quantized) AS payload), crc)"""
-    table = "bits(n, k, c) AS (SELECT range::BIGINT, 0, range::BIGINT FROM range(256) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8), crc(t) AS (SELECT list(c ORDER BY n) FROM bits WHERE k = 8),"
-    return _events(last).replace("WITH ", f"WITH RECURSIVE {table} ", 1)
+(SELECT {_payload_crc("payload")} AS payload_crc32
+FROM (SELECT (SELECT string_agg({_swap('coalesce(true_count, 0)', 4)}, '' ORDER BY b) || string_agg({_swap('coalesce(take, 0)', 4)}, '' ORDER BY b) FROM range(6000) r(b) LEFT JOIN alloc ON alloc.bin = b)
+|| (SELECT string_agg({_swap('qx', 2)} || {_swap('qy', 2)} || {_swap('qz', 2)} || {_swap('qm', 2)}, '' ORDER BY record_index) FROM quantized) AS payload), crc)"""
+    return _events(last).replace("WITH ", f"WITH RECURSIVE {_CRC_TABLE} ", 1)
 
 
 @query(_header_sql())
@@ -397,3 +417,161 @@ def _preview(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "preview") + ".preview"
     api.encode(clouds.events(spark, sf_dir), path, EVENTS_LIMIT)
     return path
+
+
+def _point_files(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "points")
+    api.write_pos(clouds.events(spark, sf_dir), path)
+    return path
+
+
+@query(_events(f"SELECT record_index, bin, k, rank, {_POINT} FROM picked"))
+def picked_from_files(spark, sf_dir):
+    """Written as point files, ranked and picked where they are read."""
+    return api.pick_pos(spark, _point_files(spark, sf_dir), EVENTS_LIMIT).select("record_index", "bin", "k", "rank", "point_index", *_doubles("x", "y", "z", "mass"))
+
+
+@query(ORACLES["uniform_sample"])
+def uniform_from_files(spark, sf_dir):
+    """Written as point files, of which only the sampled points are read."""
+    return api.sample_pos(spark, _point_files(spark, sf_dir), EVENTS_LIMIT).select("sample_index", "point_index", *_doubles("x", "y", "z", "mass"))
+
+
+@query(_events("SELECT record_index, bin, qx, qy, qz, qm FROM quantized"))
+def preview_from_files(spark, sf_dir):
+    """The preview of point files, made without a shuffle of points, and its records with their bins."""
+    path = scratch_path(spark, "preview") + ".preview"
+    api.encode_pos(spark, _point_files(spark, sf_dir), path, EVENTS_LIMIT)
+    return api.records(spark, path).select("record_index", "bin", "qx", "qy", "qz", "qm")
+
+
+@query(_events(f"SELECT record_index, bin, qx, qy, qz, qm FROM quantized WHERE bin < {VISIBLE}"))
+def visible_records(spark, sf_dir):
+    """The records of the visible bins, the only ones that are read."""
+    rows = api.records(spark, _preview(spark, sf_dir), verify_checksum=False, bins=(0, VISIBLE - 1))
+    return rows.select("record_index", "bin", "qx", "qy", "qz", "qm")
+
+
+@query(_events("SELECT record_index, bin, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, mass::DOUBLE AS mass, dx, dy, dz, dmass FROM decoded"))
+def paired_points(spark, sf_dir):
+    """The points behind a preview beside what it restores of them, from two files in one order."""
+    points, path = _point_files(spark, sf_dir), scratch_path(spark, "preview") + ".preview"
+    api.encode_pos(spark, points, path, EVENTS_LIMIT)
+    behind = scratch_path(spark, "behind")
+    api.write_pos(api.pick_pos(spark, points, EVENTS_LIMIT), behind, order="record_index")
+    return api.paired(spark, behind, path).select("record_index", "bin", *_doubles("x", "y", "z", "mass", "dx", "dy", "dz", "dmass"))
+
+
+def _sql_each(key: str, limit: int, last: str) -> str:
+    """As _sql, for a cloud of each key (SQL of an event's columns)."""
+    one = _sql("", limit, "")
+    q, d = ([line for line in one.split("\n") if line.startswith(name)][0] for name in ("quantized AS", "decoded AS"))
+    joined = lambda line, table: line.replace(f"FROM {table} p, box)", f"FROM {table} p JOIN box USING (cloud))")
+    box = ", ".join(f"{f}({a})::DOUBLE AS {a}_{f}" for a in "xyz" for f in ("min", "max"))
+    return f"""WITH cloud AS (SELECT *, {key} AS cloud FROM ({clouds.EVENTS_SQL})),
+binned AS (SELECT *, least(greatest(floor(mass::DOUBLE / 0.05::DOUBLE), 0), 5999)::INTEGER AS bin FROM cloud),
+box AS (SELECT cloud, count(*) AS n, {box} FROM cloud GROUP BY cloud),
+hist AS (SELECT cloud, bin, count(*) AS true_count FROM binned GROUP BY cloud, bin),
+shares AS (SELECT cloud, bin, true_count, n, true_count * {limit} // n AS quotient, true_count * {limit} % n AS remainder FROM hist JOIN box USING (cloud)),
+alloc AS (SELECT cloud, bin, true_count, CASE WHEN n <= {limit} THEN true_count ELSE quotient + (row_number() OVER (PARTITION BY cloud ORDER BY remainder DESC, bin) <= {limit} - sum(quotient) OVER (PARTITION BY cloud))::INTEGER END::BIGINT AS take FROM shares),
+offsets AS (SELECT *, (coalesce(sum(take) OVER (PARTITION BY cloud ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM alloc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY cloud, bin ORDER BY point_index) - 1 AS rank FROM binned),
+picks AS (SELECT cloud, bin, k, floor((k::DOUBLE + 0.5::DOUBLE) * true_count / take)::BIGINT AS rank, "offset" + k AS record_index FROM (SELECT *, unnest(range(take)) AS k FROM offsets WHERE take > 0)),
+picked AS (SELECT r.*, k, record_index FROM ranked r JOIN picks USING (cloud, bin, rank)),
+{joined(q, "picked")}
+{joined(d, "quantized")}
+{last}"""
+
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clouds.events(spark, sf_dir).withColumn("cloud", F.col("x").cast("int"))
+
+
+@query(_sql_each("x::INTEGER", EACH_LIMIT, "SELECT cloud, record_index, bin, k, point_index, qx, qy, qz, qm FROM quantized"))
+def records_by_user(spark, sf_dir):
+    """The preview records of each user's events, of all users at once."""
+    return api.records_each(_users(spark, sf_dir), ["cloud"], EACH_LIMIT)
+
+
+@query(_sql_each("x::INTEGER", EACH_LIMIT, f"SELECT cloud, original_point_count, stored_point_count, record_index, bin, dx AS x, dy AS y, dz AS z, dmass AS mass FROM decoded JOIN (SELECT cloud, sum(true_count)::BIGINT AS original_point_count, sum(take)::BIGINT AS stored_point_count FROM alloc GROUP BY cloud) USING (cloud) WHERE bin < {VISIBLE}"))
+def previews_by_user(spark, sf_dir):
+    """A preview file for each user, and the visible points of all of them again, planned and read by tasks."""
+    folder = scratch_path(spark, "previews")
+    written = api.encode_each(_users(spark, sf_dir), ["cloud"], folder, EACH_LIMIT)
+    points = api.scan_previews(spark, folder, bins=(0, VISIBLE - 1))
+    name = lambda c: F.substring_index(c, "/", -1)
+    named = written.select("cloud", "original_point_count", "stored_point_count", name("path").alias("name"))
+    rows = points.withColumn("name", name("path")).join(named, "name")
+    return rows.select("cloud", "original_point_count", "stored_point_count", "record_index", "bin", *_doubles("x", "y", "z", "mass"))
+
+
+def _checked_sql() -> str:
+    last = f"""SELECT cloud, original_point_count, stored_point_count, file_size, payload_crc32, computed_crc32,
+CASE WHEN computed_crc32 <> payload_crc32 THEN printf('checksum mismatch: expected %08x, got %08x', payload_crc32, computed_crc32) END AS problem
+FROM (SELECT cloud, n AS original_point_count, stored_point_count, {RECORDS_OFFSET} + 8 * stored_point_count AS file_size,
+{_payload_crc("spectra || records")} AS payload_crc32,
+{_payload_crc("CASE WHEN cloud % 5 = 0 THEN left(spectra || records, -2) || printf('%02x', xor(('0x' || right(records, 2))::INTEGER, 1)) ELSE spectra || records END")} AS computed_crc32
+FROM (SELECT cloud, string_agg({_swap('coalesce(true_count, 0)', 4)}, '' ORDER BY bin) || string_agg({_swap('coalesce(take, 0)', 4)}, '' ORDER BY bin) AS spectra
+  FROM (SELECT cloud, b::INTEGER AS bin FROM box, range(6000) r(b)) LEFT JOIN alloc USING (cloud, bin) GROUP BY cloud)
+JOIN (SELECT cloud, count(*) AS stored_point_count, string_agg({_swap('qx', 2)} || {_swap('qy', 2)} || {_swap('qz', 2)} || {_swap('qm', 2)}, '' ORDER BY record_index) AS records FROM quantized GROUP BY cloud) USING (cloud)
+JOIN box USING (cloud), crc)"""
+    return _sql_each("y::INTEGER", EACH_LIMIT, last).replace("WITH ", f"WITH RECURSIVE {_CRC_TABLE} ", 1)
+
+
+@query(_checked_sql())
+def checked_previews(spark, sf_dir):
+    """A preview for each hour of the day, of which those of each fifth hour are damaged, and what checking finds: headers in
+    tasks, and CRCs joined from splits."""
+    folder = scratch_path(spark, "previews")
+    hours = clouds.events(spark, sf_dir).withColumn("cloud", F.col("y").cast("int"))
+    written = api.encode_each(hours, ["cloud"], folder, EACH_LIMIT)
+    for row in written.where("cloud % 5 = 0").collect():  # at most five of 24
+        _flip_last_bit(row["path"])
+    name = lambda c: F.substring_index(c, "/", -1)
+    found = api.checked_previews(spark, folder).withColumn("name", name("path")).drop("path")
+    rows = found.join(written.select("cloud", name("path").alias("name")), "name")
+    return rows.select("cloud", "original_point_count", "stored_point_count", "file_size", "payload_crc32", "computed_crc32", "problem")
+
+
+def _flip_last_bit(path: str) -> None:
+    store, inner = files.opened(path)
+    with store.open_input_stream(inner) as f:
+        data = f.read()
+    with store.open_output_stream(inner) as f:
+        f.write(data[:-1] + bytes([data[-1] ^ 1]))
+
+
+_ODD_EVENTS = "CASE WHEN point_index % 1009 = 7 THEN 'NaN'::FLOAT WHEN point_index % 997 = 5 THEN 'Infinity'::FLOAT ELSE mass END"
+
+
+@query(_events("""SELECT coalesce(c.cloud, l.cloud) AS cloud, coalesce(n, 0) AS n, max_points, CASE WHEN max_points <= 0 THEN 'max_points must be a positive integer' WHEN max_points > 4294967295 THEN 'max_points is above the format''s 32-bit limit'
+WHEN n IS NULL THEN 'an empty point cloud cannot be encoded' WHEN bad IS NOT NULL THEN 'points contain non-finite values, first at point ' || bad END AS problem
+FROM (SELECT x::INTEGER AS cloud, count(*) AS n, min(point_index) FILTER (point_index % 1009 = 7 OR point_index % 997 = 5) AS bad FROM cloud GROUP BY 1) c
+FULL JOIN (SELECT cloud, CASE WHEN cloud % 7 = 0 THEN 0 WHEN cloud % 11 = 0 THEN 4294967296 ELSE cloud END AS max_points FROM (SELECT DISTINCT (x + z)::INTEGER AS cloud FROM cloud)) l USING (cloud) WHERE max_points IS NOT NULL"""))
+def cloud_checks(spark, sf_dir):
+    """What encoding each user's events would say, some of which are made NaN or infinite, to limits of all kinds, beside limits
+    for users that have no events."""
+    cloud = _users(spark, sf_dir)
+    odd = F.when(F.col("point_index") % 1009 == 7, float("nan")).when(F.col("point_index") % 997 == 5, float("inf")).otherwise(F.col("mass"))
+    limit = F.when(F.col("cloud") % 7 == 0, 0).when(F.col("cloud") % 11 == 0, C.UINT32_MAX + 1).otherwise(F.col("cloud"))
+    limits = cloud.select((F.col("x") + F.col("z")).cast("int").alias("cloud")).distinct().select("cloud", limit.cast("long").alias("max_points"))
+    return problems.check_clouds(cloud.withColumn("mass", odd.cast("float")), ["cloud"], limits).where("max_points is not null")
+
+
+@query(_events("""SELECT bin, CASE WHEN stored > given THEN 'the retained spectrum exceeds the original one' WHEN given <> true_count THEN 'the spectrum''s counts do not match the cloud''s' END AS problem
+FROM (SELECT bin, true_count, CASE WHEN bin % 13 = 1 THEN true_count + 1 ELSE true_count END AS given, CASE WHEN bin % 17 = 2 THEN true_count + 2 ELSE take END AS stored FROM alloc)"""))
+def spectrum_checks(spark, sf_dir):
+    """A stored spectrum of the events with counts that are wrong in some bins, and what picking by it would say of each."""
+    cloud = clouds.events(spark, sf_dir)
+    more = lambda n, k, add, c: F.when(F.col("bin") % n == k, F.col("true_count") + add).otherwise(F.col(c))
+    kept = _spectra(cloud, EVENTS_LIMIT)
+    return problems.spectrum_problem(cloud, kept.select("bin", more(13, 1, 1, "true_count").alias("true_count"), more(17, 2, 2, "stored_count").alias("stored_count")))
+
+
+@query(_events(f"""SELECT point_index, CASE WHEN size IS NULL OR size = 0 OR size % 16 <> 0 THEN 'not a non-empty file of four 32-bit floats a point' END AS file_problem,
+CASE WHEN {RECORDS_OFFSET} + 8 * stored > 4294967295 THEN 'the preview would be above the format''s 32-bit size limit' END AS size_problem
+FROM (SELECT point_index, (x * z)::BIGINT * 4 AS size, ((x + 1) * mass * 100000)::DOUBLE::BIGINT AS stored FROM (SELECT point_index, x::DOUBLE AS x, z::DOUBLE AS z, floor(mass::DOUBLE) AS mass FROM cloud))"""))
+def size_checks(spark, sf_dir):
+    """What would be said of a point file, and of a preview, of sizes made of each event's numbers."""
+    size, stored = (F.col("x") * F.col("z")).cast("long") * 4, ((F.col("x").cast("double") + 1) * F.floor(F.col("mass").cast("double")) * 100000).cast("long")
+    return clouds.events(spark, sf_dir).select("point_index", problems.file_problem(size).alias("file_problem"), problems.size_problem(stored).alias("size_problem"))

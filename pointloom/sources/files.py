@@ -8,8 +8,10 @@ from pyarrow import fs
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system and the path in it, of a path or a URI."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """The file system and the path in it, of a path or a URI. A local one is taken as it is, as Spark writes it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def listed(path: str, suffix: str | None = None) -> list[tuple[str, int]]:

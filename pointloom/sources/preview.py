@@ -13,20 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceArrowWriter,
-    DataSourceReader,
-    EqualTo,
-    Filter,
-    GreaterThan,
-    GreaterThanOrEqual,
-    In,
-    InputPartition,
-    LessThan,
-    LessThanOrEqual,
-    WriterCommitMessage,
-)
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .. import constants as C
 from . import checksum, files
@@ -121,10 +108,9 @@ def inspect_file(path: str, verify: bool = True) -> Header:
     return header
 
 
-def read_spectra(path: str, header: Header) -> tuple[np.ndarray, np.ndarray]:
-    """Both spectra, checked against the header and each other."""
-    data = files.read_range(path, C.TRUE_COUNTS_OFFSET, 8 * C.SPECTRUM_BINS)
-    true, stored = np.frombuffer(data, "<u4").astype(np.int64).reshape(2, -1)
+def parse_spectra(data: bytes, header: Header) -> tuple[np.ndarray, np.ndarray]:
+    """Both spectra of their bytes, checked against the header and each other."""
+    true, stored = np.frombuffer(data, "<u4", 2 * C.SPECTRUM_BINS).astype(np.int64).reshape(2, -1)
     if true.sum() != header.original_point_count:
         raise ValueError("original spectrum counts do not match the header")
     if stored.sum() != header.stored_point_count:
@@ -134,6 +120,10 @@ def read_spectra(path: str, header: Header) -> tuple[np.ndarray, np.ndarray]:
     return true, stored
 
 
+def read_spectra(path: str, header: Header) -> tuple[np.ndarray, np.ndarray]:
+    return parse_spectra(files.read_range(path, C.TRUE_COUNTS_OFFSET, 8 * C.SPECTRUM_BINS), header)
+
+
 def decode_records(data: bytes, first: int, ends: np.ndarray, box: tuple | None) -> pa.RecordBatch:
     """Whole records, numbered from first, with the bin of each, of which records end at ends. With box, the low and high
     corners of x, y, z, mass, restored points; else the stored numbers."""
@@ -183,28 +173,14 @@ class PreviewReader(DataSourceReader):
     """Headers and spectra, 48 KB of a file, are checked where partitions are planned. Tasks read ranges of records, and
     one task for each file takes its CRC; a query fails with it.
 
-    Records lie by bin, so filters on bin, record_index or mass narrow what is read: the stored spectrum's sums turn them
-    into one range of records. Spark still tests each row."""
+    Records lie by bin, so the sums of the stored spectrum turn the options bins and records, each the first and the last
+    wanted as in 0:2399, into one range of records; nothing else is read. (Options, not pushed filters: Spark 4.1 keeps what
+    a filter did to a reader for later queries of the same DataFrame, which then lack rows.)"""
 
     def __init__(self, section: str, options: dict):
         self.section, self.path = section, options["path"]
         self.verify = options.get("verify_checksum", "true").lower() == "true"
-        self.bins, self.records = [0, C.SPECTRUM_BINS - 1], [0, C.UINT32_MAX]
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        spans = {"bin": (self.bins, int), "record_index": (self.records, int), "mass": (self.bins, _bin_of)}
-        for f in filters:
-            name = f.attribute[0] if isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) else None
-            if self.section in ("records", "points") and name in spans:
-                span, place = spans[name]
-                values = [v for v in (f.value if isinstance(f, In) else [f.value]) if v is not None]
-                # a restored mass may lie in the bin next to its own
-                slack = 1 if name == "mass" else 0
-                if values and not isinstance(f, (LessThan, LessThanOrEqual)):
-                    span[0] = max(span[0], place(min(values)) - slack + (isinstance(f, GreaterThan) and not slack))
-                if values and not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    span[1] = min(span[1], place(max(values)) + slack - (isinstance(f, LessThan) and not slack))
-            yield f
+        self.bins, self.records = (_pair(options.get(k), most) for k, most in (("bins", C.SPECTRUM_BINS - 1), ("records", C.UINT32_MAX)))
 
     def _span(self, stored: np.ndarray) -> tuple[int, int]:
         """The first of the wanted records, and the one after the last."""
@@ -243,8 +219,10 @@ class PreviewReader(DataSourceReader):
             yield from read_records(part.path, part.first, part.count, stored_ends(part.path), box_of(h) if self.section == "points" else None)
 
 
-def _bin_of(mass: float) -> int:
-    return int(np.clip(np.floor((mass - C.SPECTRUM_MIN_DA) / C.SPECTRUM_BIN_DA), 0, C.SPECTRUM_BINS - 1))
+def _pair(text: str | None, most: int) -> tuple[int, int]:
+    """First and last of an option, within 0..most; all without it."""
+    first, last = (int(x) for x in text.split(":")) if text else (0, most)
+    return max(0, first), min(most, last)
 
 
 @dataclass
@@ -319,7 +297,7 @@ class PreviewDataSource(DataSource):
     """spark.read.format("preview").option("section", ...).load(path) of a file or a folder of files.
 
     Sections: header (a row for each file), spectrum, records, and points (the default), which are restored values.
-    Option verify_checksum (true)."""
+    Options verify_checksum (true), bins and records (first:last wanted; all)."""
 
     @classmethod
     def name(cls) -> str:
