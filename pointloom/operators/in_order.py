@@ -201,14 +201,17 @@ def pick_pieces(points: DataFrame, spectra: DataFrame, by: Plan) -> DataFrame:
     pieces are numbered in that order, as of ordered_parts. Raises where points don't come so.
 
     The counts before the pieces are broadcast if there are MOST_COUNTS at most; beyond, points are ranked by a shuffle."""
-    before = materialize(counts_before(spectra).join(F.broadcast(spectra.groupBy("piece").agg(F.sum("n").alias("size"))), "piece"), "before")
-    if before.count() > MOST_COUNTS:
+    if spectra.count() > MOST_COUNTS:
         allocation = points.sparkSession.createDataFrame([(int(b), int(by.true[b]), int(by.take[b])) for b in np.flatnonzero(by.true)], "bin int, true_count long, take long")
         return pick_by_shuffle(points.select(*_POINT), allocation)
-    table = before.orderBy("piece").toArrow()
-    piece, size = table.column("piece").to_numpy(), table.column("size").to_numpy()
-    cuts = np.flatnonzero(np.diff(piece, prepend=-1))
-    found = piece[cuts], np.append(cuts, len(piece)), table.column("bin").to_numpy(), table.column("before").to_numpy(), size[cuts]
+    table = spectra.select("piece", "bin", F.col("n").cast("long").alias("n")).toArrow().sort_by([("bin", "ascending"), ("piece", "ascending")])
+    piece, bins, n = (table.column(c).to_numpy() for c in ("piece", "bin", "n"))
+    before = np.cumsum(n) - n
+    before -= before[np.searchsorted(bins, bins)]  # where the bin begins
+    order = np.lexsort((bins, piece))
+    cuts = np.flatnonzero(np.diff(piece[order], prepend=-1))
+    sizes = np.add.reduceat(n[order], cuts) if len(cuts) else n
+    found = piece[order][cuts], np.append(cuts, len(piece)), bins[order], before[order], sizes
     shared = points.sparkSession.sparkContext.broadcast((by, found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
