@@ -5,9 +5,12 @@ from __future__ import annotations
 import datetime
 import functools
 import hashlib
+import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +29,11 @@ _APART, _END = r"(?<![0-9][ -])", r"(?!\w|[ .-]?[0-9])"
 _START = re.compile(
     r"(?<![\w.])(?:"
     r"(?P<iban>[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})|[a-z]{2}[0-9]{2}(?= ?[a-z0-9]{4}))"
-    rf"|(?P<date>[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{_BOUND}|[0-9]{{4}}(?P<first>[./])[0-9]{{2}}(?P=first)[0-9]{{2}}{_BOUND}|[0-9]{{1,2}}(?P<sep>[./])[0-9]{{1,2}}(?P=sep)[0-9]{{4}}{_BOUND})"
+    rf"|(?P<date>[0-9]{{4}}(?P<first>[./-])[0-9]{{1,2}}(?P=first)[0-9]{{1,2}}{_BOUND}|[0-9]{{1,2}}(?P<sep>[./-])[0-9]{{1,2}}(?P=sep)[0-9]{{4}}{_BOUND})"
     rf"|(?P<ip>(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}{_BOUND})"
     rf"|(?P<ssn>[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_BOUND}|{_APART}[0-9]{{3}} [0-9]{{2}} [0-9]{{4}}{_END})"
     rf"|(?P<phone>(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{3}}\)[ .-]?|[0-9]{{3}}[.-])[0-9]{{3}}[.-][0-9]{{4}}{_BOUND}"
-    rf"|{_APART}[2-9][0-9]{{2}}[2-9][0-9]{{6}}{_END}|\+[0-9](?:[ .-]?\(?[0-9]\)?){{7,14}}{_BOUND})"
+    rf"|{_APART}(?:\([2-9][0-9]{{2}}\) ?|[2-9][0-9]{{2}} )[2-9][0-9]{{2}} [0-9]{{4}}{_END}|{_APART}[2-9][0-9]{{2}}[2-9][0-9]{{6}}{_END}|\+[0-9](?:[ .-]?\(?[0-9]\)?){{7,14}}{_BOUND})"
     r"|(?P<card>[0-9](?=(?:[ -]?[0-9]){12}))"
     r")"
 )
@@ -41,6 +44,8 @@ _IBAN_TRY = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 -
 _IBAN_TRY |= {-n: re.compile(p.pattern.replace("A-Z", "a-z", 1).replace("A-Z0-9", "a-z0-9")) for n, p in _IBAN_TRY.items()}  # in lower case
 # The country codes of telephone numbers of one and two digits; all others have three.
 _COUNTRY = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+#: Letters and digits of a name above which it is permuted by halves of its letters.
+LONG = 100
 #: Times that the values of finds which might be read otherwise are permuted on.
 _MOST_WALKS = 2000
 _DIGIT = re.compile("[0-9]")
@@ -51,7 +56,10 @@ _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(209
 
 
 def _half(value: int, bits: int, turn: int, key: bytes, tweak: bytes) -> int:
-    mixed = hashlib.blake2b(value.to_bytes(-(-max(value.bit_length(), 1) // 8), "big") + bytes([turn]), digest_size=max(8, -(-bits // 8)), key=key, person=tweak[:16]).digest()
+    size = max(8, -(-bits // 8))
+    mixed = hashlib.blake2b(value.to_bytes(-(-max(value.bit_length(), 1) // 8), "big") + bytes([turn]), digest_size=min(size, 64), key=key, person=tweak[:16]).digest()
+    if size > 64:
+        mixed = hashlib.shake_256(mixed).digest(size)
     return int.from_bytes(mixed, "big") & ((1 << bits) - 1)
 
 
@@ -78,23 +86,57 @@ def permute(value: int, size: int, key: bytes, tweak: str, back: bool = False, v
             return value
 
 
-def _mixed(text: str, key: bytes, tweak: str, back: bool) -> str:
-    """Permute the letters and digits of a text within their alphabets, as one number in mixed radix."""
-    places = [_PLACE.get(c) for c in text]
-    value, size = 0, 1
-    for p in places:
-        if p:
-            value, size = value * len(_ALPHABETS[p[0]]) + p[1], size * len(_ALPHABETS[p[0]])
-    if size == 1:
-        return text
-    value = permute(value, size, key, tweak + "".join("." if p is None else str(p[0]) for p in places), back)
-    out = []
-    for c, p in zip(reversed(text), reversed(places), strict=True):
-        if p:
-            value, i = divmod(value, len(_ALPHABETS[p[0]]))
-            c = _ALPHABETS[p[0]][i]
-        out.append(c)
-    return "".join(reversed(out))
+@functools.cache
+def _letters(block: int, category: str) -> str:
+    """The letters of a block of 128 code points that are of one category and, in lower case, come back from upper case."""
+    own = (chr(c) for c in range(block << 7, (block + 1) << 7))
+    return "".join(c for c in own if unicodedata.category(c) == category and (category != "Ll" or len(c.upper()) == 1 and c.upper().lower() == c))
+
+
+@functools.lru_cache(10_000)
+def _place(c: str) -> tuple[str, str, int] | None:
+    """A name and the letters of the alphabet that c stays in, and c's place there; None if c stays as it is."""
+    if c in _PLACE:
+        k, i = _PLACE[c]
+        return str(k), _ALPHABETS[k], i
+    category = unicodedata.category(c)
+    if c.isascii() or category not in ("Ll", "Lu", "Lo"):
+        return None
+    # what the fixed alphabets have is left to them
+    letters = "".join(x for x in _letters(ord(c) >> 7, category) if x not in _PLACE)
+    return (f"({ord(c) >> 7:x}{category})", letters, letters.index(c)) if c in letters and len(letters) > 1 else None
+
+
+def _mixed(text: str, key: bytes, tweak: str, back: bool) -> str | None:
+    """Permute the letters and digits of a text within their alphabets; None if it has none. Short texts are permuted as one
+    number in mixed radix; of long ones, halves of the letters are shifted in turns by a hash of the other half, in time
+    that follows the length."""
+    places = [_place(c) for c in text]
+    found = [p for p in places if p]
+    if not found:
+        return None
+    shape = tweak + "".join("." if p is None else p[0] for p in places)
+    sizes, at = [len(p[1]) for p in found], [p[2] for p in found]
+    if len(found) > LONG:
+        at = _shifted(np.array(at), np.array(sizes), key, hashlib.blake2b(shape.encode(), digest_size=16).digest(), back)
+    else:
+        value = permute(functools.reduce(lambda v, x: v * x[1] + x[0], zip(at, sizes, strict=True), 0), math.prod(sizes), key, shape, back)
+        for i in range(len(at) - 1, -1, -1):
+            value, at[i] = divmod(value, sizes[i])
+    new = iter(p[1][i] for p, i in zip(found, at, strict=True))
+    return "".join(c if p is None else next(new) for c, p in zip(text, places, strict=True))
+
+
+def _shifted(at: np.ndarray, sizes: np.ndarray, key: bytes, tweak: bytes, back: bool) -> list[int]:
+    """A Feistel network over letters instead of bits: each round moves every letter of one half within its alphabet."""
+    half = len(at) // 2
+    sides = slice(0, half), slice(half, len(at))
+    for turn in range(_ROUNDS - 1, -1, -1) if back else range(_ROUNDS):
+        own, other = sides if turn % 2 else sides[::-1]
+        seed = hashlib.blake2b(at[other].astype("<u4").tobytes() + bytes([turn]), key=key, person=tweak).digest()
+        step = np.frombuffer(hashlib.shake_256(seed).digest(4 * len(at[own])), "<u4").astype(np.int64)
+        at[own] = (at[own] + (-step if back else step)) % sizes[own]
+    return at.tolist()
 
 
 def _fill(shape: str, digits: str) -> str:
@@ -202,6 +244,8 @@ def _email(text: str, key: bytes, back: bool) -> str | None:
     """The local part changes, without regard to case, and the domain stays."""
     local, _, domain = text.partition("@")
     new = _mixed(local.lower() if len(local.lower()) == len(local) else local, key, "email" + domain.lower(), back)
+    if new is None:
+        return None
     return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(local, new, strict=True)) + "@" + domain
 
 
