@@ -222,8 +222,8 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, token
     are ignored; an empty table gives no sequences.
 
     Best-fit decreasing looks only at lengths, so the driver plans over the counts of the at most capacity lengths,
-    for all documents together. Each piece then finds its place by its rank among the pieces of its length; ranks are
-    counted in parts, so a length that a third of the pieces have isn't sorted in one task."""
+    for all documents together. Each piece then finds its place by its rank among the pieces of its length; pieces are
+    numbered through in ranges, so a length, or an id, that a third of the pieces have isn't sorted in one task."""
     pieces = materialize(tokenize_pieces(docs, capacity, end_id, tokenizer, folder, with_ids), "pieces")
     plan = best_fit_plan({r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}, capacity)
     keys = plan["length"] << 44 | plan["rank"]

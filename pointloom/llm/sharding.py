@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import materialize
+from ..operators.ordering import global_index
+from .common import materialize, small
 
 
 def rendezvous_costs(key: Column, weights: Sequence[float]) -> Column:
@@ -38,16 +38,17 @@ def assign_shards(df: DataFrame, key: Column, weights: Sequence[float], grown_we
 
 
 def number_slots(df: DataFrame, group: str, key: Column, tie: Sequence[str], slot: str = "slot", digits: int = 3) -> DataFrame:
-    """Gapless numbers from 0 within each group, without bringing a group to one task: the rows of a group are dealt
-    over 16**digits parts by a hash of the key, numbered within the part, and shifted by the count of the parts before.
-
-    df is read twice, so pass a materialized table. Rows equal in key and tie columns get adjacent slots in any order."""
-    parts = df.withColumn("__part", F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, digits))
-    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = parts.groupBy(group, "__part").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    own = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*tie)) - 1
-    out = parts.withColumn("__own", own).join(counts, [group, "__part"])
-    return out.withColumn(slot, (F.col("__own") + F.col("__before")).cast("long")).drop("__own", "__before", "__part")
+    """Gapless numbers from 0 within each group, in the order of a hash of the key (16**digits values) and then of the tie
+    columns, nulls first; groups must be few, as shards or lengths are.
+
+    All rows are numbered through by one shuffle into ranges, less each group's first number. Rows equal in key and tie are
+    told apart by where they are read, so neither a group, nor a key, nor copies of one row are brought to one task. df is
+    read twice, so pass a materialized table."""
+    rows = df.withColumn("__part", F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, digits)).withColumn("__row", F.monotonically_increasing_id())
+    numbered = global_index(rows, [group, "__part", *tie, "__row"], df.columns, "__number")
+    first = small(materialize(numbered.groupBy(F.col(group).alias("__group")).agg(F.min("__number").alias("__first")), "groups"))
+    out = numbered.join(first, F.col(group).eqNullSafe(F.col("__group")))
+    return out.select(*df.columns, (F.col("__number") - F.col("__first")).cast("long").alias(slot))
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
