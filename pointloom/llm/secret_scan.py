@@ -15,20 +15,22 @@ from .common import KEY, key_filter, materialize, row_key
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: a regex that means the same to Java and Python, and the length its group must reach."""
+    """A kind of secret: a regex that means the same to Java and Python, and the length its group must reach. may is a
+    regex that every text with a long enough match holds, which spares a rule without trigrams the others."""
 
     kind: str
     regex: str
     group: int
     least: int
     base: bool = False
+    may: str | None = None
 
 
 # The kinds, in the order in which spans at the same place are listed.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, True),
-    Rule("hex", r"[0-9a-f]+", 0, 32, True),
+    Rule("hex", r"[0-9a-f]+", 0, 32, True, r"[0-9a-f]{32}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
@@ -97,19 +99,17 @@ def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]]) -> Da
 
 def spans_of(text: Column, rule: Rule, number: int) -> Column:
     """The rule's leftmost non-overlapping matches that are long enough: array of (start, kind, end) in code points."""
-    regex = F.lit(rule.regex)
     hits = F.arrays_zip(
         F.split(text, rule.regex, -1).alias("before"),  # has one entry more than there are matches
-        F.regexp_extract_all(text, regex, F.lit(0)).alias("whole"),
-        F.regexp_extract_all(text, regex, F.lit(rule.group)).alias("value"),
+        *[F.regexp_extract_all(text, F.lit(rule.regex), F.lit(g)).alias(f"group{g}") for g in sorted({0, rule.group})],
     )
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
     def add(done: Column, hit: Column) -> Column:
         start = done["at"] + F.length(hit["before"])
-        end = start + F.coalesce(F.length(hit["whole"]), F.lit(0))
+        end = start + F.coalesce(F.length(hit["group0"]), F.lit(0))
         span = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(hit["value"]) >= rule.least, F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(F.length(hit[f"group{rule.group}"]) >= rule.least, F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
 
     moved = lambda part, by: F.transform(part, lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end")))
 
@@ -132,7 +132,7 @@ def _bound(value: Column, use) -> Column:
 def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Each document with its secrets: doc_id, spans (array of start, kind's number, end), in code points.
 
-    Rules with mandatory trigrams look only at the documents that the index offers; the others read every text. What
+    Rules with mandatory trigrams look only at the documents that the index offers; the others scan every text. What
     it offers comes as a key filter of bounded size, so no text moves: where the filter errs a rule looks in vain.
     Null and empty texts have no spans, nor has an empty table rows. A null doc_id is kept. Repeated rows each come
     back. Texts of any length are scanned whole. Other columns are ignored."""
@@ -146,7 +146,7 @@ def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found = []
     for i, rule in enumerate(rules):
-        may = F.col(f"__may{i}") if i in queries else F.rlike("__text", F.lit(rule.regex.removesuffix("+") + f"{{{rule.least}}}"))
+        may = F.col(f"__may{i}") if i in queries else F.rlike("__text", F.lit(rule.may)) if rule.may else F.lit(True)
         found.append(F.when(may, spans_of(F.col("__text"), rule, i)).otherwise(none))
     return rows.select("doc_id", F.array_sort(F.concat(*found)).alias("spans"))
 
