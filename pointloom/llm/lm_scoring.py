@@ -17,8 +17,9 @@ from .words import mix, planes, unplanes
 
 #: A count c has level 1 + floor(log(c) / log(BASE)); the filter holds an n-gram once for each level up to its own.
 BASE = 1.5
-#: Bits for each entry at least, and probes of an entry. The filter grows with its entries, a slice in each bucket.
-BITS, PROBES = 10, 4
+#: Bits for each entry at least, and probes of an entry. The filter grows with its entries, a slice in each bucket. An n-gram
+#: that isn't there is taken for one in less than 1 of 3,000 cases.
+BITS, PROBES = 18, 8
 #: Word pairs seen less often aren't kept in the model: all that training texts have are.
 LEAST_PAIR = 1
 #: Weight of the single-word model in that of a word after another, in counts.
@@ -26,6 +27,8 @@ PRIOR = 30.0
 
 #: Bytes of text that are counted at once, and that a bucket counts and looks up the tokens and pairs of.
 CHUNK, BUCKET = 4 << 20, 8 << 20
+#: Buckets at least. How many there are follows from the texts alone, so that scores don't depend on how Spark is set up.
+LEAST_BUCKETS = 64
 #: Buckets that one chunk is dealt over at most. More are reached by dealing a second time, so what a row holds doesn't
 #: shrink as the input grows.
 FANOUT = 2048
@@ -284,7 +287,8 @@ def count_bucket(table: pa.Table) -> pa.Table:
         known, often = token_n > 0, pair_n >= LEAST_PAIR
         bits = np.frombuffer(build_slice(np.concatenate([token[known], pair[often]]), np.concatenate([token_n[known], pair_n[often]])), np.uint8)
         model = Model(bits, np.zeros(1, np.uint64), np.array([8 * len(bits) - 1], np.uint64), int(token_n.sum()), int(known.sum()))
-        single, both = model.levels(token, token), model.levels(pair, pair)
+        # a common word at a false level would move all scores, so what the probes say of words is held against their counts
+        single, both = np.minimum(model.levels(token, token), np.where(known, levels(np.maximum(token_n, 1)), 0)), model.levels(pair, pair)
         for r, t, p in zip(rows, own_tokens, own_pairs, strict=True):
             out.append((r["chunk"], r["bucket"], None, None, None, pack(token_n[t], 8), pack(single[t], 1), pack(both[p], 1), None, None, None))
         out.append((None, rows[0]["bucket"], *[None] * 6, model.tokens, model.types, len(bits)))
@@ -354,7 +358,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     training and get equal scores. Other columns are ignored. With no training text nothing is known, and the base
     score is 0. An empty table gives an empty one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out(F.col("doc_id").cast("long"))).alias("train"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("tag"), "text")
-    buckets = words.bucket_count(rows, each=BUCKET)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-size // BUCKET))
     buckets, more = min(buckets, FANOUT), -(-buckets // FANOUT)
     out = look_up(rows, buckets, more)
     n_tokens, n_types = out.where("chunk IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types")]).first()

@@ -320,7 +320,7 @@ def test_scores_equal_a_plain_model(make, monkeypatch, fanout):
     finally:
         cloudpickle.unregister_pickle_by_value(lm_scoring)
     assert got.keys() == want.keys()
-    assert all(abs(got[d] - want[d]) < 0.02 * abs(want[d]) for d in want)
+    assert all(abs(got[d] - want[d]) < 0.001 * abs(want[d]) for d in want)
 
 
 def test_score_is_a_probability():
