@@ -90,11 +90,19 @@ def key_filter(keys: DataFrame, block_key: Column, key: Column) -> KeyFilter:
 
 def join_few(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Inner join of many rows with a materialized narrow table by a 64-bit key that few of the rows have. The table is
-    broadcast within BROADCAST_ROWS; beyond, only the rows that pass a filter of its keys shuffle."""
+    broadcast within BROADCAST_ROWS; beyond, only the rows that pass a filter of its keys shuffle, and of those, keys
+    that very many rows have are counted first and met by broadcast."""
     if table.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), key)
     hit = free_name(rows, "__hit")
-    return key_filter(table.select(key).distinct(), F.col(key), F.col(key)).probe(rows, F.col(key), {hit: F.col(key)}).where(hit).drop(hit).join(table, key)
+    hits = materialize(key_filter(table.select(key).distinct(), F.col(key), F.col(key)).probe(rows, F.col(key), {hit: F.col(key)}).where(hit).drop(hit), "hits")
+    total = hits.count()
+    counts = hits.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > max(1, total // HOT_GROUPS))
+    hot = materialize(table.join(F.broadcast(counts.select(key)), key), "hot")  # of HOT_GROUPS keys at most
+    if hot.count() > BROADCAST_ROWS:  # so many rows to a hot key that they are dealt over tasks as well
+        return hits.join(table, key)
+    cold = hits.join(F.broadcast(hot.select(key).distinct()), key, "left_anti")
+    return hits.join(F.broadcast(hot), key).unionByName(cold.join(table, key))
 
 
 def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
@@ -114,15 +122,15 @@ def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     return keyed.where(~F.col(hit)).unionByName(again).drop(key, hit)
 
 
-def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """Inner join of rows with one row per group, where groups has each group's row count in column count.
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of rows with one row per group, where groups has each group's row count in column count.
 
     Groups above total / HOT_GROUPS rows, of which there can't be more than HOT_GROUPS, are broadcast, so a key that
     holds a third of all rows isn't shuffled to one task; the others meet in a shuffle join."""
     hot = F.col(count) > F.lit(max(1, total // HOT_GROUPS))
     big, rest = groups.where(hot), groups.where(~hot)
     cold_rows = rows.join(F.broadcast(big.select(keys)), keys, "left_anti")
-    return rows.join(F.broadcast(big), keys).unionByName(cold_rows.join(rest, keys))
+    return rows.join(F.broadcast(big), keys).unionByName(cold_rows.join(rest, keys, how))
 
 
 __all__ = ["BROADCAST_ROWS", "HOT_GROUPS", "KEY", "KeyFilter", "free_name", "join_counted", "join_few", "key_filter", "materialize", "on_key", "row_key", "scratch_dir", "small", "without"]

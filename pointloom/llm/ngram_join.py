@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import KEY, join_counted, key_filter, materialize, row_key, small, without
+from .common import BROADCAST_ROWS, KEY, join_counted, key_filter, materialize, row_key, small, without
 from .components import connected_components
 
 #: Words of a shingle, and the least similarity.
@@ -23,8 +23,11 @@ BANDS, ROWS = 40, 5
 STEP = 40
 #: A pair is dropped when the posterior probability that it reaches the threshold is below this.
 TOLERANCE = 1e-9
-#: Members of a group that meet in one task; larger groups are cut into blocks that meet two by two.
-BLOCK = 1024
+#: Members of a group that meet in one task; larger groups are cut into blocks that meet two by two. A member that takes
+#: more than UNIT bytes counts as so many, so a task holds two blocks of 64 MB at most, or two members.
+BLOCK, UNIT = 1024, 1 << 16
+#: Members, and bytes of them, of the small groups that share a task.
+SHARED, SHARED_BYTES = 20_000, 1 << 26
 
 _rng = np.random.default_rng(20240607)
 _SEEDS = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -95,16 +98,20 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select(*row_key(), "text").mapInArrow(task, "doc_id long, text_key long, node long, sketch binary, bands array<bigint>")
 
 
-def deal(rows: DataFrame, key: str, node: str) -> DataFrame:
-    """rows with columns group, i, j, own, so that any two rows of a key meet in some group, and few groups are small.
+def deal(rows: DataFrame, key: str, node: str, bytes_of: Column | None = None) -> DataFrame:
+    """rows with columns group, i, j, own, so that any two rows of a key meet in some group, and no group is large.
 
     Keys of up to BLOCK rows share a group by their hash (i = -1). A larger key's rows are dealt over blocks by node,
-    and each two blocks make a group; own is the row's block."""
+    and each two blocks make a group; own is the row's block. Where rows take bytes_of, that counts as well."""
     spark = rows.sparkSession
-    counts = rows.groupBy(key).count()
-    big = small(materialize(counts.where(F.col("count") > BLOCK), "large"))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // 20_000)
-    out = rows.join(big, key, "left").withColumn("__k", F.ceil(F.col("count") / BLOCK).cast("int"))
+    size = F.lit(0) if bytes_of is None else bytes_of
+    weight = F.greatest(F.lit(1), F.ceil(size / UNIT)).cast("long")
+    counts = rows.groupBy(key).agg(F.sum(weight).alias("count"))
+    big = materialize(counts.where(F.col("count") > BLOCK), "large")
+    n, total, taken = rows.agg(F.count("*"), F.sum(weight), F.sum(size)).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // SHARED, (taken or 0) // SHARED_BYTES)
+    joined = rows.join(F.broadcast(big), key, "left") if big.count() <= BROADCAST_ROWS else join_counted(rows, big, [key], "count", total, "left")
+    out = joined.withColumn("__k", F.ceil(F.col("count") / BLOCK).cast("int"))
     out = out.withColumn("own", F.coalesce(F.pmod(F.xxhash64(node), F.col("__k")).cast("int"), F.lit(-1)))
     pair = lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"))
     pairs = F.when(F.col("__k").isNull(), F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("__k") - 1), pair))
@@ -284,8 +291,8 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # 1. buckets of bands with at least two nodes
     bands = texts.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("band")
-    members = materialize(bands.join(shared, "band"), "members")
+    shared = materialize(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = materialize(join_counted(bands, shared, ["band"], "n", BANDS * texts.count()).select("node", "band"), "members")
     meant = small(materialize(members.select("node").distinct(), "meant"))
     values = texts.select("node", "sketch").join(meant, "node", "left_semi")
     # 2. pairs of a bucket, pruned by the posterior
@@ -299,7 +306,7 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = key_filter(parts, F.xxhash64("__id", "__key"), F.xxhash64("__id", "__key")).probe(own, F.xxhash64(*KEY), {"__hit": F.xxhash64(*KEY)}).where("__hit")
     found = found.join(parts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")))
     sets = materialize(sets_of(found).dropDuplicates(["node"]), "sets")
-    dealt = deal(sets, "component", "node")
+    dealt = deal(sets, "component", "node", F.octet_length("shingles"))
     links = materialize(dealt.groupBy("group").applyInArrow(lambda _, t: exact_links(t, threshold, least), "node long, n_texts long, n_docs long, root long"), "links")
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     # 4. back to documents
