@@ -50,7 +50,7 @@ LONG = 100
 _MOST_WALKS = 2000
 _DIGIT = re.compile("[0-9]")
 # The alphabets that stay within themselves.
-_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäçèéêëìíîïñòóôöùúûüß", "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ")
+_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäçèéêëìíîïñòóôöùúûü", "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ")
 _PLACE = {c: (k, i) for k, letters in enumerate(_ALPHABETS) for i, c in enumerate(letters)}
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -86,11 +86,18 @@ def permute(value: int, size: int, key: bytes, tweak: str, back: bool = False, v
             return value
 
 
+def _paired(c: str) -> bool:
+    """Whether a letter has one of the other case that leads back to it."""
+    other = c.lower() if c.isupper() else c.upper()
+    return len(other) == 1 and other != c and (other.upper() if c.isupper() else other.lower()) == c
+
+
 @functools.cache
-def _letters(block: int, category: str) -> str:
-    """The letters of a block of 128 code points that are of one category and, in lower case, come back from upper case."""
+def _letters(block: int, category: str, paired: bool) -> str:
+    """The letters of a block of 128 code points that are of one category, those of two cases or those of one; what the fixed
+    alphabets have is left to them."""
     own = (chr(c) for c in range(block << 7, (block + 1) << 7))
-    return "".join(c for c in own if unicodedata.category(c) == category and (category != "Ll" or len(c.upper()) == 1 and c.upper().lower() == c))
+    return "".join(c for c in own if unicodedata.category(c) == category and _paired(c) == paired and c not in _PLACE)
 
 
 @functools.lru_cache(10_000)
@@ -102,9 +109,9 @@ def _place(c: str) -> tuple[str, str, int] | None:
     category = unicodedata.category(c)
     if c.isascii() or category not in ("Ll", "Lu", "Lo"):
         return None
-    # what the fixed alphabets have is left to them
-    letters = "".join(x for x in _letters(ord(c) >> 7, category) if x not in _PLACE)
-    return (f"({ord(c) >> 7:x}{category})", letters, letters.index(c)) if c in letters and len(letters) > 1 else None
+    paired = _paired(c)
+    letters = _letters(ord(c) >> 7, category, paired)
+    return (f"({ord(c) >> 7:x}{category}{paired:d})", letters, letters.index(c)) if len(letters) > 1 else None
 
 
 def _mixed(text: str, key: bytes, tweak: str, back: bool) -> str | None:
@@ -241,12 +248,11 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _email(text: str, key: bytes, back: bool) -> str | None:
-    """The local part changes, without regard to case, and the domain stays."""
+    """The local part changes, without regard to case, and the domain stays. A local part without letters and digits is none."""
     local, _, domain = text.partition("@")
-    new = _mixed(local.lower() if len(local.lower()) == len(local) else local, key, "email" + domain.lower(), back)
-    if new is None:
-        return None
-    return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(local, new, strict=True)) + "@" + domain
+    lowered = [c.lower() if c.isupper() and _paired(c) else c for c in local]
+    new = _mixed("".join(lowered), key, "email" + domain.lower(), back)
+    return new and "".join(n if o == c else n.upper() for o, c, n in zip(local, lowered, new, strict=True)) + "@" + domain
 
 
 _CHANGE = {"email": _email, "iban": _iban, "card": _card, "ip": _ip, "ssn": _ssn, "phone": _phone, "date": _date}
