@@ -106,6 +106,18 @@ def bins_of(first: float, last: float) -> tuple[int, int]:
     return max(0, low - 1), min(C.SPECTRUM_BINS - 1, high + 1)
 
 
+def preview_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """What to publish beside each preview below a folder: path, problem, original_size_bytes (as a point file), preview_size_bytes,
+    original_point_count, stored_point_count, compression_ratio, sha256, md5. Headers and digests are read by tasks."""
+    listed = materialize(listing.list_files(spark, path), "listed")
+    heads = listing.read_headers(listed)
+    digests_of = listing.digest_files(listed).select(F.col("path").alias("__of"), "sha256", "md5")
+    rows = heads.join(digests_of, F.col("path") == F.col("__of"))
+    original = F.col("original_point_count") * POINT_BYTES
+    ratio = F.round(original / F.col("length"), 3).alias("compression_ratio")
+    return rows.select("path", "problem", original.alias("original_size_bytes"), F.col("length").alias("preview_size_bytes"), "original_point_count", "stored_point_count", ratio, "sha256", "md5")
+
+
 def spectrum_counts(spark: SparkSession, path: str) -> DataFrame:
     """(bin, true_count, stored_count) of all bins."""
     return _section(spark, path, "spectrum", True)

@@ -505,17 +505,35 @@ def previews_by_user(spark, sf_dir):
     return rows.select("cloud", "original_point_count", "stored_point_count", "record_index", "bin", *_doubles("x", "y", "z", "mass"))
 
 
+#: SQL of the payload of each cloud's preview: its spectra and its records as hexadecimal text.
+_PAYLOADS = f"""(SELECT cloud, string_agg({_swap('coalesce(true_count, 0)', 4)}, '' ORDER BY bin) || string_agg({_swap('coalesce(take, 0)', 4)}, '' ORDER BY bin) AS spectra
+  FROM (SELECT cloud, b::INTEGER AS bin FROM box, range(6000) r(b)) LEFT JOIN alloc USING (cloud, bin) GROUP BY cloud)
+JOIN (SELECT cloud, count(*) AS stored_point_count, string_agg({_swap('qx', 2)} || {_swap('qy', 2)} || {_swap('qz', 2)} || {_swap('qm', 2)}, '' ORDER BY record_index) AS records FROM quantized GROUP BY cloud) USING (cloud)
+JOIN box USING (cloud)"""
+
+
+def _hourly(last: str) -> str:
+    return _sql_each("y::INTEGER", EACH_LIMIT, last).replace("WITH ", f"WITH RECURSIVE {_CRC_TABLE} ", 1)
+
+
 def _checked_sql() -> str:
-    last = f"""SELECT cloud, original_point_count, stored_point_count, file_size, payload_crc32, computed_crc32,
+    return _hourly(f"""SELECT cloud, original_point_count, stored_point_count, file_size, payload_crc32, computed_crc32,
 CASE WHEN computed_crc32 <> payload_crc32 THEN printf('checksum mismatch: expected %08x, got %08x', payload_crc32, computed_crc32) END AS problem
 FROM (SELECT cloud, n AS original_point_count, stored_point_count, {RECORDS_OFFSET} + 8 * stored_point_count AS file_size,
 {_payload_crc("spectra || records")} AS payload_crc32,
 {_payload_crc("CASE WHEN cloud % 5 = 0 THEN left(spectra || records, -2) || printf('%02x', xor(('0x' || right(records, 2))::INTEGER, 1)) ELSE spectra || records END")} AS computed_crc32
-FROM (SELECT cloud, string_agg({_swap('coalesce(true_count, 0)', 4)}, '' ORDER BY bin) || string_agg({_swap('coalesce(take, 0)', 4)}, '' ORDER BY bin) AS spectra
-  FROM (SELECT cloud, b::INTEGER AS bin FROM box, range(6000) r(b)) LEFT JOIN alloc USING (cloud, bin) GROUP BY cloud)
-JOIN (SELECT cloud, count(*) AS stored_point_count, string_agg({_swap('qx', 2)} || {_swap('qy', 2)} || {_swap('qz', 2)} || {_swap('qm', 2)}, '' ORDER BY record_index) AS records FROM quantized GROUP BY cloud) USING (cloud)
-JOIN box USING (cloud), crc)"""
-    return _sql_each("y::INTEGER", EACH_LIMIT, last).replace("WITH ", f"WITH RECURSIVE {_CRC_TABLE} ", 1)
+FROM {_PAYLOADS}, crc)""")
+
+
+def _catalog_sql() -> str:
+    """Every byte of each file as hexadecimal text, and its digests."""
+    float_of = lambda v: f"CASE WHEN {v} = 0 THEN 0 ELSE ((127 + floor(log2({v})))::BIGINT << 23) + (({v}::BIGINT - (1::BIGINT << floor(log2({v}))::INTEGER)) << (23 - floor(log2({v}))::INTEGER)) END"  # noqa: E731  of whole numbers below 2**24
+    little = lambda *numbers: " || ".join(_swap(str(v), n) for v, n in numbers)
+    head = "'43504f53' || " + little((1, 2), (0, 2), (1, 2), (0, 2), (0, 2), (C.HEADER_SIZE, 2), (C.ENDIAN_MARKER, 4), (C.FLAGS, 4), ("n", 4), ("stored_point_count", 4), (C.SPECTRUM_BINS, 4))
+    head += " || '00000000cdcc4c3d00009643' || " + little(*((float_of(f"{a}_{k}"), 4) for k in ("min", "max") for a in "xyz"))
+    head += " || " + little((C.TRUE_COUNTS_OFFSET, 4), (C.STORED_COUNTS_OFFSET, 4), (RECORDS_OFFSET, 4), ("size", 4), ("crc32", 4), (EACH_LIMIT, 4)) + " || repeat('00', 32)"
+    return _hourly(f"""SELECT cloud, n * 16 AS original_size_bytes, size AS preview_size_bytes, n AS original_point_count, stored_point_count, round(n * 16 / size, 3) AS compression_ratio, sha256(unhex(file)) AS sha256, md5(unhex(file)) AS md5
+FROM (SELECT *, {head} || spectra || records AS file FROM (SELECT *, {RECORDS_OFFSET} + 8 * stored_point_count AS size, {_payload_crc("spectra || records")} AS crc32 FROM {_PAYLOADS}, crc))""")
 
 
 @query(_checked_sql())
@@ -533,6 +551,17 @@ def checked_previews(spark, sf_dir):
     return rows.select("cloud", "original_point_count", "stored_point_count", "file_size", "payload_crc32", "computed_crc32", "problem")
 
 
+@query(_catalog_sql())
+def preview_catalog(spark, sf_dir):
+    """What to publish beside the preview of each hour's events, with the digests of the files, byte for byte those of the SQL."""
+    folder = scratch_path(spark, "previews")
+    written = api.encode_each(clouds.events(spark, sf_dir).withColumn("cloud", F.col("y").cast("int")), ["cloud"], folder, EACH_LIMIT)
+    name = lambda c: F.substring_index(c, "/", -1)
+    found = api.preview_catalog(spark, folder).withColumn("name", name("path"))
+    rows = found.join(written.select("cloud", name("path").alias("name")), "name")
+    return rows.select("cloud", "original_size_bytes", "preview_size_bytes", "original_point_count", "stored_point_count", "compression_ratio", "sha256", "md5")
+
+
 def _flip_last_bit(path: str) -> None:
     store, inner = files.opened(path)
     with store.open_input_stream(inner) as f:

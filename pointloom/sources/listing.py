@@ -102,6 +102,18 @@ def check_payloads(heads: DataFrame, step: int = SPLIT) -> DataFrame:
     return rows.withColumn("problem", F.coalesce("problem", F.when(F.col("payload_crc32") != F.col("computed_crc32"), wrong)))
 
 
+def digest_files(listed: DataFrame) -> DataFrame:
+    """(path, length) with sha256 and md5 of each file, which a task reads by the megabyte."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [files.digests(p) for p in batch.column("path").to_pylist()]
+            size, sha, md5 = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(md5, pa.string())], names=["path", "length", "sha256", "md5"])
+
+    return _dealt(listed.select("path"), listed.count(), "path").mapInArrow(task, "path string, length long, sha256 string, md5 string")
+
+
 def scan(spark: SparkSession, path: str, bins: tuple[int, int] | None = None, verify: bool = True, section: str = "points", pattern: str = "*.preview") -> DataFrame:
     """The points, or records, of all previews below a folder. Raises ValueError, before any record is read, with the first
     file by path that has a problem."""
