@@ -15,8 +15,9 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from . import constants as C
 from .functions.arrays import mass_bins
-from .operators.in_order import Plan, PointFiles, plan, summary_of
+from .operators.in_order import Plan, PointFiles, pick_ordered, plan, summary_of
 from .operators.many import encode_each, records_each
+from .operators.ordering import global_index
 from .operators.pairs import paired
 from .operators.quantization import quantize_points
 from .operators.sample import check_limit, pick
@@ -55,6 +56,13 @@ def pick_pos(spark: SparkSession, path: str, max_points: int = C.DEFAULT_MAX_POI
     return points.pick(spectra, plan(summary_of(spectra), max_points))
 
 
+def rank_pos(spark: SparkSession, path: str) -> DataFrame:
+    """All points of a point file, or a folder of them, with bin and rank, the number of points of the bin before, counted
+    where the files are read."""
+    points = PointFiles(spark, path)
+    return points.rank(materialize(points.spectra(), "spectra"))
+
+
 def encode(cloud: DataFrame, path: str, max_points: int = C.DEFAULT_MAX_POINTS) -> None:
     """Write a cloud's preview: two jobs, one that gathers bounds and spectrum, and one that picks, quantizes and
     writes the records in order.
@@ -78,6 +86,15 @@ def encode_pos(spark: SparkSession, source: str, path: str, max_points: int = C.
     _write_preview(points.pick(spectra, by), found, by, path, check_limit(max_points))
 
 
+def encode_ordered(points: DataFrame, order: list[str], path: str, max_points: int = C.DEFAULT_MAX_POINTS) -> None:
+    """Write the preview of a table of x, y, z, mass whose order is that of other columns, which must tell rows apart for the
+    same bytes each time. Rows are sorted once by ranges and written; they are ranked and picked where that is read."""
+    fields = ["x", "y", "z", "mass"]
+    rows = points.select(*[c for c in order if c not in fields], *[F.col(c).cast("float").alias(c) for c in fields])
+    picked, found, by = pick_ordered(global_index(rows, order, fields, piece="piece"), max_points)
+    _write_preview(picked, found, by, path, check_limit(max_points))
+
+
 def _write_preview(picked: DataFrame, found: Summary, by: Plan, path: str, limit: int) -> None:
     spark = picked.sparkSession
     register(spark)
@@ -88,13 +105,16 @@ def _write_preview(picked: DataFrame, found: Summary, by: Plan, path: str, limit
     records.orderBy("record_index").write.format("preview").options(**options).mode("append").save(path)
 
 
-def decode(spark: SparkSession, path: str, verify_checksum: bool = True, bins: tuple[int, int] | None = None, records: tuple[int, int] | None = None) -> DataFrame:
+def decode(spark: SparkSession, path: str, verify_checksum: bool | str = True, bins: tuple[int, int] | None = None, records: tuple[int, int] | None = None) -> DataFrame:
     """(record_index, x, y, z, mass, bin) of a preview's points, or of those of all previews in a folder. With bins or
-    records, the first and the last wanted, only those are read, beside the CRC, which asks for whole files."""
+    records, the first and the last wanted, only those are read, beside the CRC, which asks for whole files.
+
+    The CRC of each file is taken by one task beside those that read, so a query that stops early may end before it. With
+    verify_checksum="first" it is taken here, in splits by many tasks, before any row is read."""
     return _section(spark, path, "points", verify_checksum, bins, records)
 
 
-def records(spark: SparkSession, path: str, verify_checksum: bool = True, bins: tuple[int, int] | None = None, records: tuple[int, int] | None = None) -> DataFrame:
+def records(spark: SparkSession, path: str, verify_checksum: bool | str = True, bins: tuple[int, int] | None = None, records: tuple[int, int] | None = None) -> DataFrame:
     """The same with qx, qy, qz, qm as stored."""
     return _section(spark, path, "records", verify_checksum, bins, records)
 
@@ -137,8 +157,7 @@ def scan_previews(spark: SparkSession, path: str, bins: tuple[int, int] | None =
 
 def checked_previews(spark: SparkSession, path: str) -> DataFrame:
     """path, length, problem, counts, corners and CRC-32 of all previews below a folder, each wholly checked by many tasks."""
-    heads = materialize(listing.read_headers(listing.list_files(spark, path)), "heads")
-    return listing.check_payloads(heads)
+    return listing.checked(spark, path)
 
 
 def inspect(path: str, verify_checksum: bool = True) -> Header:
@@ -237,8 +256,11 @@ def sidecar(spark: SparkSession, source: str, preview: str, **more: str) -> dict
     }
 
 
-def _section(spark: SparkSession, path: str, section: str, verify: bool, bins: tuple[int, int] | None = None, records: tuple[int, int] | None = None) -> DataFrame:
+def _section(spark: SparkSession, path: str, section: str, verify: bool | str, bins: tuple[int, int] | None = None, records: tuple[int, int] | None = None) -> DataFrame:
     register(spark)
+    if verify == "first":
+        listing.raise_first(listing.checked(spark, path, "*"))
+        verify = False
     spans = {k: f"{v[0]}:{v[1]}" for k, v in (("bins", bins), ("records", records)) if v}
     return spark.read.format("preview").options(section=section, verify_checksum=str(verify).lower(), **spans).load(path)
 

@@ -22,12 +22,13 @@ from ..scratch import materialize
 from ..sources import files
 from ..sources.pos import BATCH, POINT_BYTES, SPLIT, decode_points
 from ..sources.ranges import Range, Ranges, blocks
-from .sample import MOST_STORED, allocate_counts, check_limit, check_size
-from .spectrum import AXES, FIELDS, Summary, binned
+from .sample import MOST_STORED, allocate_counts, check_limit, check_size, rank_in_bin
 from .sample import pick as pick_by_shuffle
+from .spectrum import AXES, FIELDS, Summary, binned
 
 _SPECTRA = "piece long, bin int, n long, bad long, " + ", ".join(f"{a}_{k} float" for a in AXES for k in ("min", "max"))
-_PICKED = "point_index long, x float, y float, z float, mass float, bin int, rank long, k long, record_index long"
+_RANKED = "point_index long, x float, y float, z float, mass float, bin int, rank long"
+_PICKED = _RANKED + ", k long, record_index long"
 _POINT = ("point_index", *FIELDS)
 #: Counts (of a bin before a piece) that are broadcast, 12 bytes each; with more, points are ranked by a shuffle.
 MOST_COUNTS = 4_000_000
@@ -48,7 +49,7 @@ class Plan:
             row[list(by_bin)] = list(by_bin.values())
         return cls(counts[0], counts[1], np.cumsum(counts[1]) - counts[1])
 
-    def picked(self, batch: pa.RecordBatch, seen: np.ndarray) -> pa.RecordBatch:
+    def __call__(self, batch: pa.RecordBatch, seen: np.ndarray) -> pa.RecordBatch:
         """The picked points of a batch that follows the points that are counted in seen, which is moved on."""
         bins = mass_bins(batch.column("mass").to_numpy())
         rank = ranks_in(bins, seen)
@@ -59,6 +60,13 @@ class Plan:
         return pa.RecordBatch.from_arrays([*[batch.column(c).take(kept) for c in _POINT], *own], names=[*_POINT, "bin", "rank", "k", "record_index"])
 
 
+def ranked(batch: pa.RecordBatch, seen: np.ndarray) -> pa.RecordBatch:
+    """All points of such a batch with bin and rank."""
+    bins = mass_bins(batch.column("mass").to_numpy())
+    own = [pa.array(bins.astype(np.int32)), pa.array(ranks_in(bins, seen))]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in _POINT], *own], names=[*_POINT, "bin", "rank"])
+
+
 def plan(found: Summary, max_points: int) -> Plan:
     limit = check_limit(max_points)
     check_size(min(found.n, limit, MOST_STORED + 1))
@@ -126,21 +134,29 @@ class PointFiles:
         return self.ranges.read(self.spark, task, _SPECTRA)
 
     def pick(self, spectra: DataFrame, by: Plan) -> DataFrame:
-        """The picked points of all ranges: point_index, x, y, z, mass, bin, rank, k, record_index. A range comes with the
-        counts before it, one row, and is read where that row is; points aren't moved."""
+        """The picked points of all ranges: point_index, x, y, z, mass, bin, rank, k, record_index."""
+        return self._after_counts(spectra, by, _PICKED)
+
+    def rank(self, spectra: DataFrame) -> DataFrame:
+        """All points with bin and rank, the number of points of the bin that come before."""
+        return self._after_counts(spectra, ranked, _RANKED)
+
+    def _after_counts(self, spectra: DataFrame, each, schema: str) -> DataFrame:
+        """What each makes of the batches of all ranges and the counts before them. A range comes with those, one row, and is
+        read where that row is; points aren't moved."""
         vectors = counts_before(spectra).groupBy("piece").agg(F.collect_list(F.struct("bin", "before")).alias("before"))
-        shared = self.spark.sparkContext.broadcast((self.ranges, by))  # names, sizes and 6,000 bins
+        shared = self.spark.sparkContext.broadcast((self.ranges, each))  # names, sizes and 6,000 bins
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ranges, by = shared.value
+            ranges, each = shared.value
             for batch in batches:
                 for piece, before in zip(batch.column("piece").to_pylist(), batch.column("before"), strict=True):
                     seen, r = np.zeros(SPECTRUM_BINS, np.int64), ranges[piece]
                     seen[before.values.field("bin").to_numpy()] = before.values.field("before").to_numpy()
                     for at, data in blocks(r, BATCH):
-                        yield by.picked(decode_points(data, r.first + at // POINT_BYTES), seen)
+                        yield each(decode_points(data, r.first + at // POINT_BYTES), seen)
 
-        return vectors.mapInArrow(run, _PICKED)
+        return vectors.mapInArrow(run, schema)
 
     def sample(self, max_points: int, step: int = 1 << 16, gap: int = 4096) -> DataFrame:
         """max_points points, or all, evenly spaced over the files: sample_index, point_index, x, y, z, mass. Tasks work out
@@ -204,6 +220,25 @@ def pick_pieces(points: DataFrame, spectra: DataFrame, by: Plan) -> DataFrame:
     if spectra.count() > MOST_COUNTS:
         allocation = points.sparkSession.createDataFrame([(int(b), int(by.true[b]), int(by.take[b])) for b in np.flatnonzero(by.true)], "bin int, true_count long, take long")
         return pick_by_shuffle(points.select(*_POINT), allocation)
+    return _in_pieces(points, spectra, by, _PICKED)
+
+
+def rank_pieces(points: DataFrame, spectra: DataFrame) -> DataFrame:
+    """All points of such a table with bin and rank, likewise."""
+    if spectra.count() > MOST_COUNTS:
+        return rank_in_bin(points.select(*_POINT)).select(*_POINT, "bin", "rank")
+    return _in_pieces(points, spectra, ranked, _RANKED)
+
+
+def pick_ordered(points: DataFrame, max_points: int) -> tuple[DataFrame, Summary, Plan]:
+    """The picked points of such a table for a preview of max_points, with its summary and the plan."""
+    spectra = materialize(spectra_of(points), "spectra")
+    found = summary_of(spectra)
+    by = plan(found, max_points)
+    return pick_pieces(points, spectra, by), found, by
+
+
+def _in_pieces(points: DataFrame, spectra: DataFrame, each, schema: str) -> DataFrame:
     table = spectra.select("piece", "bin", F.col("n").cast("long").alias("n")).toArrow().sort_by([("bin", "ascending"), ("piece", "ascending")])
     piece, bins, n = (table.column(c).to_numpy() for c in ("piece", "bin", "n"))
     before = np.cumsum(n) - n
@@ -212,10 +247,10 @@ def pick_pieces(points: DataFrame, spectra: DataFrame, by: Plan) -> DataFrame:
     cuts = np.flatnonzero(np.diff(piece[order], prepend=-1))
     sizes = np.add.reduceat(n[order], cuts) if len(cuts) else n
     found = piece[order][cuts], np.append(cuts, len(piece)), bins[order], before[order], sizes
-    shared = points.sparkSession.sparkContext.broadcast((by, found))
+    shared = points.sparkSession.sparkContext.broadcast((each, found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, (pieces, cuts, bins, counts, sizes) = shared.value
+        each, (pieces, cuts, bins, counts, sizes) = shared.value
         now, left, last, seen = None, 0, -1, None
         for batch in batches:
             column = batch.column("piece").to_numpy()
@@ -234,11 +269,11 @@ def pick_pieces(points: DataFrame, spectra: DataFrame, by: Plan) -> DataFrame:
                 if not whole or left < 0 or index[0] <= last or (np.diff(index) <= 0).any():
                     raise ValueError("the points of a piece don't come in order in one task")
                 last = index[-1]
-                yield by.picked(part, seen)
+                yield each(part, seen)
         if left:
             raise ValueError("the points of a piece don't come in order in one task")
 
-    return points.select(*_POINT, "piece").mapInArrow(run, _PICKED)
+    return points.select(*_POINT, "piece").mapInArrow(run, schema)
 
 
-__all__ = ["Plan", "PointFiles", "counts_before", "pick_pieces", "plan", "spectra_of", "strided", "summary_of"]
+__all__ = ["Plan", "PointFiles", "counts_before", "pick_ordered", "pick_pieces", "plan", "rank_pieces", "spectra_of", "strided", "summary_of"]

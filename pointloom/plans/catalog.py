@@ -15,7 +15,7 @@ from .. import constants as C
 from ..constants import DEFAULT_MAX_POINTS, RECORDS_OFFSET
 from ..functions.expressions import format_bytes, palette
 from ..operators import in_order, problems, quality_metrics, quantization, sample, spectrum, view
-from ..scratch import materialize, scratch_path
+from ..scratch import scratch_path
 from ..sources import files
 from . import clouds
 
@@ -183,10 +183,7 @@ def quantized_records(spark, sf_dir):
 @query(_sql(clouds.LINEITEM_SQL, DEFAULT_MAX_POINTS, "SELECT record_index, bin, k, point_index, qx, qy, qz, qm FROM quantized"))
 def quantized_lineitem(spark, sf_dir):
     """Ranked and picked where the numbered lines are read; no line is shuffled for it."""
-    cloud = clouds.lineitem_in_order(spark, sf_dir)
-    spectra = materialize(in_order.spectra_of(cloud), "spectra")
-    found = in_order.summary_of(spectra)
-    picked = in_order.pick_pieces(cloud, spectra, in_order.plan(found, DEFAULT_MAX_POINTS))
+    picked, found, _ = in_order.pick_ordered(clouds.lineitem_in_order(spark, sf_dir), DEFAULT_MAX_POINTS)
     return quantization.quantize_points(picked, found.box(spark)).select("record_index", "bin", "k", "point_index", "qx", "qy", "qz", "qm")
 
 
@@ -431,6 +428,12 @@ def picked_from_files(spark, sf_dir):
     return api.pick_pos(spark, _point_files(spark, sf_dir), EVENTS_LIMIT).select("record_index", "bin", "k", "rank", "point_index", *_doubles("x", "y", "z", "mass"))
 
 
+@query(ORACLES["in_bin_rank"])
+def ranked_from_files(spark, sf_dir):
+    """Written as point files, of which every point is ranked where it is read."""
+    return api.rank_pos(spark, _point_files(spark, sf_dir)).select("point_index", "bin", "rank")
+
+
 @query(ORACLES["uniform_sample"])
 def uniform_from_files(spark, sf_dir):
     """Written as point files, of which only the sampled points are read."""

@@ -114,12 +114,21 @@ def digest_files(listed: DataFrame) -> DataFrame:
     return _dealt(listed.select("path"), listed.count(), "path").mapInArrow(task, "path string, length long, sha256 string, md5 string")
 
 
+def checked(spark: SparkSession, path: str, pattern: str = "*.preview", bins: tuple[int, int] | None = None) -> DataFrame:
+    """read_headers' table of all previews below a folder, CRCs included."""
+    return check_payloads(materialize(read_headers(list_files(spark, path, pattern), bins), "heads"))
+
+
+def raise_first(heads: DataFrame) -> None:
+    """Raise ValueError with the first file by path that has a problem."""
+    if found := heads.where("problem is not null").orderBy("path").select("path", "problem").first():
+        raise ValueError(f"{found['path']}: {found['problem']}")
+
+
 def scan(spark: SparkSession, path: str, bins: tuple[int, int] | None = None, verify: bool = True, section: str = "points", pattern: str = "*.preview") -> DataFrame:
     """The points, or records, of all previews below a folder. Raises ValueError, before any record is read, with the first
     file by path that has a problem."""
-    heads = materialize(read_headers(list_files(spark, path, pattern), bins), "heads")
-    if verify:
-        heads = materialize(check_payloads(heads), "heads")
-    if found := heads.where("problem is not null").orderBy("path").select("path", "problem").first():
-        raise ValueError(f"{found['path']}: {found['problem']}")
+    heads = checked(spark, path, pattern, bins) if verify else read_headers(list_files(spark, path, pattern), bins)
+    heads = materialize(heads, "heads")
+    raise_first(heads)
     return read_listed(heads, section)

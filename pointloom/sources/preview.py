@@ -7,6 +7,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -170,7 +171,8 @@ class Check(InputPartition):
 
 
 class PreviewReader(DataSourceReader):
-    """Headers and spectra, 48 KB of a file, are checked where partitions are planned. Tasks read ranges of records, and
+    """Headers and spectra, 48 KB of a file, are checked where partitions are planned, some files at once; the first by name that
+    is wrong is told. Tasks read ranges of records, and
     one task for each file takes its CRC; a query fails with it.
 
     Records lie by bin, so the sums of the stored spectrum turn the options bins and records, each the first and the last
@@ -190,17 +192,19 @@ class PreviewReader(DataSourceReader):
         low, high = max(int(ends[self.bins[0]]), self.records[0]), min(int(ends[self.bins[1] + 1]), self.records[1] + 1)
         return low, max(low, high)
 
+    def _plan(self, path: str) -> list[Range]:
+        header = inspect_file(path, False)
+        first, last, step = 0, header.stored_point_count, header.stored_point_count
+        if self.section != "header":
+            _, stored = read_spectra(path, header)
+        if self.section in ("records", "points"):
+            (first, last), step = self._span(stored), SPLIT // C.RECORD_SIZE
+        ranges = [Range(path, header, at, min(step, last - at)) for at in range(first, last, step)]
+        return ranges + ([Check(path)] if self.verify else [])
+
     def partitions(self) -> list[Range]:
-        out = []
-        for path, _ in files.listed(self.path):
-            header = inspect_file(path, False)
-            first, last, step = 0, header.stored_point_count, header.stored_point_count
-            if self.section != "header":
-                _, stored = read_spectra(path, header)
-            if self.section in ("records", "points"):
-                (first, last), step = self._span(stored), SPLIT // C.RECORD_SIZE
-            out += [Range(path, header, at, min(step, last - at)) for at in range(first, last, step)]
-            out += [Check(path)] if self.verify else []
+        with ThreadPoolExecutor(16) as pool:  # results come, and errors are raised, in the order of names
+            out = [r for ranges in pool.map(self._plan, [path for path, _ in files.listed(self.path)]) for r in ranges]
         return out or [Range("", None, 0, 0)]
 
     def read(self, part: Range | Check) -> Iterator[pa.RecordBatch]:

@@ -73,14 +73,10 @@ def test_ranks_and_picks_as_columns_say(spark):
     assert own.tolist() == [-1 if x["k"] is None else x["k"] for x in told]
 
 
-@pytest.mark.parametrize("split", [16, 1600, 1 << 20])
-@pytest.mark.parametrize("limit", [1, 333, 1999, 5000])
-def test_preview_of_files_is_the_models(spark, folder, tmp_path, monkeypatch, split, limit):
+@pytest.mark.parametrize(("split", "limit"), [(160, 333), *((s, n) for s in (1600, 1 << 20) for n in (1, 333, 1999, 5000))])
+def test_preview_of_files_is_the_models(spark, folder, tmp_path, split, limit):
     path, array = folder
-    if split == 16 and limit != 333:
-        pytest.skip("a point a range is slow; once is enough")
-    monkeypatch.setattr(in_order, "SPLIT", split)
-    points = in_order.PointFiles(spark, str(path), 160 if split == 16 else split)
+    points = in_order.PointFiles(spark, str(path), split)
     spectra = materialize(points.spectra(), "spectra")
     found = in_order.summary_of(spectra)
     by = in_order.plan(found, limit)
@@ -180,12 +176,33 @@ def test_pieces_of_a_table(spark):
         in_order.pick_pieces(shuffled, spectra, by).count()
 
 
+def test_ranks_of_a_table_and_of_files(spark, folder):
+    path, array = folder
+    bins = np.clip(np.floor(array[:, 3].astype(float) / 0.05), 0, 5999).astype(int)
+    seen, want = {}, {}
+    for i, b in enumerate(bins.tolist()):
+        want[i] = (b, seen.get(b, 0))
+        seen[b] = want[i][1] + 1
+    rows = global_index(points_frame(spark, array).withColumnRenamed("point_index", "at"), ["at"], ["x", "y", "z", "mass"], piece="piece")
+    spectra = materialize(in_order.spectra_of(rows), "spectra")
+    for got in (api.rank_pos(spark, str(path)), in_order.rank_pieces(rows, spectra)):
+        assert {r["point_index"]: (r["bin"], r["rank"]) for r in got.collect()} == want
+
+
+def test_tables_in_the_order_of_columns(spark, tmp_path):
+    array = synthetic(1500)
+    rows = points_frame(spark, array).withColumnRenamed("point_index", "name")
+    api.encode_ordered(rows, ["name"], str(tmp_path / "a"), 200)
+    assert (tmp_path / "a").read_bytes() == model(array, 200)
+
+
 def test_many_counts_are_ranked_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(in_order, "MOST_COUNTS", 10)
     rows = points_frame(spark, synthetic(500)).withColumn("piece", F.lit(0).cast("long"))
     spectra = materialize(in_order.spectra_of(rows), "spectra")
     by = in_order.plan(in_order.summary_of(spectra), 90)
     assert sorted(r["record_index"] for r in in_order.pick_pieces(rows, spectra, by).collect()) == list(range(90))
+    assert in_order.rank_pieces(rows, spectra).count() == 500
 
 
 @pytest.fixture(scope="module")
@@ -335,6 +352,17 @@ def test_listed_previews(spark, many_previews, tmp_path):
     assert len(low) == (points.bin < 600).sum() and low.bin.max() < 600
 
 
+def test_crc_before_any_row(spark, preview, tmp_path):
+    assert api.decode(spark, str(preview), "first").count() == 700
+    data = preview.read_bytes()
+    (tmp_path / "bad").write_bytes(data[:-1] + bytes([data[-1] ^ 1]))
+    with pytest.raises(ValueError, match="checksum mismatch"):
+        api.records(spark, str(tmp_path / "bad"), "first")
+    (tmp_path / "worse").write_bytes(data[:90])
+    with pytest.raises(ValueError, match="bad: checksum mismatch"):  # the first by name
+        api.decode(spark, str(tmp_path), "first")
+
+
 def test_crc_by_small_splits(spark, many_previews):
     folder = many_previews[0]
     heads = materialize(listing.read_headers(listing.list_files(spark, str(folder)), files_each=2), "heads")
