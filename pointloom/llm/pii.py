@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import functools
 import hashlib
+import ipaddress
 import math
 import re
 import unicodedata
@@ -25,12 +26,16 @@ _EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?!
 _BOUND = r"(?!\w|[.-][0-9])"
 #: Nothing that a card might be made of on either side, so digits written like this aren't a part of one.
 _APART, _END = r"(?<![0-9][ -])", r"(?!\w|[ .-]?[0-9])"
+# The months' names; an abbreviation is the first three letters.
+_MONTHS = "January February March April May June July August September October November December".split()
+_MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in _MONTHS)
 #: Where a find may start: IBANs and cards by their head, as each of their lengths is tried.
 _START = re.compile(
     r"(?<![\w.])(?:"
     r"(?P<iban>[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})|[a-z]{2}[0-9]{2}(?= ?[a-z0-9]{4}))"
-    rf"|(?P<date>[0-9]{{4}}(?P<first>[./-])[0-9]{{1,2}}(?P=first)[0-9]{{1,2}}{_BOUND}|[0-9]{{1,2}}(?P<sep>[./-])[0-9]{{1,2}}(?P=sep)[0-9]{{4}}{_BOUND})"
-    rf"|(?P<ip>(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}{_BOUND})"
+    rf"|(?P<date>[0-9]{{4}}(?P<first>[./-])[0-9]{{1,2}}(?P=first)[0-9]{{1,2}}{_BOUND}|[0-9]{{1,2}}(?P<sep>[./-])[0-9]{{1,2}}(?P=sep)[0-9]{{4}}{_BOUND}"
+    rf"|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2}}(?![\w/]|[.-][0-9])|[0-9]{{1,2}} (?:{_MONTH}) [0-9]{{4}}{_BOUND}|(?:{_MONTH}) [0-9]{{1,2}}, [0-9]{{4}}{_BOUND})"
+    rf"|(?P<ip>(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}{_BOUND}|(?<!:)(?:[0-9a-fA-F]{{0,4}}:){{2,7}}[0-9a-fA-F]{{0,4}}(?![\w:]|[.-][0-9]))"
     rf"|(?P<ssn>[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_BOUND}|{_APART}[0-9]{{3}} [0-9]{{2}} [0-9]{{4}}{_END})"
     rf"|(?P<phone>(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{3}}\)[ .-]?|[0-9]{{3}}[.-])[0-9]{{3}}[.-][0-9]{{4}}{_BOUND}"
     rf"|{_APART}(?:\([2-9][0-9]{{2}}\) ?|[2-9][0-9]{{2}} )[2-9][0-9]{{2}} [0-9]{{4}}{_END}|{_APART}[2-9][0-9]{{2}}[2-9][0-9]{{6}}{_END}|\+[0-9](?:[ .-]?\(?[0-9]\)?){{7,14}}{_BOUND})"
@@ -48,7 +53,7 @@ _COUNTRY = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51
 LONG = 100
 #: Times that the values of finds which might be read otherwise are permuted on.
 _MOST_WALKS = 2000
-_DIGIT = re.compile("[0-9]")
+_DIGIT, _NUMBER = re.compile("[0-9]"), re.compile("[0-9]+")
 # The alphabets that stay within themselves.
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäçèéêëìíîïñòóôöùúûü", "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ")
 _PLACE = {c: (k, i) for k, letters in enumerate(_ALPHABETS) for i, c in enumerate(letters)}
@@ -184,6 +189,24 @@ def _iban(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _ip(text: str, key: bytes, back: bool) -> str | None:
+    """Of version 4 as a number; of version 6 the digits and the letters as they are written, each where they stand, so that
+    what is read beside an address stays."""
+    if ":" in text:
+        digits = text.replace(":", "")
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        if len(digits) < 2 or not _DIGIT.search(digits) or digits not in (digits.lower(), digits.upper()):
+            return None
+        letters = "ABCDEF" if digits != digits.lower() else "abcdef"
+        own = [("0123456789" if c.isdigit() else letters) for c in digits]
+        value = functools.reduce(lambda v, x: v * len(x[1]) + x[1].index(x[0]), zip(digits, own, strict=True), 0)
+        value, new = permute(value, math.prod(map(len, own)), key, "ip" + re.sub("[a-f]", "a", _DIGIT.sub("0", text.lower())), back), []
+        for signs in reversed(own):
+            value, i = divmod(value, len(signs))
+            new.append(signs[i])
+        return "".join(c if c == ":" else new.pop() for c in text)
     parts = text.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return None
@@ -227,23 +250,47 @@ def _date_kind(day: datetime.date) -> tuple[bool, bool, bool]:
     return day.day < 10, day.month < 10, day.day > 12
 
 
+def _written_date(text: str, key: bytes, back: bool) -> str | None:
+    """A month's name gets another of its length, so an abbreviation an abbreviation."""
+    name = re.search("[A-Z][a-z]+", text).group()
+    day, year = _NUMBER.findall(text)
+    names = [m[: len(name)] if len(name) == 3 else m for m in _MONTHS]
+    try:
+        old = datetime.date(int(year), names.index(name) + 1, int(day))
+    except ValueError:
+        return None
+    if len(day) != len(str(old.day)) or not _FIRST_DAY <= old.toordinal() <= _LAST_DAY:
+        return None
+    new = _other_day(old, key, "date", back, lambda d: len(names[d.month - 1]) == len(name))
+    it = iter((str(new.day), str(new.year)))
+    return _NUMBER.sub(lambda _: next(it), text.replace(name, names[new.month - 1]))
+
+
+def _other_day(old: datetime.date, key: bytes, tweak: str, back: bool, like: Callable[[datetime.date], bool] = lambda _: True) -> datetime.date:
+    of, kind = lambda v: datetime.date.fromordinal(_FIRST_DAY + v), _date_kind(old)
+    return of(permute(old.toordinal() - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, key, tweak, back, lambda v: _date_kind(of(v)) == kind and like(of(v))))
+
+
 def _date(text: str, key: bytes, back: bool) -> str | None:
-    """Year first, or day first, or month first where the second number can only be a day."""
+    """Year first, or day first, or month first where the second number can only be a day. Two digits of a year are of this
+    century, and stay so."""
+    if re.search("[A-Z]", text):
+        return _written_date(text, key, back)
     a, b, c = re.split("[-./]", text)
     orders = ((a, b, c),) if len(a) == 4 else ((c, b, a), (c, a, b))
+    short = len(a) < 4 and len(c) == 2
     for number, order in enumerate(orders):
         try:
-            old = datetime.date(*map(int, order))
+            old = datetime.date(int(order[0]) + 2000 * short, *map(int, order[1:]))
         except ValueError:
             continue
         if not _FIRST_DAY <= old.toordinal() <= _LAST_DAY:
             return None
-        kind = _date_kind(old)
-        of = lambda v: datetime.date.fromordinal(_FIRST_DAY + v)
-        new = of(permute(old.toordinal() - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, key, "date", back, lambda v: _date_kind(of(v)) == kind))
-        parts = [new.year, new.month, new.day] if len(a) == 4 else [new.day, new.month, new.year] if number == 0 else [new.month, new.day, new.year]
+        new = _other_day(old, key, "date of two digits" if short else "date", back, lambda d: d.year >= 2000 * short)
+        year = new.year % 100 if short else new.year
+        parts = [new.year, new.month, new.day] if len(a) == 4 else [new.day, new.month, year] if number == 0 else [new.month, new.day, year]
         it = iter(f"{p:0{len(x)}d}" for p, x in zip(parts, (a, b, c), strict=True))
-        return re.sub("[0-9]+", lambda _: next(it), text)
+        return _NUMBER.sub(lambda _: next(it), text)
     return None
 
 
@@ -356,7 +403,7 @@ def pseudonymize_text(text: str, key: bytes, back: bool = False) -> tuple[str, d
 
 
 def pseudonymize(docs: DataFrame, key: bytes, back: bool = False, example: bool = False) -> DataFrame:
-    """doc_id, text, and n_<kind> for each kind of find: cards that pass Luhn, IBANs that pass mod 97, IPv4 addresses,
+    """doc_id, text, and n_<kind> for each kind of find: cards that pass Luhn, IBANs that pass mod 97, IP addresses,
     US social security numbers, ten-digit phone numbers and those with a country's code, calendar dates of 1900 to 2099,
     and e-mail addresses. Ten digits without signs are a phone number if area and exchange begin with 2 to 9.
 
