@@ -1,4 +1,4 @@
-"""Command line: encode, decode and inspect."""
+"""Command line: encode, decode, inspect, sample and check."""
 
 from __future__ import annotations
 
@@ -21,13 +21,31 @@ def main(argv: list[str] | None = None) -> int:
     decode.add_argument("input")
     decode.add_argument("output")
     verbs.add_parser("inspect", help="print a preview's header as JSON").add_argument("input")
+    sample = verbs.add_parser("sample", help="write evenly spaced points of a point file as another")
+    sample.add_argument("input")
+    sample.add_argument("output")
+    sample.add_argument("--max-points", type=int, default=DEFAULT_MAX_POINTS)
+    verbs.add_parser("check", help="say what is wrong with the previews below a folder; exit code 1 if anything is").add_argument("input")
     args = parser.parse_args(argv)
     if args.verb == "inspect":
         print(api.inspect_json(args.input))
         return 0
     spark = SparkSession.builder.appName("pointloom").getOrCreate()
     if args.verb == "encode":
-        api.encode(api.read_pos(spark, args.input), args.output, args.max_points)
+        api.encode_pos(spark, args.input, args.output, args.max_points)
+    elif args.verb == "sample":
+        api.write_pos(api.sample_pos(spark, args.input, args.max_points), args.output, "sample_index")
+    elif args.verb == "check":
+        return _check(spark, args.input)
     else:
-        api.write_pos(api.decode(spark, args.input), args.output, "record_index")
+        api.write_pos(api.decode(spark, args.input, "first"), args.output, "record_index")
     return 0
+
+
+def _check(spark: SparkSession, folder: str) -> int:
+    """A line for each preview with a problem, a part of them at a time."""
+    wrong = False
+    for row in api.checked_previews(spark, folder).where("problem is not null").select("path", "problem").toLocalIterator():
+        print(f"{row['path']}: {row['problem']}")
+        wrong = True
+    return int(wrong)

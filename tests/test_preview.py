@@ -335,6 +335,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["inspect", str(tmp_path / "o" / "a.preview")]) == 0
     shown = json.loads(capsys.readouterr().out)
     assert shown["payload_crc32"] == "b74e03a4" and shown["container_version"] == "1.0" and shown["algorithm_version"] == "1.0.0"
+    assert main(["sample", str(tmp_path / "a.pos"), str(tmp_path / "c.pos"), "--max-points", "2"]) == 0
+    assert np.fromfile(tmp_path / "c.pos", ">f4").reshape(-1, 4).tolist() == np.array([TEN[2], TEN[7]], np.float32).tolist()
+    assert main(["check", str(tmp_path / "o")]) == 0 and capsys.readouterr().out == ""
+    (tmp_path / "o" / "b.preview").write_bytes(model(TEN, 4)[:-1])
+    assert main(["check", str(tmp_path / "o")]) == 1 and capsys.readouterr().out.endswith("b.preview: invalid section offsets or file size\n")
     with pytest.raises(SystemExit) as stopped:
         main(["encode", "only one"])
     assert stopped.value.code == 2
