@@ -26,8 +26,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Asks Spark to remove a query's shuffle files when it ends, rather than when the driver happens to collect its garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the scratch folder and read it again, which cuts the lineage."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write df as Parquet to the scratch folder and read it again, which cuts the lineage. What was shuffled for it goes."""
+    conf, path = df.sparkSession.conf, scratch_path(df.sparkSession, name)
+    before = conf.get(_CLEAN_UP) if conf.isModifiable(_CLEAN_UP) else None
+    if before is not None:
+        conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            conf.set(_CLEAN_UP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
