@@ -235,11 +235,13 @@ class Written(WriterCommitMessage):
     count: int
     crc: int
     path: str
+    ends: tuple[bytes, bytes] = (b"", b"")  # some of its first and last bytes
 
 
 class PreviewWriter(DataSourceArrowWriter):
     """Each record's place in the file follows from its record_index, so on a file system that writes at an offset tasks write
-    their records where they belong, in a file beside the target; commit writes the 48 KB before them and renames it. On other
+    their records where they belong, in a file beside the target; commit writes the 48 KB before them, looks whether each
+    task's first and last bytes are there, as they aren't on machines with disks of their own, and renames it. On other
     stores tasks write part files, which commit puts together. Either way the CRC is joined from those of the tasks, and no
     record is read again. A task's records follow each other, as after a sort by record_index.
 
@@ -271,6 +273,7 @@ class PreviewWriter(DataSourceArrowWriter):
                     store, inner = files.opened(part.path)
                     out = store.open_output_stream(inner)
                 out.write(data)
+                part.ends = (part.ends[0] or data[:64], data[-64:])
                 part.crc, part.count = zlib.crc32(data, part.crc), part.count + len(index)
         finally:
             if out:
@@ -289,8 +292,14 @@ class PreviewWriter(DataSourceArrowWriter):
         if not self.target:
             files.join_parts([p.path for p in parts], self.path, head)
             return
-        with os.fdopen(os.open(self.target, os.O_CREAT | os.O_WRONLY, 0o644), "wb") as out:
+        with os.fdopen(os.open(self.target, os.O_CREAT | os.O_RDWR, 0o644), "r+b") as out:
             out.write(head)
+            for part in parts:
+                begin = C.RECORDS_OFFSET + C.RECORD_SIZE * part.first
+                for own, at in ((part.ends[0], begin), (part.ends[1], begin + C.RECORD_SIZE * part.count - len(part.ends[1]))):
+                    out.seek(at)
+                    if out.read(len(own)) != own:
+                        raise ValueError(f"{self.path} must be in a folder that driver and executors share")
         os.replace(self.target, files.opened(self.path)[1])
 
     def abort(self, parts: list[Written | None]) -> None:

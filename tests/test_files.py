@@ -279,6 +279,11 @@ def test_writer_places_records(tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="missing"):
         writer.commit([Written(0, 2, 0, ""), Written(3, 3, 0, "")])
     writer.abort([None])
+    elsewhere = writer.write(iter([batch(2, 6)]))
+    os.remove(writer.target)  # as if it had been written on another machine
+    with pytest.raises(ValueError, match="share"):
+        writer.commit([writer.write(iter([batch(0, 2)])), elsewhere])
+    writer.abort([elsewhere])
     assert os.listdir(tmp_path) == ["out"]
 
 
