@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .common import HOT_GROUPS, materialize
 from .words import planes, runs, unplanes
 
 #: Bytes of text of one chunk; larger ones send less, as a chunk sends a window's hash once.
@@ -21,6 +22,8 @@ BUCKET = 24 << 20
 #: Buckets that one chunk, or one bucket, is dealt over at most. More are reached by dealing a second time, so what a
 #: row holds doesn't shrink as the input grows.
 FANOUT = 2048
+#: Bytes of places that are broadcast at most, of ids that very many rows share.
+BROADCAST_BYTES = 32 << 20
 #: What stands for a null doc_id: before all others.
 NULL_ID = -(2**63)
 
@@ -193,10 +196,23 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     A null text has no words. Texts of fewer words than a window lose nothing; texts of any length are read whole. Rows
     that share a doc_id count as one document: a word goes if a repeated window covers it in any of them, and a row
     doesn't repeat its own copy. A null doc_id comes before all others. An empty table gives an empty one. Other columns
-    are ignored."""
+    are ignored.
+
+    Ids that very many rows share, as a null one may be, are met by broadcast if what is found of them is within
+    BROADCAST_BYTES; their texts don't move then. Other texts move once, to meet their places."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = find_repeats(rows, window).withColumnRenamed("doc_id", "__id")
-    return rows.join(found, rows["doc_id"].eqNullSafe(found["__id"]), "left").drop("__id")
+    found = materialize(find_repeats(rows, window).withColumnRenamed("doc_id", "__id"), "repeats")
+    same = lambda table: rows["doc_id"].eqNullSafe(table["__id"])
+    counts = rows.groupBy("doc_id").count()
+    total = rows.count()
+    shared = materialize(counts.where(F.col("count") > max(1, total // HOT_GROUPS)).select(F.col("doc_id").alias("__hot")), "shared")  # below HOT_GROUPS rows
+    hot = found.join(F.broadcast(shared), found["__id"].eqNullSafe(shared["__hot"]), "right").select(F.col("__hot").alias("__id"), "places")
+    hot = materialize(hot, "hot")
+    if (hot.agg(F.sum(F.octet_length("places"))).first()[0] or 0) > BROADCAST_BYTES or not hot.count():
+        return rows.join(found, same(found), "left").drop("__id")
+    met = rows.join(F.broadcast(hot), same(hot)).drop("__id")
+    others = rows.join(F.broadcast(hot.select("__id")), same(hot), "left_anti")
+    return met.unionByName(others.join(found, others["doc_id"].eqNullSafe(found["__id"]), "left").drop("__id"))
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.llm import common, lm_scoring, ngram_join, packing, pii, secret_scan, sharding
+from pointloom.llm import common, lm_scoring, ngram_join, packing, pii, secret_scan, sharding, substring_dedup
 from pointloom.llm.common import materialize
 
 from . import brute
@@ -100,6 +100,18 @@ def test_long_texts_are_dealt_over_more_blocks(spark):
     assert pairs.count() == 200 * 199 // 2
 
 
+def test_repeats_of_rows_that_share_an_id(make, plain_plans, monkeypatch):
+    """A third of the rows have no id; by broadcast and by a shuffle join the same goes."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(None if d % 3 == 0 else d, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(15)), *([passage] if d % 4 == 0 else []), "end"])) for d in range(300)]
+    found = []
+    for most in (32 << 20, -1):
+        monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", most)
+        found.append(collections.Counter(tuple(r) for r in substring_dedup.digest_cuts(substring_dedup.remove_repeats(make(rows)), 20).collect()))
+    assert found[0] == found[1] and sum(found[0].values()) == 300 and sum(n * r[2] for r, n in found[0].items()) > 0
+
+
 def test_scores_do_not_depend_on_partitions(spark, make):
     rng = np.random.default_rng(8)
     rows = [(d, " ".join(f"w{min(int(rng.pareto(1) * 5), 4000)}" for _ in range(80))) for d in range(200)]
