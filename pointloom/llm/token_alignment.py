@@ -9,7 +9,6 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +20,12 @@ from .common import materialize
 
 #: Bytes of text that are aligned at once and whose pair counts travel together; a longer text is a chunk of its own.
 CHUNK_BYTES = 3 << 20
-#: Windows of one generation that a Python worker remembers; two generations are kept, some 40 MB.
-MOST_WINDOWS = 50_000
+#: Windows of one generation that a Python worker remembers, of those that a chunk has more than once; two generations are kept, some 20 MB.
+MOST_WINDOWS = 25_000
+#: Ids of the largest window that is remembered. A text without spaces is one window; many of them would fill a worker.
+MOST_IDS = 64
+#: Windows that are worked out at once, some 10 MB.
+BLOCK_WINDOWS = 1 << 14
 
 # A run of white space that the ranks' library can't cut, as its regular expression goes too deep.
 _LONG_SPACE = re.compile(r"\s{20000}")
@@ -38,19 +41,23 @@ class Side:
     """One tokenizer: from a text to its ids, and each id's bytes."""
 
     def __init__(self, encode: Callable[[str], list[int]], entries: list[bytes | None]):
-        self.encode, self.entries = encode, entries
+        self.encode, self.entries = encode, np.array([*entries, None], object)[:-1]
         self.sizes = np.array([len(e or b"") for e in entries], np.int64)
         self.marked = np.array([bool(e) and e[:1] == b" " for e in entries])
-        self.shown = [str(i) for i in range(len(entries))]
+        # decimal digits of each id, and how many they are
+        shown = np.arange(len(entries)).astype(bytes)
+        self.digits, self.widths = shown.view(np.uint8).reshape(len(entries), -1), np.char.str_len(shown)
+        width = int(self.widths.max(initial=1))
+        self.digits = self.digits[:, :width].copy()
 
     def ids(self, text: str, whole: bytes) -> np.ndarray | None:
         """None where the tokens' bytes aren't whole, or a token has none."""
-        found = self.encode(text)
+        found = np.array(self.encode(text), np.int32)
         try:
-            joined = b"".join(map(self.entries.__getitem__, found))
+            joined = b"".join(self.entries[found].tolist())
         except TypeError:
             return None
-        return np.array(found, np.int64) if joined == whole else None
+        return found if joined == whole else None
 
 
 def byte_level(path: str, before: str) -> Side:
@@ -131,7 +138,7 @@ class Memo:
             values[i] = value
         if len(self.new) + len(lacking) > MOST_WINDOWS:
             self.new, self.old = {}, self.new
-        self.new.update((keys[i], values[i]) for i in lacking[:MOST_WINDOWS])
+        self.new.update((keys[i], values[i]) for i in lacking[:MOST_WINDOWS] if len(keys[i][0]) + len(keys[i][1]) <= 4 * MOST_IDS)
         return values
 
 
@@ -141,39 +148,54 @@ def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
 
 
-def align_windows(a: Side, b: Side, windows: list[tuple[bytes, bytes]]) -> list[tuple[str, int, bytes]]:
-    """Of each window, ids of A and of B over the same bytes: its groups as text, how many they are, and the linked
-    pairs of ids, A's shifted by 32 bits, in the order of A's tokens, as 64-bit numbers. All windows are laid end to end
-    and done at once."""
-    ids_a, ids_b = (np.frombuffer(b"".join([w[k] for w in windows]), "<u4").astype(np.int64) for k in (0, 1))
+def align_windows(a: Side, b: Side, ids_a: np.ndarray, ids_b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window, ids of A and of B over the same bytes: its groups as text, how many they are, how many links it has,
+    and of all windows the linked pairs of ids, A's shifted by 32 bits, in the order of A's tokens, as 64-bit numbers. The
+    windows come laid end to end, with the places behind each one's last ids, and are done at once."""
+    ids_a, ids_b = ids_a.astype(np.int64), ids_b.astype(np.int64)
     ends_a, ends_b = np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b])
-    last_a, last_b = (np.cumsum([len(w[k]) // 4 for w in windows]) for k in (0, 1))
     # groups end where tokens of both end
     shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
     group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
     in_a, in_b = np.bincount(group_a, minlength=len(shared)), np.bincount(group_b, minlength=len(shared))
     place_a = np.arange(len(ids_a)) + np.concatenate([[0], np.cumsum(in_b)])[group_a]
     place_b = np.arange(len(ids_b)) + np.cumsum(in_a)[group_b]
-    shown = [""] * (len(ids_a) + len(ids_b))
+    # each token is a row of its digits and the sign behind them
+    shown = np.zeros((len(ids_a) + len(ids_b), max(a.digits.shape[1], b.digits.shape[1]) + 1), np.uint8)
+    widths = np.empty(len(shown), np.int64)
     for place, ids, side in ((place_a, ids_a, a), (place_b, ids_b, b)):
-        for at, i in zip(place.tolist(), ids.tolist(), strict=True):
-            shown[at] = side.shown[i]
+        shown[place, : side.digits.shape[1]], widths[place] = side.digits[ids], side.widths[ids]
     signs = np.full(len(shown), ord(","), np.uint8)
     signs[place_a[np.cumsum(in_a) - 1]], signs[place_b[np.cumsum(in_b) - 1]] = ord("|"), ord(";")
     signs[place_b[last_b - 1]] = ord("\n")
-    texts = "".join(chain.from_iterable(zip(shown, signs.tobytes().decode("ascii"), strict=True))).split("\n")
+    shown[np.arange(len(shown)), widths] = signs
+    texts = shown[np.arange(shown.shape[1]) <= widths[:, None]].tobytes().split(b"\n")[:-1]
     groups = np.diff(np.concatenate([[0], group_b[last_b - 1] + 1]))
     # a token of A is linked with B's from the one that holds its first byte to the one that holds its last
     low = np.searchsorted(ends_b, ends_a - a.sizes[ids_a], "right")
     links = np.searchsorted(ends_b, ends_a, "left") - low + 1
-    pairs = (np.repeat(ids_a << 32, links) | ids_b[_spread(low, links)]).astype("<i8").tobytes()
-    cuts = [0, *(8 * np.cumsum(links)[last_a - 1]).tolist()]
-    return [(text, n, pairs[i:j]) for text, n, i, j in zip(texts, groups.tolist(), cuts, cuts[1:], strict=False)]
+    pairs = np.repeat(ids_a << 32, links) | ids_b[_spread(low, links)]
+    return texts, groups, np.diff(np.concatenate([[0], np.cumsum(links)[last_a - 1]])), pairs
+
+
+def align_keys(a: Side, b: Side, keys: list[tuple[bytes, bytes]]) -> list[tuple[bytes, int, bytes]]:
+    """Of each window, by its ids as bytes: its groups as text, how many they are, and its linked pairs as bytes."""
+    out = []
+    for block in (keys[i : i + BLOCK_WINDOWS] for i in range(0, len(keys), BLOCK_WINDOWS)):
+        ids = [np.frombuffer(b"".join([key[k] for key in block]), np.int32) for k in (0, 1)]
+        last = [np.cumsum([len(key[k]) // 4 for key in block]) for k in (0, 1)]
+        texts, groups, n_links, pairs = align_windows(a, b, *ids, *last)
+        cuts, pairs = [0, *(8 * np.cumsum(n_links)).tolist()], pairs.tobytes()
+        out += [(text, n, pairs[i:j]) for text, n, i, j in zip(texts, groups.tolist(), cuts, cuts[1:], strict=False)]
+    return out
 
 
 def _same(ids: np.ndarray, first: np.ndarray, size: np.ndarray, like: np.ndarray) -> bool:
     """Whether each window's ids are those of the window it is like."""
-    return bool((size == size[like]).all()) and bool((ids[_spread(first[like], size)] == ids).all())
+    if (size != size[like]).any():
+        return False
+    blocks = (slice(i, i + 4 * BLOCK_WINDOWS) for i in range(0, len(first), 4 * BLOCK_WINDOWS))
+    return all((ids[_spread(first[like[x]], size[x])] == ids[first[x][0] : first[x][-1] + size[x][-1]]).all() for x in blocks)
 
 
 def distinct_windows(ids_a: np.ndarray, ids_b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,8 +204,13 @@ def distinct_windows(ids_a: np.ndarray, ids_b: np.ndarray, first_a: np.ndarray,
     size_a, size_b = np.diff(np.append(first_a, len(ids_a))), np.diff(np.append(first_b, len(ids_b)))
     key = np.zeros(len(first_a), np.uint64)
     for ids, first, size, odd in ((ids_a, first_a, size_a, 0x9E3779B97F4A7C15), (ids_b, first_b, size_b, 0xC2B2AE3D27D4EB4F)):
-        at = np.arange(len(ids)) - np.repeat(first, size)
-        key = words.mix((key ^ np.add.reduceat(words.mix((ids | at << 20).astype(np.uint64)), first)) * np.uint64(odd))
+        sums = []
+        for i in range(0, len(first), 4 * BLOCK_WINDOWS):
+            some = size[i : i + 4 * BLOCK_WINDOWS]
+            own, begin = ids[first[i] : first[i] + some.sum()], np.cumsum(some) - some
+            at = np.arange(len(own)) - np.repeat(begin, some)
+            sums.append(np.add.reduceat(words.mix((own | at << 20).astype(np.uint64)), begin))
+        key = words.mix((key ^ np.concatenate(sums)) * np.uint64(odd))
     _, place, number = np.unique(key, return_index=True, return_inverse=True)
     if _same(ids_a, first_a, size_a, place[number]) and _same(ids_b, first_b, size_b, place[number]):
         return place, number
@@ -192,50 +219,68 @@ def distinct_windows(ids_a: np.ndarray, ids_b: np.ndarray, first_a: np.ndarray,
     return np.unique(number, return_index=True)[1], number
 
 
+def window_firsts(a: Side, b: Side, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of each window's first ids."""
+    begin_a, begin_b = (np.cumsum(s.sizes[ids]) - s.sizes[ids] for s, ids in ((a, ids_a), (b, ids_b)))
+    # anchors: both start a token with a space, so both end one before it; texts start with one
+    anchors = np.intersect1d(begin_a[a.marked[ids_a]], begin_b[b.marked[ids_b]], assume_unique=True)
+    return np.searchsorted(begin_a, anchors), np.searchsorted(begin_b, anchors)
+
+
+def align_places(a: Side, b: Side, ids_a: np.ndarray, ids_b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray, place: np.ndarray, again: int, memo: Memo) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """What align_windows gives of the windows at the given places. The first of them, so many as come again in the chunk,
+    are looked for in the memo; the rest, of which most come nowhere else, are worked out as they lie, block by block."""
+    ends_a, ends_b = np.append(first_a, len(ids_a)), np.append(first_b, len(ids_b))
+    known, cuts = place[:again], lambda ends, ids: [ids[i:j].tobytes() for i, j in zip(ends[known].tolist(), ends[known + 1].tolist(), strict=True)]
+    values = memo.look(list(zip(cuts(ends_a, ids_a), cuts(ends_b, ids_b), strict=True)), lambda unknown: align_keys(a, b, unknown))
+    shown = [v[0] for v in values]
+    groups, n_links = [np.array([v[1] for v in values], np.int64)], [np.array([len(v[2]) // 8 for v in values], np.int64)]
+    links = [np.frombuffer(b"".join([v[2] for v in values]), np.int64)]
+    for i in range(again, len(place), BLOCK_WINDOWS):
+        some = place[i : i + BLOCK_WINDOWS]
+        size_a, size_b = ends_a[some + 1] - ends_a[some], ends_b[some + 1] - ends_b[some]
+        own = align_windows(a, b, ids_a[_spread(ends_a[some], size_a)], ids_b[_spread(ends_b[some], size_b)], np.cumsum(size_a), np.cumsum(size_b))
+        shown += own[0]
+        for all_, x in zip((groups, n_links, links), own[1:], strict=True):
+            all_.append(x)
+    return shown, *map(np.concatenate, (groups, n_links, links))
+
+
 def align_chunk(texts: list[bytes], a: Side, b: Side, memo: Memo) -> dict:
     """The alignment of a chunk of texts; see _COLUMNS."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    none = np.zeros(0, np.int64)
+    none, no_ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
     for text in texts:
         plain = text.decode(errors="replace")
         ids_a = a.ids(plain, b" " + text) if text else None
         ids_b = b.ids(plain, b" " + text) if ids_a is not None else None
-        found.append((none, none) if ids_b is None else (ids_a, ids_b))
+        found.append((no_ids, no_ids) if ids_b is None else (ids_a, ids_b))
     n_a, n_b = (np.array([len(x[k]) for x in found], np.int64) for k in (0, 1))
-    ids_a, ids_b = (np.concatenate([none, *[x[k] for x in found]]) for k in (0, 1))
+    ids_a, ids_b = (np.concatenate([no_ids, *[x[k] for x in found]]) for k in (0, 1))
+    del found
     out = {"n_a": n_a, "n_b": n_b, "n_groups": np.zeros(len(texts), np.int64), "n_links": np.zeros(len(texts), np.int64), "groups_sha256": [""] * len(texts)}
     out |= {"n_windows": out["n_links"], "windows": b"", "window_links": b"", "links": b"", "pairs": none, "counts": none}
     if not len(ids_a):
         return out
-    begin_a, begin_b = (np.cumsum(s.sizes[ids]) - s.sizes[ids] for s, ids in ((a, ids_a), (b, ids_b)))
-    # anchors: both start a token with a space, so both end one before it; texts start with one
-    anchors = np.intersect1d(begin_a[a.marked[ids_a]], begin_b[b.marked[ids_b]], assume_unique=True)
-    first_a, first_b = np.searchsorted(begin_a, anchors), np.searchsorted(begin_b, anchors)
+    first_a, first_b = window_firsts(a, b, ids_a, ids_b)
     place, number = distinct_windows(ids_a, ids_b, first_a, first_b)
-    ends_a, ends_b = np.append(first_a, len(ids_a)), np.append(first_b, len(ids_b))
-    bytes_a, bytes_b = ids_a.astype("<u4").tobytes(), ids_b.astype("<u4").tobytes()
-    cuts = [(4 * x).tolist() for x in (ends_a[place], ends_a[place + 1], ends_b[place], ends_b[place + 1])]
-    keys = [(bytes_a[i:j], bytes_b[k:m]) for i, j, k, m in zip(*cuts, strict=True)]
-    values = memo.look(keys, lambda unknown: align_windows(a, b, unknown))
-    shown, groups, links = zip(*values, strict=True)
-    n_links = np.array([len(x) // 8 for x in links])
-    pairs, which = np.unique(np.frombuffer(b"".join(links), "<i8"), return_inverse=True)
-    times = np.bincount(number, minlength=len(values))
+    # frequent windows get low numbers, whose high bytes are zero and compress away
+    times = np.bincount(number, minlength=len(place))
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    place, number, times = place[order], rank[number], times[order]
+    shown, groups, n_links, links = align_places(a, b, ids_a, ids_b, first_a, first_b, place, int((times > 1).sum()), memo)
+    pairs, which = np.unique(links, return_inverse=True)
     out["pairs"], out["counts"] = pairs, np.bincount(which, weights=np.repeat(times, n_links)).astype(np.int64)
     # windows of each text: those that begin before its last token
     last = np.searchsorted(first_a, np.cumsum(n_a), "left")
     first = np.concatenate([[0], last[:-1]])
     sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], last])])
-    out["n_windows"], out["n_groups"], out["n_links"] = last - first, sums(np.array(groups)[number]), sums(n_links[number])
-    numbers = number.tolist()
-    out["groups_sha256"] = [hashlib.sha256(";".join([shown[k] for k in numbers[i:j]]).encode("ascii")).hexdigest() if j > i else "" for i, j in zip(first.tolist(), last.tolist(), strict=True)]
-    # frequent windows get low numbers, whose high bytes are zero and compress away
-    order = np.argsort(-times, kind="stable")
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    out["windows"] = words.planes(rank[number])
-    out["window_links"] = words.planes(n_links[order])
-    out["links"] = words.planes(which[_spread((np.cumsum(n_links) - n_links)[order], n_links[order])])
+    out["n_windows"], out["n_groups"], out["n_links"] = last - first, sums(groups[number]), sums(n_links[number])
+    joined = lambda i, j: b";".join([shown[k] for k in number[i:j].tolist()])
+    out["groups_sha256"] = [hashlib.sha256(joined(i, j)).hexdigest() if j > i else "" for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+    out["windows"], out["window_links"], out["links"] = words.planes(number), words.planes(n_links), words.planes(which)
     return out
 
 
@@ -255,6 +300,8 @@ def align_chunks(docs: DataFrame, a: str, b: str, folder: str | None) -> DataFra
         for number, (batch, texts) in enumerate(words.chunks(batches, limit=CHUNK_BYTES)):
             row = {"chunk": part << 32 | number, "doc_id": batch.column("doc_id")} | align_chunk(texts, left, right, memo)
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in ((row[f.name], f) for f in _ARROW)], schema=_ARROW)
+            del batch, texts, row
+            words.give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, _COLUMNS)
 

@@ -6,6 +6,7 @@ import heapq
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -243,6 +244,49 @@ def test_memo_forgets_and_works_out_again(monkeypatch, sides):
     assert len(memo.new) <= 10
 
 
+def test_windows_in_small_blocks(monkeypatch, sides):
+    rng = random.Random(5)
+    signs = ["the", "ing", " ", " ", "  ", "\n", "é", "😀", "1234", "...", "<s>", " and thing", "'s"]
+    rows = [(i, "".join(rng.choices(signs, k=40))) for i in range(40)]
+    texts, figures = [t.encode() for _, t in rows], ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+    want = token_alignment.align_chunk(texts, *sides, token_alignment.Memo())
+    assert list(zip(*[list(want[c]) for c in figures], strict=True)) == [(*w[1:5], w[7]) for w in plain_alignment(rows)]
+    monkeypatch.setattr(token_alignment, "BLOCK_WINDOWS", 3)
+    monkeypatch.setattr(token_alignment, "MOST_WINDOWS", 7)
+    memo = token_alignment.Memo()
+    for _ in range(2):  # with an empty memo and with one that holds some windows
+        got = token_alignment.align_chunk(texts, *sides, memo)
+        assert all(list(got[c]) == list(want[c]) for c in want)
+    assert 0 < len(memo.new) <= 14
+
+
+def test_long_windows_are_not_remembered(sides):
+    """Texts without spaces that come twice, chunk after chunk."""
+    memo, texts = token_alignment.Memo(), ["".join(random.Random(i).choices("天地玄黄宇宙洪荒", k=400)).encode() for i in range(5)]
+    for text in texts:
+        got = token_alignment.align_chunk([text, b"one two", text, b"one two"], *sides, memo)
+        want = plain_alignment([(0, text.decode())])[0]
+        assert (got["n_a"][2], got["n_b"][2], got["n_groups"][2], got["n_links"][2], got["groups_sha256"][2]) == (*want[1:5], want[7])
+    assert 0 < len(memo.new) <= 2
+
+
+def test_memory_of_a_chunk(sides):
+    """What a Python worker needs beside its tokenizers for a full chunk of which most windows come once."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 7)))
+    texts, memo = [], token_alignment.Memo()
+    while sum(map(len, texts)) < token_alignment.CHUNK_BYTES:
+        texts.append(" ".join(word() for _ in range(2000)).encode())
+    tracemalloc.start()
+    try:
+        found = token_alignment.align_chunk(texts, *sides, memo)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found["n_groups"].sum() > 400_000
+    assert most < 250 << 20
+
+
 # conversation repair
 
 
