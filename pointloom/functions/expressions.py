@@ -54,10 +54,10 @@ def pick_number(rank: Column, count: Column, take: Column) -> Column:
     return F.when(take > 0, hit)
 
 
-def format_bytes(size: Column) -> Column:
-    """A size for people: B as it is, then KB, MB, GB with two decimals below ten and one from there."""
+def format_bytes(size: Column, units: tuple[str, ...] = ("KB", "MB", "GB")) -> Column:
+    """A size for people: B as it is, then KB, MB, GB with two decimals below ten and one from there. The last of units goes on without end."""
     out = F.concat(size.cast("string"), F.lit(" B"))
-    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
+    for power, unit in enumerate(units, 1):
         value = size.cast("double") / F.lit(float(1024**power))
         text = F.when(value >= 10, F.format_string("%.1f", value)).otherwise(F.format_string("%.2f", value))
         out = F.when(size >= 1024**power, F.concat(text, F.lit(f" {unit}"))).otherwise(out)
