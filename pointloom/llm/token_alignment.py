@@ -26,6 +26,12 @@ MOST_WINDOWS = 25_000
 MOST_IDS = 64
 #: Windows that are worked out at once, some 10 MB.
 BLOCK_WINDOWS = 1 << 14
+#: Bytes of a chunk's packed numbers in one row. Parquet's writer looks at its page only after 100 rows and its reader takes 4,096 at once, so rows of megabytes
+#: would take the JVM many times as much.
+PART_BYTES = 1 << 14
+#: While texts are read: rows that the reader holds, and bytes that go to a Python worker, at once. Spark's own sizes, some 16 MB and 64 MB, take the JVM several times as
+#: much beside its heap, and the worker keeps such a batch while it aligns its chunks.
+READING = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 * CHUNK_BYTES)}
 
 # A run of white space that the ranks' library can't cut, as its regular expression goes too deep.
 _LONG_SPACE = re.compile(r"\s{20000}")
@@ -284,14 +290,34 @@ def align_chunk(texts: list[bytes], a: Side, b: Side, memo: Memo) -> dict:
     return out
 
 
-_COLUMNS = """chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>,
-n_windows array<long>, windows binary, window_links binary, links binary, pairs array<long>, counts array<long>"""
+_COLUMNS = """chunk long, part int, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>,
+n_windows array<long>, pairs array<long>, counts array<long>, packed binary"""
+_PACKED = ["windows", "window_links", "links"]
 _PER_DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+def pack(texts: list[bytes]) -> bytes:
+    """Their sizes, and all of them compressed."""
+    return np.array([len(t) for t in texts], "<i8").tobytes() + pa.Codec("zstd", compression_level=1).compress(b"".join(texts), asbytes=True)
+
+
+def unpack(data: bytes, n: int) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(data, "<i8", n)).tolist()
+    whole = pa.Codec("zstd").decompress(memoryview(data)[8 * n :], ends[-1], asbytes=True)
+    return [whole[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def chunk_rows(row: dict) -> pa.RecordBatch:
+    """A chunk's rows: the first has all columns, those below it only what is packed beyond PART_BYTES."""
+    data = pack([row[c] for c in _PACKED])
+    parts = [data[i : i + PART_BYTES] for i in range(0, len(data), PART_BYTES)]
+    columns = {"chunk": [row["chunk"]] * len(parts), "part": range(len(parts)), "packed": parts}
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [row.get(f.name)] + [None] * (len(parts) - 1)), f.type) for f in _ARROW], schema=_ARROW)
+
+
 def align_chunks(docs: DataFrame, a: str, b: str, folder: str | None) -> DataFrame:
-    """One row for a chunk of documents: their figures, the windows that each has by number, the links of each of the
-    chunk's windows by number, and the linked pairs of ids, each once with its count in the chunk."""
+    """A chunk of documents, in rows of bounded size: their figures, the linked pairs of ids, each once with its count in the
+    chunk, and, packed, the windows that each document has by number and the links of each of the chunk's windows by number."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -299,7 +325,7 @@ def align_chunks(docs: DataFrame, a: str, b: str, folder: str | None) -> DataFra
         left, right, memo, part = load(a, folder), load(b, folder), Memo(), TaskContext.get().partitionId()
         for number, (batch, texts) in enumerate(words.chunks(batches, limit=CHUNK_BYTES)):
             row = {"chunk": part << 32 | number, "doc_id": batch.column("doc_id")} | align_chunk(texts, left, right, memo)
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in ((row[f.name], f) for f in _ARROW)], schema=_ARROW)
+            yield chunk_rows(row)
             del batch, texts, row
             words.give_back()
 
@@ -307,11 +333,11 @@ def align_chunks(docs: DataFrame, a: str, b: str, folder: str | None) -> DataFra
 
 
 _ARROW = pa.schema(
-    [("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64()))]
+    [("chunk", pa.int64()), ("part", pa.int32()), ("doc_id", pa.list_(pa.int64()))]
     + [(c, pa.list_(pa.int64())) for c in ("n_a", "n_b", "n_groups", "n_links")]
-    + [("groups_sha256", pa.list_(pa.string())), ("n_windows", pa.list_(pa.int64()))]
-    + [(c, pa.binary()) for c in ("windows", "window_links", "links")]
-    + [(c, pa.list_(pa.int64())) for c in ("pairs", "counts")]
+    + [("groups_sha256", pa.list_(pa.string()))]
+    + [(c, pa.list_(pa.int64())) for c in ("n_windows", "pairs", "counts")]
+    + [("packed", pa.binary())]
 )
 
 
@@ -327,13 +353,15 @@ def count_pairs(chunks: DataFrame) -> DataFrame:
 
 
 def _finish(chunk: pa.Table, found: pa.Table) -> pa.Table:
-    """The documents of one chunk with the corpus's counts of its pairs, which come in any order."""
-    row = {c: chunk.column(c)[0] for c in chunk.column_names}
+    """The documents of one chunk with the corpus's counts of its pairs. Its rows and these come in any order."""
+    order = np.argsort(chunk.column("part").to_numpy()).tolist()
+    row = {c: chunk.column(c)[order[0]] for c in chunk.column_names}
+    packed = b"".join([chunk.column("packed")[i].as_py() for i in order])
     listed = {c: np.array(row[c].values) for c in ("doc_id", "n_windows", "pairs")}
     n, best = np.zeros(len(listed["pairs"]), np.int64), np.zeros(len(listed["pairs"]), np.int64)
     at = np.searchsorted(listed["pairs"], found.column("pair").to_numpy())
     n[at], best[at] = found.column("n").to_numpy(), found.column("best").to_numpy()
-    windows, window_links, links = (words.unplanes(row[c].as_py()) for c in ("windows", "window_links", "links"))
+    windows, window_links, links = map(words.unplanes, unpack(packed, len(_PACKED)))
     ends, last = np.cumsum(window_links), np.cumsum(listed["n_windows"])
     sums = lambda x, ends: np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(x)])[ends]]))
     out = {c: row[c].values for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
@@ -355,7 +383,7 @@ def align_documents(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "pie
     Texts are tokenized whole, once. A chunk of about CHUNK_BYTES of them sends each different pair once with its count, so
     what is shuffled for counts doesn't grow with how frequent a pair is, and the chunks' tasks read no texts again: windows
     are kept as numbers. The highest count of each B id is a row for each entry of b's vocabulary at most; it alone is broadcast."""
-    chunks = materialize(align_chunks(docs, a, b, folder), "alignment")
+    chunks = materialize(align_chunks(docs, a, b, folder), "alignment", READING)
     pairs = count_pairs(chunks)
     asked = chunks.select(F.col("chunk").alias("asking"), F.explode("pairs").alias("pair"))
     found = asked.join(pairs, "pair")

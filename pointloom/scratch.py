@@ -30,15 +30,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the scratch folder and read it again, which cuts the lineage. What was shuffled for it goes."""
+def materialize(df: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """Write df as Parquet to the scratch folder and read it again, which cuts the lineage. What was shuffled for it goes.
+    Settings of the session hold while it is written, where Spark knows them."""
     conf, path = df.sparkSession.conf, scratch_path(df.sparkSession, name)
-    before = conf.get(_CLEAN_UP) if conf.isModifiable(_CLEAN_UP) else None
-    if before is not None:
-        conf.set(_CLEAN_UP, "true")
+    wanted = {k: v for k, v in ((settings or {}) | {_CLEAN_UP: "true"}).items() if conf.isModifiable(k)}
+    before = {k: conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            conf.set(k, v)
         df.write.parquet(path)
     finally:
-        if before is not None:
-            conf.set(_CLEAN_UP, before)
+        for k, v in before.items():
+            conf.set(k, v)
     return df.sparkSession.read.schema(df.schema).parquet(path)

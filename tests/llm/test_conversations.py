@@ -10,6 +10,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +203,37 @@ def test_op12_equals_a_plain_alignment(spark):
     assert aligned(Q.QUERIES["op12_align"](spark, FOLDER)) == collections.Counter(plain_alignment(rows))
 
 
+def test_rows_of_a_chunk_are_small(make):
+    rng = random.Random(5)
+    rows = [(1, " ".join("".join(rng.choices("etaoinshr", k=rng.randint(1, 8))) for _ in range(40_000))), (2, "a short one")]
+    docs = make(rows).coalesce(1)
+    chunks = token_alignment.align_chunks(docs, "byte_bpe_50k.json", "piece_bpe_32k.model", None)
+    texts = [c for c, kind in chunks.dtypes if kind == "binary"]
+    sizes = [sum(len(r[c] or b"") for c in texts) for r in chunks.select(texts).collect()]
+    assert len(sizes) > 4 and max(sizes) <= 1 << 14
+    assert aligned(token_alignment.align_documents(docs)) == collections.Counter(plain_alignment(rows))
+
+
+def test_texts_are_read_in_small_batches(spark, make, monkeypatch):
+    """Settings of the session hold while the alignment is written, and not after."""
+    found = []
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["bytes"])
+
+    def written(df, name, *settings):
+        found.append(materialize(docs.mapInArrow(sizes, "bytes long"), name, *settings).agg({"bytes": "max"}).first()[0])
+        return materialize(df, name, *settings)
+
+    materialize, docs = token_alignment.materialize, make([(i, "word " * 20_000) for i in range(300)]).coalesce(1)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")}
+    monkeypatch.setattr(token_alignment, "materialize", written)
+    assert token_alignment.align_documents(make([(1, "one two")])).count() == 1
+    assert found[0] <= 5 * token_alignment.CHUNK_BYTES < found[1]
+    assert {k: spark.conf.get(k) for k in before} == before
+
+
 def test_alignment_of_odd_rows(make, odd_rows):
     rng = random.Random(3)
     signs = ["the", "ing", " ", "  ", "\n", "\t", "é", "😀", "ß", "中文", "<s>", "<|endoftext|>", "<0x41>", "1234", "...", "\x00", " ", "'s"]
